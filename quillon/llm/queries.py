@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_output
+from . import bpe, packing, simhash, suffix_dedup, token_output
 from .shared import table
 
 #: Where the vocabulary files are; see ``vocabulary``.
@@ -23,6 +23,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return groups.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return kept.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_text(vocabulary("byte_bpe_50k.json")), end_id=1, width=2048)
     return pieces.select(
@@ -37,7 +47,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op10_token_output": op10_token_output}
+    return {"op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:

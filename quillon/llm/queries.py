@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, suffix_dedup, token_output
-from .shared import table
+from . import bpe, decontamination, packing, sharding, simhash, suffix_dedup, token_output
+from .shared import settle, table
 
 #: Where the vocabulary files are; see ``vocabulary``.
 VOCABULARY_DIR = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -28,6 +28,19 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = settle(docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash")), "sizes")
+    placed = sharding.shard_by_size(rows, 8, F.col("text_hash"), F.col("size"), F.col("doc_id"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return kept.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,7 +60,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
+    return {"op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, packing, sharding, simhash, suffix_dedup, token_output
+from . import bpe, decontamination, language, packing, sharding, simhash, suffix_dedup, token_counts, token_output
 from .shared import settle, table
 
 #: Where the vocabulary files are; see ``vocabulary``.
@@ -23,6 +23,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_pieces(table(spark, sf_dir, "documents"), token_counts.zipf_vocabulary(vocabulary("piece_bpe_32k.model")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, carry=("held_out",))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -60,7 +71,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
+    return {"op1_token_counts": op1_token_counts, "op3_language_id": op3_language_id, "op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 _LOADED: dict[int, ChunkEncoder] = {}
-KEPT = 400_000
+KEPT = 500_000
 LONGEST_KEPT = 48
 #: The fixed pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,8 +25,22 @@ PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_MARKS = dict(zip(sorted(set(range(256)) - PRINTED), range(256, 512), strict=False))
 
 
+class _Known(dict):
+    """What ``make`` gives for a text, kept for the first ``KEPT`` short ones: the common ones are among them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        made = self.make(text)
+        if len(self) < KEPT and len(text) <= LONGEST_KEPT:
+            self[text] = made
+        return made
+
+
 class ChunkEncoder:
-    """Encodes texts; remembers at most about ``KEPT`` chunks and pieces of ``LONGEST_KEPT`` characters or fewer."""
+    """Encodes texts; what it remembers is bounded by ``KEPT`` and ``LONGEST_KEPT``."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -42,46 +56,33 @@ class ChunkEncoder:
         rules = json.loads(tokenizer_json)
         before = rules.get("pre_tokenizer") or {}
         self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
-        self.cut, self.model = regex.compile(PATTERN).findall, self.tokenizer.model
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _whole(self, text: str) -> bool:
-        return not self.by_pieces or "  " in text or text.endswith(" ") or any(s in text for s in self.specials)
+        self.cut, self.tokenize = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
+        self.chunks, self.pieces = _Known(self._chunk), _Known(self._piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian words of ``dtype``."""
-        chunked = [None if self._whole(x) else x.replace(" ", "\0 ").split("\0") for x in texts]
-        known, pieces = self.chunks, self.pieces
-        new = {x: self.cut(x) for x in {x for c in chunked if c for x in c}.difference(known)}
-        own = {p: self._piece(p) for p in {p for ps in new.values() for p in ps}.difference(pieces)}
-        made = {x: b"".join([own[p] if p in own else pieces[p] for p in ps]) for x, ps in new.items()}
-        short = {x: v for x, v in made.items() if len(x) <= LONGEST_KEPT}
-        if len(known) + len(short) > KEPT:  # what the texts at hand need stays
-            kept = {x for c in chunked if c for x in c}
-            self.chunks = known = {x: v for x, v in known.items() if x in kept}
-        known.update(short)
-        if len(pieces) > KEPT:
-            pieces.clear()
-        pieces.update((p, v) for p, v in own.items() if len(p) <= LONGEST_KEPT)
-        out = []
-        for text, chunks in zip(texts, chunked, strict=True):
-            if chunks is None:
-                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            elif len(short) == len(made):
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            else:
-                out.append(b"".join([known[x] if x in known else made[x] for x in chunks]))
-        return out
+        of = self.chunks.__getitem__
+        return [self._library(x) if self._whole(x) else b"".join(map(of, x.replace(" ", "\0 ").split("\0"))) for x in texts]
+
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _whole(self, text: str) -> bool:
         return not self.by_pieces or "  " in text or text.endswith(" ") or "\0" in text or any(s in text for s in self.specials)
 
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self.pieces[chunk]
+        if chunk[1:-1].isalpha() and chunk[0] == " " and chunk[-1] in ".,!?;:":
+            return self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.cut(chunk)))
+
     def _piece(self, piece: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_MARKS))]).tobytes()
+        if piece.isascii() and piece[1:].isalpha():
+            marked = "\u0120" + piece[1:] if piece[0] == " " else piece
+        else:
+            marked = piece.encode().decode("latin-1").translate(BYTE_MARKS)
+        return array(self.code, [t.id for t in self.tokenize(marked)]).tobytes()
 
 
 def encoder(tokenizer_json: str) -> ChunkEncoder:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, packing, sharding, simhash, suffix_dedup, token_counts, token_output
+from . import bpe, decontamination, language, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_output
 from .shared import settle, table
 
 #: Where the vocabulary files are; see ``vocabulary``.
@@ -27,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(table(spark, sf_dir, "documents"), token_counts.zipf_vocabulary(vocabulary("piece_bpe_32k.model")))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
@@ -71,7 +76,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_language_id": op3_language_id, "op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
+    return {"op1_token_counts": op1_token_counts, "op2_quality_classifier": op2_quality_classifier, "op3_language_id": op3_language_id, "op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_output
+from . import bpe, decontamination, language, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_output, vector_search
 from .shared import settle, table
 
 #: Where the vocabulary files are; see ``vocabulary``.
@@ -62,6 +62,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_text(vocabulary("byte_bpe_50k.json")), end_id=1, width=2048)
     return pieces.select(
@@ -76,7 +81,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_quality_classifier": op2_quality_classifier, "op3_language_id": op3_language_id, "op4_simhash_dedup": op4_simhash_dedup, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
+    return {"op1_token_counts": op1_token_counts, "op2_quality_classifier": op2_quality_classifier, "op3_language_id": op3_language_id, "op4_simhash_dedup": op4_simhash_dedup, "op5_vector_search": op5_vector_search, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_token_output": op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:

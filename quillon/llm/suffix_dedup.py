@@ -34,7 +34,7 @@ SLICE = 1 << 19
 #: Cells that a task keeps before it sends them on.
 FLUSH = 1_000_000
 #: An anchor with more different cells than this in one flush, or ``hot_bucket`` in all, is not gathered.
-HOT_IN_FLUSH = 1024
+HOT_IN_FLUSH = 8192
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -333,7 +333,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
                 b = big.slice(at, 256)
                 for cells, text in zip(b.column(1), b.column(2), strict=True):
                     data = text.as_py()
-                    for c in np.frombuffer(cells.as_buffer(), _CELL):
+                    for c in np.concatenate([np.frombuffer(x, _CELL) for x in cells.as_py()]):
                         lo = int(c["lo"])
                         held.append((c, data[lo : lo + int(c["more"]) + length]))
                         n += 1
@@ -358,16 +358,20 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
                 b = big.slice(at, 64)
                 for k, cells, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                     data = np.frombuffer(text.as_buffer(), np.uint8)
-                    c = np.frombuffer(cells.as_buffer(), _CELL)
+                    c = np.concatenate([np.frombuffer(x, _CELL) for x in cells.as_py()])
                     p = np.concatenate([np.arange(x["lo"], int(x["lo"]) + int(x["more"]) + 1) for x in c]).astype(np.int64)
                     h = [RangeHash(data, base)(p, p + length).view(np.int64) for base in _BASES]
                     yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(p), k)), pa.array(p)], names=["h0", "h1", "key", "p"])
 
-    around = met.where("cells is not null").select("key", "cells").join(rows, "key").mapInArrow(surround, "part int, cells binary, bytes binary")
+    def of_document(what: str) -> DataFrame:
+        """One row a document before its text is joined: the parts' rows of a document are many."""
+        return met.where(f"{what} is not null").groupBy("key").agg(F.collect_list(what).alias("cells")).join(rows, "key")
+
+    around = of_document("cells").mapInArrow(surround, "part int, cells binary, bytes binary")
     resolved = around.groupBy("part").applyInArrow(resolve, "key long, ranges binary")
     found = met.where("ranges is not null").select("key", "ranges").union(resolved)
     if met.where("hot is not null").limit(1).count():
-        each = settle(met.where("hot is not null").select("key", F.col("hot").alias("cells")).join(rows, "key").mapInArrow(windows, "h0 long, h1 long, key long, p long"), "windows")
+        each = settle(of_document("hot").mapInArrow(windows, "h0 long, h1 long, key long, p long"), "windows")
         least = each.groupBy("h0", "h1").agg(F.min(F.struct("key", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("h0", "h1", "least")
         again = each.join(least, ["h0", "h1"]).where("struct(key, p) > least").select("key", F.col("p").alias("lo"))
         spans = again.groupBy("key").agg(F.collect_list("lo").alias("lo")).mapInArrow(_as_ranges(length), "key long, ranges binary")

@@ -394,16 +394,17 @@ def _as_ranges(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", hot_bucket: int = 200_000) -> DataFrame:
-    """``key, kept, n_bytes, n_removed, n_spans``, a row a document: ``kept`` are the bytes that stay.
+def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", hot_bucket: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, kept, n_bytes, n_removed, n_spans, <carry>``, a row a document: ``kept`` are the bytes that stay.
 
     Every byte of a ``length``-byte string that also starts earlier, in a document of smaller key
     or before in the same one, goes; strings are judged on the input. Null texts count as empty;
-    documents with a null key lose nothing. Other columns are not read. An empty table gives an
-    empty result.
+    documents with a null key lose nothing. Columns but those in ``carry`` are not read. An empty
+    table gives an empty result.
     """
     found = repeated_ranges(docs, length, key, text, hot_bucket).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *carry)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -419,6 +420,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
                         data = b"".join(data[i:j] for i, j in zip([0, *hi], [*lo, len(data)], strict=True))
                     out.append((data, len(data) + gone, gone, n))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:]]], names=["key", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:]], *b.columns[3:]], names=["key", "kept", "n_bytes", "n_removed", "n_spans", *carry])
 
-    return rows.join(found, "key", "left").select("key", "text", "ranges").mapInArrow(apply, "key long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.join(found, "key", "left").select("key", "text", "ranges", *carry).mapInArrow(apply, f"key long, kept binary, n_bytes long, n_removed long, n_spans long{carried}")

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 _LOADED: dict[int, ChunkEncoder] = {}
-KEPT = 500_000
+KEPT_CHUNKS, KEPT_PIECES = 200_000, 350_000
 LONGEST_KEPT = 48
 #: The fixed pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,21 +26,21 @@ BYTE_MARKS = dict(zip(sorted(set(range(256)) - PRINTED), range(256, 512), strict
 
 
 class _Known(dict):
-    """What ``make`` gives for a text, kept for the first ``KEPT`` short ones: the common ones are among them."""
+    """What ``make`` gives for a text, kept for the first ``most`` short ones: the common ones are among them."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, text: str) -> bytes:
         made = self.make(text)
-        if len(self) < KEPT and len(text) <= LONGEST_KEPT:
+        if len(self) < self.most and len(text) <= LONGEST_KEPT:
             self[text] = made
         return made
 
 
 class ChunkEncoder:
-    """Encodes texts; what it remembers is bounded by ``KEPT`` and ``LONGEST_KEPT``."""
+    """Encodes texts; what it remembers is bounded by the three constants above."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -57,7 +57,7 @@ class ChunkEncoder:
         before = rules.get("pre_tokenizer") or {}
         self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
         self.cut, self.tokenize = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
-        self.chunks, self.pieces = _Known(self._chunk), _Known(self._piece)
+        self.chunks, self.pieces = _Known(self._chunk, KEPT_CHUNKS), _Known(self._piece, KEPT_PIECES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian words of ``dtype``."""

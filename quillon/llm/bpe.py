@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 _LOADED: dict[int, ChunkEncoder] = {}
-KEPT_CHUNKS, KEPT_PIECES = 200_000, 350_000
+KEPT = 500_000
 LONGEST_KEPT = 48
 #: The fixed pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,21 +26,21 @@ BYTE_MARKS = dict(zip(sorted(set(range(256)) - PRINTED), range(256, 512), strict
 
 
 class _Known(dict):
-    """What ``make`` gives for a text, kept for the first ``most`` short ones: the common ones are among them."""
+    """What ``make`` gives for a text, kept for the first ``KEPT`` short ones: the common ones are among them."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.most = make, most
+        self.make = make
 
     def __missing__(self, text: str) -> bytes:
         made = self.make(text)
-        if len(self) < self.most and len(text) <= LONGEST_KEPT:
+        if len(self) < KEPT and len(text) <= LONGEST_KEPT:
             self[text] = made
         return made
 
 
 class ChunkEncoder:
-    """Encodes texts; what it remembers is bounded by the three constants above."""
+    """Encodes texts; what it remembers is bounded by ``KEPT`` and ``LONGEST_KEPT``."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -57,11 +57,11 @@ class ChunkEncoder:
         before = rules.get("pre_tokenizer") or {}
         self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
         self.cut, self.tokenize = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
-        self.chunks, self.pieces = _Known(self._chunk, KEPT_CHUNKS), _Known(self._piece, KEPT_PIECES)
+        self.known = _Known(self._chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian words of ``dtype``."""
-        of = self.chunks.__getitem__
+        of = self.known.__getitem__
         return [self._library(x) if self._whole(x) else b"".join(map(of, x.replace(" ", "\0 ").split("\0"))) for x in texts]
 
     def _library(self, text: str) -> bytes:
@@ -71,11 +71,13 @@ class ChunkEncoder:
         return not self.by_pieces or "  " in text or text.endswith(" ") or "\0" in text or any(s in text for s in self.specials)
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk or of one piece; a piece is not cut further."""
         if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            return self.pieces[chunk]
+            return self._piece(chunk)
         if chunk[1:-1].isalpha() and chunk[0] == " " and chunk[-1] in ".,!?;:":
-            return self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.cut(chunk)))
+            return self.known[chunk[:-1]] + self.known[chunk[-1]]
+        pieces = self.cut(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha():

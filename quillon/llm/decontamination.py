@@ -75,7 +75,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, key
     hits = settle(each.join(probe, "shingle").select("digest", "n_words", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start")).distinct(), "hits")
 
     wanted = hits.groupBy("digest").agg(F.collect_list(F.struct("start", "n_words")).alias("windows"))
-    some = texts.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]).join(wanted, "digest")
+    # hits grow with the corpus and the index with the benchmark: both are joined by sorting, whatever Spark guesses of their size
+    some = texts.join(wanted.select("digest").hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]).join(wanted.hint("merge"), "digest")
     some = some.select("digest", "windows", shingles(F.col("text")).alias("shingles"))
     window = some.select("digest", "shingles", F.explode("windows").alias("w")).select("digest", "w.start", "w.n_words", F.expr(f"slice(shingles, w.start + 1, w.n_words - {SHINGLE - 1})").alias("window"))
     window = settle(window.where(F.size("window") > 0), "windows")
@@ -84,7 +85,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, key
     changes = f"filter(sequence(0, 65535), x -> bit_count(x) <= {RADIUS // BLOCKS})"
     index = listed.select("item", "n_words", "item_shingles", "item_blocks")
     variant = index.select("item", F.posexplode("item_blocks").alias("block", "value")).select("item", "block", F.expr(f"explode(transform({changes}, x -> value ^ x))").alias("value"))
-    met = window.select("digest", "start", "n_words", F.posexplode("blocks").alias("block", "value")).join(variant, ["block", "value"]).select("digest", "start", "n_words", "item").distinct()
+    met = window.select("digest", "start", "n_words", F.posexplode("blocks").alias("block", "value")).join(variant.hint("merge"), ["block", "value"]).select("digest", "start", "n_words", "item").distinct()
     near = met.join(index, ["item", "n_words"]).join(window, ["digest", "start", "n_words"])
     near = near.withColumn("distance", _hamming("blocks", "item_blocks")).where(F.col("distance") <= RADIUS)
     near = near.withColumn("similarity", _similarity("window", "item_shingles")).where(F.col("similarity") >= similarity)

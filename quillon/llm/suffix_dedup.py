@@ -162,7 +162,7 @@ _CELL = np.dtype([("anchor", "<u4"), ("content", "<u8"), ("key", "<i8"), ("lo",
 #: Ranges of bytes to remove.
 _RANGE = np.dtype([("key", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 _ROUTED = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("ranges", pa.binary()), ("hot", pa.binary())])
-_BY_KEY = pa.schema([("key", pa.int64()), ("ranges", pa.binary()), ("cells", pa.binary()), ("hot", pa.binary())])
+_BY_KEY = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ranges", pa.binary()), ("cells", pa.binary()), ("hot", pa.binary())])
 
 
 def _merge(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -188,7 +188,28 @@ def _firsts(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cells, first, bucket
 
 
-def _by_key(ranges: np.ndarray, cells: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+def _part_of_key(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(_BASES[0]) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _route(parts: int, **arrays: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """One row a part that gets anything: of each array, the elements sent there."""
+    out = {"part": pa.array(np.arange(parts, dtype=np.int32))}
+    some = np.zeros(parts, bool)
+    for name, (x, to) in arrays.items():
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(parts + 1))
+        some |= np.diff(ends) > 0
+        x = x[order]
+        out[name] = pa.array([x[a:b].tobytes() if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_pydict(out).filter(pa.array(some))
+
+
+def _whole(group: pa.Table, name: str, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in group.column(name) if x.is_valid]])
+
+
+def _by_key(part: int, ranges: np.ndarray, cells: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
     """A row a key; the arrays needn't be sorted."""
     keys = np.unique(np.concatenate([ranges["key"], cells["key"], hot["key"]]))
     cut = []
@@ -196,7 +217,7 @@ def _by_key(ranges: np.ndarray, cells: np.ndarray, hot: np.ndarray) -> pa.Record
         x = x[np.argsort(x["key"], kind="stable")]
         a, b = np.searchsorted(x["key"], keys), np.searchsorted(x["key"], keys, "right")
         cut.append(pa.array([x[i:j].tobytes() if j > i else None for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array(keys), *cut], schema=_BY_KEY)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(keys), *cut], schema=_BY_KEY)
 
 
 def _lcp(a: np.ndarray) -> np.ndarray:
@@ -254,7 +275,7 @@ def repeats_in_buckets(bucket: np.ndarray, key: np.ndarray, lo: np.ndarray, at:
 
 
 def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", hot_bucket: int = 200_000) -> DataFrame:
-    """``key, ranges``: for each document with repeats, arrays of (start, end) of bytes, maybe overlapping, as binary.
+    """``key, ranges``: for each document with repeats its maximal (key, start, end) ranges of bytes, as packed binary.
 
     Matches never cross documents. A null text counts as empty; texts below ``length`` bytes and rows
     with a null key have no repeats. Keys are whole numbers and must tell the rows apart. Tasks hold
@@ -277,13 +298,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
             sent = ~is_hot
             sent[bucket] = True  # one of each bucket tells the others
             hot, cells = cells[~sent], cells[sent]
-            out = []
-            for x in (cells, ranges, hot):
-                to = (x["anchor"] % parts if "anchor" in x.dtype.names and x is cells else x["key"] % parts).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[order], np.arange(parts + 1))
-                out.append([x[order[a:b]].tobytes() if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *[pa.array(x, pa.binary()) for x in out]], schema=_ROUTED)
+            return _route(parts, cells=(cells, (cells["anchor"] % parts).astype(np.int64)), ranges=(ranges, _part_of_key(ranges["key"], parts)), hot=(hot, _part_of_key(hot["key"], parts)))
 
         for keys, texts in _pieces_in(batches, 1):
             c = cells_of(texts, length)
@@ -299,23 +314,25 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
             yield flush()
 
     def join(group: pa.Table) -> pa.Table:
-        def whole(name: str, kind: np.dtype) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in group.column(name) if x.is_valid]])
-
-        cells, first, bucket = _firsts(whole("cells", _CELL))
+        cells, first, bucket = _firsts(_whole(group, "cells", _CELL))
         group_of = np.cumsum(bucket) - 1
         is_hot = np.zeros(int(bucket.sum()), bool)
         np.logical_or.at(is_hot, group_of, cells["hot"] == 1)
         different = np.bincount(group_of[first], minlength=len(is_hot))
         is_hot |= different > hot_bucket
         again = cells[~first]
-        ranges = np.concatenate([whole("ranges", _RANGE), _merge(again["key"], again["lo"], again["lo"] + again["more"] + length)])
+        ranges = np.concatenate([_whole(group, "ranges", _RANGE), _merge(again["key"], again["lo"], again["lo"] + again["more"] + length)])
         differ = first & (different > 1)[group_of] & ~is_hot[group_of]
-        hot = np.concatenate([whole("hot", _CELL), cells[first & is_hot[group_of]]])
-        return pa.Table.from_batches([_by_key(ranges, cells[differ], hot)])
+        hot = np.concatenate([_whole(group, "hot", _CELL), cells[first & is_hot[group_of]]])
+        differing = cells[differ]
+        return pa.Table.from_batches([_route(parts, cells=(differing, _part_of_key(differing["key"], parts)), ranges=(ranges, _part_of_key(ranges["key"], parts)), hot=(hot, _part_of_key(hot["key"], parts)))])
 
-    routed = rows.mapInArrow(cut, "part int, cells binary, ranges binary, hot binary").where("cells is not null or ranges is not null or hot is not null")
-    met = settle(routed.groupBy("part").applyInArrow(join, "key long, ranges binary, cells binary, hot binary"), "cells")
+    def by_document(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_by_key(group.column("part")[0].as_py(), _whole(group, "ranges", _RANGE), _whole(group, "cells", _CELL), _whole(group, "hot", _CELL))])
+
+    routed = "part int, cells binary, ranges binary, hot binary"
+    joined = rows.mapInArrow(cut, routed).groupBy("part").applyInArrow(join, routed)
+    met = settle(joined.groupBy("part").applyInArrow(by_document, "part int, key long, ranges binary, cells binary, hot binary"), "cells")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each differing cell its bytes; of each window of hot cells its hashes."""
@@ -333,7 +350,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
                 b = big.slice(at, 256)
                 for cells, text in zip(b.column(1), b.column(2), strict=True):
                     data = text.as_py()
-                    for c in np.concatenate([np.frombuffer(x, _CELL) for x in cells.as_py()]):
+                    for c in np.frombuffer(cells.as_buffer(), _CELL):
                         lo = int(c["lo"])
                         held.append((c, data[lo : lo + int(c["more"]) + length]))
                         n += 1
@@ -349,8 +366,13 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
         ends = np.cumsum(cells["more"].astype(np.int64) + length)
         context = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         found = repeats_in_buckets(cells["anchor"], cells["key"], cells["lo"].astype(np.int64), cells["at"].astype(np.int64), context, length)
-        out = _by_key(found, np.zeros(0, _CELL), np.zeros(0, _CELL))
-        return pa.Table.from_batches([out.select(["key", "ranges"])])
+        return pa.Table.from_batches([_route(parts, ranges=(found, _part_of_key(found["key"], parts)))])
+
+    def merge(group: pa.Table) -> pa.Table:
+        x = _whole(group, "ranges", _RANGE)
+        merged = _merge(x["key"], x["lo"], x["hi"])
+        none = np.zeros(0, _CELL)
+        return pa.Table.from_batches([_by_key(0, merged, none, none).select(["key", "ranges"])])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -358,38 +380,38 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
                 b = big.slice(at, 64)
                 for k, cells, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                     data = np.frombuffer(text.as_buffer(), np.uint8)
-                    c = np.concatenate([np.frombuffer(x, _CELL) for x in cells.as_py()])
+                    c = np.frombuffer(cells.as_buffer(), _CELL)
                     p = np.concatenate([np.arange(x["lo"], int(x["lo"]) + int(x["more"]) + 1) for x in c]).astype(np.int64)
                     h = [RangeHash(data, base)(p, p + length).view(np.int64) for base in _BASES]
                     yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(p), k)), pa.array(p)], names=["h0", "h1", "key", "p"])
 
     def of_document(what: str) -> DataFrame:
-        """One row a document before its text is joined: the parts' rows of a document are many."""
-        return met.where(f"{what} is not null").groupBy("key").agg(F.collect_list(what).alias("cells")).join(rows, "key")
+        return met.where(f"{what} is not null").select("key", F.col(what).alias("cells")).join(rows, "key")
 
     around = of_document("cells").mapInArrow(surround, "part int, cells binary, bytes binary")
-    resolved = around.groupBy("part").applyInArrow(resolve, "key long, ranges binary")
-    found = met.where("ranges is not null").select("key", "ranges").union(resolved)
+    resolved = around.groupBy("part").applyInArrow(resolve, "part int, ranges binary")
+    found = met.where("ranges is not null").select("part", "ranges").union(resolved)
     if met.where("hot is not null").limit(1).count():
         each = settle(of_document("hot").mapInArrow(windows, "h0 long, h1 long, key long, p long"), "windows")
         least = each.groupBy("h0", "h1").agg(F.min(F.struct("key", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("h0", "h1", "least")
         again = each.join(least, ["h0", "h1"]).where("struct(key, p) > least").select("key", F.col("p").alias("lo"))
-        spans = again.groupBy("key").agg(F.collect_list("lo").alias("lo")).mapInArrow(_as_ranges(length), "key long, ranges binary")
+        spans = again.groupBy("key").agg(F.collect_list("lo").alias("lo")).mapInArrow(_as_ranges(length, parts), "part int, ranges binary")
         found = found.union(spans)
-    return found
+    return found.groupBy("part").applyInArrow(merge, "key long, ranges binary")
 
 
 _AROUND = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("bytes", pa.binary())])
 
 
-def _as_ranges(length: int):
+def _as_ranges(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            found = [np.zeros(0, _RANGE)]
             for k, lo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = np.array(lo, np.int64)
-                out.append(_merge(np.full(len(at), k), at, at + length).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "ranges"])
+                found.append(_merge(np.full(len(at), k), at, at + length))
+            x = np.concatenate(found)
+            yield _route(parts, ranges=(x, _part_of_key(x["key"], parts)))
 
     return run
 
@@ -402,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     documents with a null key lose nothing. Columns but those in ``carry`` are not read. An empty
     table gives an empty result.
     """
-    found = repeated_ranges(docs, length, key, text, hot_bucket).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
+    found = repeated_ranges(docs, length, key, text, hot_bucket)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *carry)
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
@@ -413,8 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
                 for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     data, gone, n = text or b"", 0, 0
                     if ranges:
-                        r = np.concatenate([np.frombuffer(x, _RANGE) for x in ranges])
-                        spans = _merge(np.zeros(len(r), np.int64), r["lo"], r["hi"])
+                        spans = np.frombuffer(ranges, _RANGE)
                         lo, hi = spans["lo"].tolist(), spans["hi"].tolist()
                         n, gone = len(lo), sum(hi) - sum(lo)
                         data = b"".join(data[i:j] for i, j in zip([0, *hi], [*lo, len(data)], strict=True))

@@ -22,6 +22,8 @@ from .shared import fresh_path, settle, spread
 
 MAGIC = b"QTOK1\n"
 FILE_BYTES = 8 << 20
+#: Ids that are packed together, at least: whole documents.
+BLOCK_IDS = 1 << 16
 #: For each control byte, the four lengths in bytes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -108,31 +110,48 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, path: s
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _filesystem(path)
         tag, part = uuid.uuid4().hex, TaskContext.get().partitionId()
-        made, ids_before, block, rows, size = 0, 0, [], [], 0
-
-        def flush() -> int:
+        made, ids_before, size = 0, 0, 0
+        rows: list[tuple] = []  # a document: no key, key, ids
+        blocks: list[tuple] = []  # a block: documents, ids, bytes
+        body: list[bytes] = []
+        open_ids: list[np.ndarray] = []
+
+        def close_block() -> None:
+            nonlocal open_ids, size
+            if open_ids:
+                ids = np.concatenate(open_ids)
+                body.append(pack_ranks(ranks.value[ids]))
+                blocks.append((len(open_ids), len(ids), len(body[-1])))
+                size, open_ids = size + len(body[-1]), []
+
+        def flush() -> None:
+            nonlocal made, ids_before, size, rows, blocks, body
             files.create_dir(base, recursive=True)
             with files.open_output_stream(f"{base}/part-{part:06d}-{tag}-{made:05d}.qtok") as f:
                 f.write(MAGIC)
-                f.write(np.array([len(rows), ids_before], "<i8").tobytes())
+                f.write(np.array([len(rows), len(blocks), ids_before], "<i8").tobytes())
                 f.write(np.array(rows, "<i8").tobytes())
-                for x in block:
+                f.write(np.array(blocks, "<i8").tobytes())
+                for x in body:
                     f.write(x)
-            return sum(r[2] for r in rows)
+            made, ids_before = made + 1, ids_before + sum(r[2] for r in rows)
+            rows, blocks, body, size = [], [], [], 0
 
+        waiting = 0
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                r = ranks.value[np.frombuffer(x.as_buffer(), wide)]
-                packed = pack_ranks(r)
-                block.append(packed)
-                rows.append((k is None, k or 0, len(r), len(packed)))
-                size += len(packed)
-                if size >= FILE_BYTES:
-                    ids_before += flush()
-                    made, block, rows, size = made + 1, [], [], 0
+                ids = np.frombuffer(x.as_buffer(), wide)
+                rows.append((k is None, k or 0, len(ids)))
+                open_ids.append(ids)
+                waiting += len(ids)
+                if waiting >= BLOCK_IDS:
+                    close_block()
+                    waiting = 0
+                    if size >= FILE_BYTES:
+                        flush()
+        close_block()
         if rows:
-            ids_before += flush()
-            made += 1
+            flush()
         if made:
             yield pa.RecordBatch.from_pylist([{"part": part, "tag": tag, "files": made, "ids": ids_before}], _PARTS)
 
@@ -174,14 +193,19 @@ def read_token_files(written: TokenFiles) -> DataFrame:
                 view = memoryview(content.as_buffer())
                 if bytes(view[: len(MAGIC)]) != MAGIC:
                     raise ValueError(f"{name} is not a file of token ids")
-                n, start = np.frombuffer(view, "<i8", 2, len(MAGIC)).tolist()
-                rows = np.frombuffer(view, "<i8", 4 * n, len(MAGIC) + 16).reshape(n, 4).tolist()
-                at, start, out = len(MAGIC) + 16 + 32 * n, start + before.value[tag], []
-                for row, (no_key, k, ids, size) in enumerate(rows):
-                    out.append((None if no_key else k, start, table.value[unpack_ranks(view[at : at + size], ids)].tobytes()))
-                    at, start = at + size, start + ids
-                    if len(out) == 256 or row == n - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROWS, strict=True)], schema=_ROWS)
-                        out = []
+                n, n_blocks, start = np.frombuffer(view, "<i8", 3, len(MAGIC)).tolist()
+                at = len(MAGIC) + 24
+                rows = np.frombuffer(view, "<i8", 3 * n, at).reshape(n, 3)
+                blocks = np.frombuffer(view, "<i8", 3 * n_blocks, at + 24 * n).reshape(n_blocks, 3)
+                at, start, row = at + 24 * (n + n_blocks), start + before.value[tag], 0
+                for docs, ids, size in blocks.tolist():
+                    own = rows[row : row + docs]
+                    cells = table.value[unpack_ranks(view[at : at + size], ids)].tobytes()
+                    ends = np.cumsum(own[:, 2])
+                    first = ends - own[:, 2]
+                    keys = pa.array(own[:, 1], mask=own[:, 0] == 1)
+                    cut = pa.array([cells[4 * a : 4 * z] for a, z in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(first + start), cut], schema=_ROWS)
+                    at, start, row = at + size, start + ids, row + docs
 
     return spark.read.format("binaryFile").load(written.path).select("path", "content").mapInArrow(read, schema)

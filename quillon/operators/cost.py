@@ -1,0 +1,201 @@
+"""Task cost: replay resolution, counters to deltas, segments, totals, and the ledger."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+
+SOURCES = ("provider_reported", "local_estimate", "none")
+LEDGER_TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+
+
+def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in the given total order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def last_wins_first_position(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The last row of each key, with ``position`` of the first."""
+    w = Window.partitionBy(*keys)
+    ranked = rows.withColumn("position", F.min(order).over(w)).withColumn("__n", F.row_number().over(w.orderBy(F.desc(order))))
+    return ranked.where("__n = 1").drop("__n")
+
+
+def resolve_replays(events: DataFrame, task: str = "task_id", event: str = "event_id", replay_of: str = "replay_of", order: str = "ordinal") -> DataFrame:
+    """First row of each event, without events that a kept one replays.
+
+    A target that isn't there changes nothing. Chains drop all but their last. ``replay_cycles``
+    tells of cycles, which this leaves without any row.
+    """
+    kept = first_wins(events, [task, event], [order])
+    superseded = kept.where(F.col(replay_of).isNotNull()).select(F.col(task), F.col(replay_of).alias(event)).distinct()
+    return kept.join(superseded, [task, event], "left_anti")
+
+
+def replay_cycles(events: DataFrame, task: str = "task_id", event: str = "event_id", replay_of: str = "replay_of", order: str = "ordinal") -> DataFrame:
+    """Events on a cycle of replays: those from which doubling the steps never leaves the chain."""
+    edges = first_wins(events, [task, event], [order]).where(F.col(replay_of).isNotNull()).select(task, event, F.col(replay_of).alias("to"))
+    edges = edges.join(edges.select(task, F.col(event).alias("to")), [task, "to"], "left_semi").select(task, event, "to")
+    steps = 1
+    longest = edges.count()
+    while steps < longest + 1:
+        right = edges.select(F.col(task).alias("__t"), F.col(event).alias("__e"), F.col("to").alias("__to"))
+        edges = edges.join(right, (F.col(task) == F.col("__t")) & (F.col("to") == F.col("__e"))).select(task, event, F.col("__to").alias("to"))
+        steps *= 2
+    return edges.select(task, event)
+
+
+def _last_before(x: Column, kind: Column, w) -> Column:
+    return F.last(F.when(kind == "cumulative", x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def cumulative_to_delta(events: DataFrame, fields: Sequence[str], session: Sequence[str], order: Sequence[str], kind: str = "usage_kind") -> DataFrame:
+    """Each cumulative field as its step from the last known value before it.
+
+    A null stays null and leaves the last value standing; a step back counts 0, sets ``backward``
+    and becomes the new last value. Delta rows pass as they are and never move it.
+    """
+    w = Window.partitionBy(*session).orderBy(*order)
+    out = events.select("*", *[_last_before(F.col(f), F.col(kind), w).alias(f"__{f}") for f in fields])
+    cumulative = F.col(kind) == "cumulative"
+    back = F.lit(False)
+    for f in fields:
+        back = back | F.coalesce(F.col(f) < F.col(f"__{f}"), F.lit(False))
+    steps = {f: F.when(~cumulative, F.col(f)).when(F.col(f).isNull(), None).when(F.col(f"__{f}").isNull(), F.col(f)).otherwise(F.greatest(F.col(f) - F.col(f"__{f}"), F.lit(0).cast(events.schema[f].dataType))) for f in fields}
+    return out.select(*[c for c in events.columns if c not in fields], *[e.alias(f) for f, e in steps.items()], (cumulative & back).alias("backward"))
+
+
+def tracker_delta(rows: DataFrame, fields: Sequence[str], session: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As ``cumulative_to_delta`` with the other rule: if any field steps back, all start anew and the totals are the step."""
+    w = Window.partitionBy(*session).orderBy(*order)
+    before = {f: F.lag(F.coalesce(F.col(f), F.lit(0))).over(w) for f in fields}
+    out = rows.select("*", *[e.alias(f"__{f}") for f, e in before.items()])
+    reset = F.lit(False)
+    for f in fields:
+        reset = reset | F.coalesce(F.coalesce(F.col(f), F.lit(0)) < F.col(f"__{f}"), F.lit(False))
+    steps = [F.when(reset, F.coalesce(F.col(f), F.lit(0))).otherwise(F.coalesce(F.col(f), F.lit(0)) - F.coalesce(F.col(f"__{f}"), F.lit(0))).alias(f) for f in fields]
+    return out.select(*[c for c in rows.columns if c not in fields], *steps, reset.alias("reset"))
+
+
+def model_segments(observations: DataFrame, tokens: Sequence[str], task: str = "task_id", model: str = "model", order: Sequence[str] = ("ts", "session_id", "sequence", "event_id"), turn: str = "turn_id") -> DataFrame:
+    """Runs of one model in canonical order: rows, distinct turns and null-preserving sums."""
+    w = Window.partitionBy(task).orderBy(*order)
+    new = F.coalesce(F.col(model) != F.lag(model).over(w), F.lit(True)).cast("long")
+    island = observations.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w))
+    return island.groupBy(task, "segment", model).agg(F.count(F.lit(1)).alias("observations"), F.count_distinct(turn).alias("turns"), *[F.sum(t).alias(t) for t in tokens])
+
+
+def cost_totals(observations: DataFrame, keys: Sequence[str], tokens: Sequence[str]) -> DataFrame:
+    """Totals of effective observations by ``keys``: sums that keep nulls, strict and lower-bound cost, and promoted states.
+
+    Costs are whole micro-dollars in ``actual_micros`` and ``estimated_micros``.
+    """
+    resolved = F.coalesce("actual_micros", "estimated_micros")
+    source = F.when(F.col("actual_micros").isNotNull(), "provider_reported").when(F.col("estimated_micros").isNotNull(), "local_estimate").otherwise("none")
+    return observations.groupBy(*keys).agg(
+        *[F.sum(t).alias(t) for t in tokens],
+        X.strict_sum(resolved).alias("total_micros"),
+        F.sum(resolved).alias("lower_bound_micros"),
+        X.promote_source(source).alias("cost_source"),
+        X.promote_coverage(F.col("coverage")).alias("coverage"),
+        X.promote_single(F.col("cost_basis"), "unknown").alias("cost_basis"),
+        F.count_distinct("session_id").alias("sessions"),
+        F.count_distinct("session_id", "turn_id").alias("turns"),
+        F.count_distinct("model").alias("models"),
+        F.count(F.lit(1)).alias("observations"),
+    )
+
+
+def to_ledger(events: DataFrame) -> DataFrame:
+    """Events as ledger rows: counters that are unknown count 0 and make the row partial."""
+    basis = F.when(F.col("actual_micros").isNotNull(), "metered").when(F.col("estimated_micros").isNotNull(), "token_equivalent").otherwise("unpriced")
+    known = F.lit(True)
+    for t in LEDGER_TOKENS:
+        known = known & F.col(t).isNotNull()
+    return events.select(
+        X.sha_id([F.col("task_id"), F.col("source"), F.col("event_id")], 32).alias("id"), "ts", "task_id", "model", "harness", "backend", "source",
+        basis.alias("pricing_basis"), F.coalesce("actual_micros", "estimated_micros").alias("amount_micros"),
+        *[F.coalesce(F.col(t), F.lit(0)).alias(t) for t in LEDGER_TOKENS], F.when(known, "complete").otherwise("partial").alias("coverage"),
+    )
+
+
+def append_new(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows that are not in the ledger yet, the first of each id: what an idempotent append writes."""
+    return rows.dropDuplicates(["id"]).join(ledger.select("id"), "id", "left_anti")
+
+
+def ledger_filter(ledger: DataFrame, task_id=None, start=None, end=None) -> DataFrame:
+    """Task equality and a half-open time range; each may be left out."""
+    if start is not None and end is not None and not start < end:
+        raise ValueError("from must be before to")
+    for given, test in ((task_id, F.col("task_id") == F.lit(task_id)), (start, F.col("ts") >= F.lit(start)), (end, F.col("ts") < F.lit(end))):
+        ledger = ledger if given is None else ledger.where(test)
+    return ledger
+
+
+def _ledger_measures() -> list[Column]:
+    partial = (F.col("coverage") == "partial") | (F.col("pricing_basis") == "unpriced")
+
+    def amount(basis: str, *more: Column) -> Column:
+        test = F.col("pricing_basis") == basis
+        for m in more:
+            test = test & m
+        return X.safe_sum(F.when(test, F.col("amount_micros")))
+
+    out = [F.count(F.lit(1)).alias("records"), amount("metered").alias("metered_micros"), amount("token_equivalent").alias("token_equivalent_micros"), F.count_if(F.col("pricing_basis") == "unpriced").alias("unpriced")]
+    out += [X.safe_sum(F.col(t)).alias(t) for t in LEDGER_TOKENS]
+    out += [F.when(F.count(F.lit(1)) == 0, "none").when(F.max(partial), "partial").otherwise("complete").alias("coverage")]
+    for s in SOURCES:
+        own = F.col("source") == s
+        out += [F.count_if(own).alias(f"{s}_records"), amount("metered", own).alias(f"{s}_metered_micros")]
+    return out
+
+
+def ledger_totals(ledger: DataFrame) -> DataFrame:
+    """One row; every source has its columns, with 0 where it has no record."""
+    return ledger.agg(*_ledger_measures())
+
+
+def ledger_query(ledger: DataFrame, keys: Sequence[str], task_id=None, start=None, end=None) -> DataFrame:
+    """Grand total (``level`` 0, keys null) and groups (``level`` 1) in one pass."""
+    allowed = {"model", "harness", "backend", "source"}
+    if not keys or len(set(keys)) < len(keys) or not set(keys) <= allowed:
+        raise ValueError(f"group by distinct keys of {sorted(allowed)}")
+    rows = ledger_filter(ledger, task_id, start, end)
+    level = F.when(F.grouping_id() == 0, 1).otherwise(0).alias("level")
+    return rows.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(level, *_ledger_measures())
+
+
+def task_summary(ledger: DataFrame) -> DataFrame:
+    """For each task its total and its parts by model, harness, backend and source, from one pass."""
+    parts = ("model", "harness", "backend", "source")
+    sets = [[F.col("task_id"), F.col(p)] for p in parts] + [[F.col("task_id")]]
+    which = F.coalesce(*[F.when(F.grouping(p) == 0, p) for p in parts], F.lit("total")).alias("part")
+    grouped = ledger.groupingSets(sets, F.col("task_id"), *[F.col(p) for p in parts])
+    measured = grouped.agg(which, *_ledger_measures())
+    return measured.select("task_id", "part", F.coalesce(*parts).alias("value"), *[c for c in measured.columns if c not in ("task_id", "part", *parts)])
+
+
+def price(usage: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
+    """Usage with ``pico_usd`` and ``priced_micros``: exact whole-number pricing, half up.
+
+    The normalized id is looked up first, then the id without a date suffix; without a price, or
+    with an unknown counter, the amount is null. ``prices(model, input_rate, output_rate)`` are
+    dollars for a million tokens; they are looked up by an ordinary join.
+    """
+    keyed = usage.withColumn("__id", X.normalize_model(F.col(model))).withColumn("__short", F.regexp_replace("__id", r"-\d{8}$", ""))
+    one = prices.select(F.col("model").alias("__id"), F.struct("input_rate", "output_rate").alias("__exact"))
+    two = prices.select(F.col("model").alias("__short"), F.struct("input_rate", "output_rate").alias("__base"))
+    found = keyed.join(one, "__id", "left").join(two, "__short", "left").withColumn("__rate", F.coalesce("__exact", "__base"))
+
+    def pico(tokens: str, rate: str) -> Column:
+        return F.col(tokens).cast("decimal(19,0)") * F.floor(F.col(f"__rate.{rate}") * 1e6 + 0.5).cast("decimal(18,0)")
+
+    total = (pico("input_tokens", "input_rate") + pico("output_tokens", "output_rate")).cast("decimal(38,0)")
+    priced = found.withColumn("pico_usd", total).withColumn("priced_micros", F.floor((F.col("pico_usd") + 500000) / 1000000).cast("long"))
+    return priced.drop("__id", "__short", "__exact", "__base", "__rate")

@@ -1,0 +1,121 @@
+"""Cost and ledger queries over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import cost
+from . import bindings as B
+
+TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.project(spark, sf_dir, B.EVENTS)
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.to_ledger(_events(spark, sf_dir))
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.cumulative_to_delta(_events(spark, sf_dir), ["input_tokens", "output_tokens", "actual_micros"], ["task_id", "session_id"], ["sequence", "event_id"])
+
+
+def _price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = _events(spark, sf_dir).select("event_id", F.concat(F.lit("vendor/"), F.initcap("model"), F.when(F.col("event_id") % 2 == 0, "-20250101").otherwise("")).alias("model"), "input_tokens", "output_tokens")
+    prices = spark.sql("select * from values ('click', 3.0D, 15.0D), ('view', 0.8D, 4.0D), ('error-20250101', 1.25D, 10.0D), ('signup', 0.15D, 0.6D) as t(model, input_rate, output_rate)")
+    return cost.price(usage, prices).select("event_id", F.col("pico_usd").cast("long").alias("pico_usd"), "priced_micros")
+
+
+QUERIES = {
+    "ledger_totals": lambda s, d: cost.ledger_totals(_ledger(s, d)),
+    "ledger_by_keys": lambda s, d: cost.ledger_query(_ledger(s, d), ["model", "source"], start=_time("2024-01-05"), end=_time("2024-01-20")),
+    "task_summary_sets": lambda s, d: cost.task_summary(_ledger(s, d)),
+    "ledger_rows": lambda s, d: _ledger(s, d),
+    "dedup_first_wins": lambda s, d: cost.first_wins(B.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"]),
+    "dedup_last_wins": lambda s, d: cost.last_wins_first_position(_events(s, d).select("task_id", "model", "event_id", "ordinal", "input_tokens"), ["task_id", "model"], "ordinal"),
+    "supersede_chain": lambda s, d: cost.resolve_replays(_events(s, d).select("task_id", "event_id", "ordinal", "replay_of").withColumns({"task_id": F.lit(0).cast("long")})),
+    "cumulative_delta": lambda s, d: _steps(s, d).select("event_id", "input_tokens", "output_tokens", "actual_micros", "backward"),
+    "cumulative_delta_reset_all": lambda s, d: cost.tracker_delta(_events(s, d).select("event_id", "session_id", "input_tokens", "output_tokens"), ["input_tokens", "output_tokens"], ["session_id"], ["event_id"]),
+    "model_segments": lambda s, d: cost.model_segments(_events(s, d), ["input_tokens", "output_tokens"]),
+    "task_cost": lambda s, d: cost.cost_totals(_steps(s, d), ["task_id", "harness"], ["input_tokens", "output_tokens"]),
+    "task_cost_by_model": lambda s, d: cost.cost_totals(_steps(s, d), ["task_id", "model"], ["input_tokens", "output_tokens"]),
+    "price_lookup": _price,
+    "usage_availability": lambda s, d: _events(s, d).select("event_id", X.usage_availability([F.col(t) for t in TOKENS]).alias("availability")),
+    "usage_mapping": lambda s, d: _events(s, d).select("event_id", X.subtract_cached(F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_write_tokens")).alias("input_only")),
+}
+
+
+def _time(day: str):
+    import datetime
+
+    return datetime.datetime.fromisoformat(day + "T00:00:00+00:00")
+
+
+_E = B.duck_sql(B.EVENTS)
+_L = f"""with e as ({_E}), ledger as (
+select substr(sha256(concat(cast(task_id as varchar), chr(0), source, chr(0), cast(event_id as varchar))), 1, 32) as id, ts, task_id, model, harness, backend, source,
+  case when actual_micros is not null then 'metered' when estimated_micros is not null then 'token_equivalent' else 'unpriced' end as pricing_basis,
+  coalesce(actual_micros, estimated_micros) as amount_micros, coalesce(input_tokens, 0) as input_tokens, coalesce(output_tokens, 0) as output_tokens,
+  coalesce(cache_read_tokens, 0) as cache_read_tokens, coalesce(cache_write_tokens, 0) as cache_write_tokens,
+  case when input_tokens is null or output_tokens is null or cache_read_tokens is null or cache_write_tokens is null then 'partial' else 'complete' end as coverage
+from e)"""
+_M = """count(*) as records, coalesce(sum(amount_micros) filter (pricing_basis = 'metered'), 0)::bigint as metered_micros,
+  coalesce(sum(amount_micros) filter (pricing_basis = 'token_equivalent'), 0)::bigint as token_equivalent_micros, count(*) filter (pricing_basis = 'unpriced') as unpriced,
+  coalesce(sum(input_tokens), 0)::bigint as input_tokens, coalesce(sum(output_tokens), 0)::bigint as output_tokens, coalesce(sum(cache_read_tokens), 0)::bigint as cache_read_tokens,
+  coalesce(sum(cache_write_tokens), 0)::bigint as cache_write_tokens,
+  case when count(*) = 0 then 'none' when bool_or(coverage = 'partial' or pricing_basis = 'unpriced') then 'partial' else 'complete' end as coverage,
+""" + ",\n  ".join(f"count(*) filter (source = '{s}') as {s}_records, coalesce(sum(amount_micros) filter (pricing_basis = 'metered' and source = '{s}'), 0)::bigint as {s}_metered_micros" for s in cost.SOURCES)
+
+
+def _delta(field: str) -> str:
+    last = f"last_value(case when usage_kind = 'cumulative' then {field} end ignore nulls) over (partition by task_id, session_id order by sequence, event_id rows between unbounded preceding and 1 preceding)"
+    return f"case when usage_kind <> 'cumulative' or {field} is null then {field} else greatest({field} - coalesce({last}, 0), 0) end as {field}, usage_kind = 'cumulative' and coalesce({field} < {last}, false) as back_{field}"
+
+
+_D = f"""with e as ({_E}), d0 as (select * exclude (input_tokens, output_tokens, actual_micros), {_delta('input_tokens')}, {_delta('output_tokens')}, {_delta('actual_micros')} from e),
+d as (select *, back_input_tokens or back_output_tokens or back_actual_micros as backward from d0)"""
+
+
+def _totals_sql(key: str) -> str:
+    return f"""{_D} select task_id, {key}, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens,
+  case when count(*) = count(coalesce(actual_micros, estimated_micros)) then sum(coalesce(actual_micros, estimated_micros))::bigint end as total_micros,
+  sum(coalesce(actual_micros, estimated_micros))::bigint as lower_bound_micros,
+  case when bool_or(actual_micros is not null) and bool_or(actual_micros is null and estimated_micros is not null) then 'mixed' when bool_or(actual_micros is not null) then 'provider_reported'
+    when bool_or(estimated_micros is not null) then 'local_estimate' else 'none' end as cost_source,
+  case when bool_and(coverage = 'unavailable') then 'unavailable' when bool_and(coverage = 'known_zero') then 'known_zero' when bool_and(coverage in ('complete', 'known_zero')) then 'complete' else 'partial' end as coverage,
+  case when count(distinct cost_basis) = 1 then max(cost_basis) else 'unknown' end as cost_basis,
+  count(distinct session_id) as sessions, count(distinct (session_id, turn_id)) as turns, count(distinct model) as models, count(*) as observations from d group by task_id, {key}"""
+
+
+SQL = {
+    "ledger_totals": f"{_L} select {_M} from ledger",
+    "ledger_by_keys": f"{_L} select model, source, case when grouping(model) = 0 then 1 else 0 end as level, {_M} from ledger where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' group by grouping sets ((model, source), ())",
+    "task_summary_sets": f"{_L} select task_id, case when grouping(model) = 0 then 'model' when grouping(harness) = 0 then 'harness' when grouping(backend) = 0 then 'backend' when grouping(source) = 0 then 'source' else 'total' end as part, "
+    f"case when grouping(model) = 0 then model when grouping(harness) = 0 then harness when grouping(backend) = 0 then backend when grouping(source) = 0 then source end as \"value\", {_M} from ledger "
+    "group by grouping sets ((task_id, model), (task_id, harness), (task_id, backend), (task_id, source), (task_id))",
+    "ledger_rows": f"{_L} select * from ledger",
+    "dedup_first_wins": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) = 1",
+    "dedup_last_wins": f"with e as ({_E}) select task_id, model, event_id, ordinal, input_tokens, min(ordinal) over (partition by task_id, model) as position from e qualify row_number() over (partition by task_id, model order by ordinal desc) = 1",
+    "supersede_chain": f"with e as ({_E}) select 0::bigint as task_id, event_id, ordinal, replay_of from e where event_id not in (select replay_of from e where replay_of is not null)",
+    "cumulative_delta": f"{_D} select event_id, input_tokens, output_tokens, actual_micros, backward from d",
+    "cumulative_delta_reset_all": f"""with e as ({_E}), b as (select event_id, session_id, coalesce(input_tokens, 0) as i, coalesce(output_tokens, 0) as o, lag(coalesce(input_tokens, 0)) over w as pi, lag(coalesce(output_tokens, 0)) over w as po
+  from e window w as (partition by session_id order by event_id)), r as (select *, coalesce(i < pi, false) or coalesce(o < po, false) as reset from b)
+  select event_id, session_id, case when reset then i else i - coalesce(pi, 0) end as input_tokens, case when reset then o else o - coalesce(po, 0) end as output_tokens, reset from r""",
+    "model_segments": f"""with e as ({_E}), f as (select *, case when model is distinct from lag(model) over w then 1 else 0 end as n from e window w as (partition by task_id order by ts, session_id, sequence, event_id)),
+  g as (select *, sum(n) over (partition by task_id order by ts, session_id, sequence, event_id rows unbounded preceding)::bigint as segment from f)
+  select task_id, segment, model, count(*) as observations, count(distinct turn_id) as turns, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens from g group by task_id, segment, model""",
+    "task_cost": _totals_sql("harness"),
+    "task_cost_by_model": _totals_sql("model"),
+    "price_lookup": f"""with e as ({_E}), p(m, i, o) as (values ('click', 3000000, 15000000), ('view', 800000, 4000000), ('error-20250101', 1250000, 10000000), ('signup', 150000, 600000)),
+  k as (select event_id, input_tokens, output_tokens, model || case when event_id % 2 = 0 then '-20250101' else '' end as id, model as base from e),
+  t as (select event_id, (input_tokens * coalesce(a.i, b.i) + output_tokens * coalesce(a.o, b.o))::bigint as pico_usd from k left join p a on k.id = a.m left join p b on k.base = b.m)
+  select event_id, pico_usd, ((pico_usd + 500000) // 1000000)::bigint as priced_micros from t""",
+    "usage_availability": f"""with e as ({_E}) select event_id, case when input_tokens is null and output_tokens is null and cache_read_tokens is null and cache_write_tokens is null then 'unavailable'
+  when input_tokens is null or output_tokens is null or cache_read_tokens is null or cache_write_tokens is null then 'partial'
+  when input_tokens = 0 and output_tokens = 0 and cache_read_tokens = 0 and cache_write_tokens = 0 then 'known_zero' else 'available' end as availability from e""",
+    "usage_mapping": f"with e as ({_E}) select event_id, case when input_tokens is null then 0 else greatest(0, input_tokens - coalesce(cache_read_tokens, 0) - coalesce(cache_write_tokens, 0)) end as input_only from e",
+}

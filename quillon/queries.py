@@ -1,4 +1,4 @@
-"""The registered queries outside the training-data operators."""
+"""The registered queries outside the training-data operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import change_queries, cost_queries, score_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return cost_queries.QUERIES | change_queries.QUERIES | score_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return cost_queries.SQL | change_queries.SQL | score_queries.SQL

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +18,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage in the folder that ``spark.checkpoint.dir`` names.
+
+    Only where that is unset (tests on one machine) a temporary folder is set.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
+    return df.checkpoint()

@@ -32,7 +32,7 @@ def text_at(changes: DataFrame, renames: DataFrame, key: str = "pr") -> DataFram
 def process_features(reviews: DataFrame, key: str = "pr") -> DataFrame:
     """Reviews till ``as_of``: count, approvals, change requests, reviewers, distinct hours and hours till the first."""
     seen = F.col("at") <= F.col("as_of")
-    hours = (F.unix_micros(F.min(F.when(seen, F.col("at")))) - F.unix_micros(F.min("opened_at"))) / 3.6e9
+    hours = (F.unix_micros(F.min(F.when(seen, F.col("at"))).cast("timestamp")) - F.unix_micros(F.min("opened_at").cast("timestamp"))) / 3.6e9
     return reviews.groupBy(key).agg(
         F.count_if(seen).alias("reviews"), F.count_if(seen & (F.col("state") == "approved")).alias("approvals"), F.count_if(seen & (F.col("state") == "changes_requested")).alias("change_requests"),
         F.count_distinct(F.when(seen, F.col("author"))).alias("reviewers"), F.count_distinct(F.when(seen, F.date_trunc("hour", "at"))).alias("review_rounds"), X.round4(hours).alias("hours_to_first_review"),

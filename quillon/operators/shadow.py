@@ -21,9 +21,9 @@ def due_outcomes(scores: DataFrame, outcomes: DataFrame, horizon_days: int, as_o
 
 
 def with_outcomes(scores: DataFrame, outcomes: DataFrame, horizon_days: int) -> DataFrame:
-    """Scores with ``has_outcome, survived``; the last outcome row of a key counts."""
+    """Scores with ``has_outcome, survived``; the last outcome row of a key counts, of rows of one ordinal a survived one, then a known one."""
     own = outcomes.where(F.col("horizon_days") == horizon_days)
-    last = own.groupBy("repo", "merge_sha").agg(F.max_by(F.struct(F.lit(True).alias("has_outcome"), "survived"), "ordinal").alias("o"))
+    last = own.groupBy("repo", "merge_sha").agg(F.max_by(F.struct(F.lit(True).alias("has_outcome"), "survived"), F.struct("ordinal", "survived")).alias("o"))
     return scores.join(last, ["repo", "merge_sha"], "left").select(*scores.columns, F.coalesce("o.has_outcome", F.lit(False)).alias("has_outcome"), "o.survived")
 
 

@@ -162,7 +162,7 @@ SQL = {
     "horizon_terminal": f"with c as ({COMMITS}), k as ({CUTOFFS}) select k.repo, k.cutoff, arg_min(c.sha, c.position) as sha, min(c.position) as position from k left join c on c.repo = k.repo and c.ct <= k.cutoff group by k.repo, k.cutoff",
     "redispatch": f"with r as ({REDISPATCH}), e as (select pr, merged_at, a as k from r union all select pr, merged_at, b + 1000 from r) select distinct x.pr from e x join e y on x.k = y.k and x.pr <> y.pr and y.merged_at > x.merged_at and y.merged_at <= x.merged_at + interval 6 hour",
     "range_overlap": f"""with r0 as ({RANGES}), r as (select id, path, first, last from r0 qualify row_number() over (partition by id order by path, first, last) = 1), h as ({HUNKS})
-  select r.id, r.path, coalesce(sum(least(r.last, h.last) - greatest(r.first, h.first) + 1), 0)::bigint as covered from r left join h on r.path = h.path and r.first <= h.last and h.first <= r.last group by r.id, r.path""",
+  select r.id, r.path, coalesce(sum(case when h.path is not null then least(r.last, h.last) - greatest(r.first, h.first) + 1 end), 0)::bigint as covered from r left join h on r.path = h.path and r.first <= h.last and h.first <= r.last group by r.id, r.path""",
     "undoer_vote": f"with v as ({VOTES}) select pr, case when count(distinct actor) filter (actor in ('human', 'agent')) = 1 then max(actor) filter (actor in ('human', 'agent')) end as undone_by from v group by pr",
     "base_rates": f"""with l as ({LABELS}), o as (select repo, horizon_days, case when ratio is null then null when reverted then 'reverted' when ratio < 0.5 then 'substantially_rewritten' when followup then 'followup' else 'survived' end as outcome from l)
   select repo, horizon_days, count(*) as n_rows, count(*) filter (outcome is null) as missing, count(*) filter (outcome = 'survived') as survived, count(*) filter (outcome = 'followup') as followup,
@@ -171,13 +171,13 @@ SQL = {
     "multiset_survival": """with l as (select l_orderkey as pr, l_suppkey % 2 as file, l_returnflag as line, l_linenumber > 3 as later from lineitem),
   a as (select pr, file, line, count(*) as added from l where not later group by all), b as (select pr, file, line, count(*) as removed from l where later group by all)
   select a.pr, sum(added)::bigint as lines, sum(least(added, coalesce(removed, 0)))::bigint as undone, 1 - sum(least(added, coalesce(removed, 0))) / sum(added)::double as line_survival from a left join b on a.pr = b.pr and a.file = b.file and a.line = b.line group by a.pr""",
-    "label_state_asof": f"""with e as ({LABEL_EVENTS}), s as (select * from e where at <= as_of), l as (select pr, label, arg_max(action, ordinal) as action from s where label is not null group by pr, label),
+    "label_state_asof": f"""with e as ({LABEL_EVENTS}), s as (select * from e where "at" <= as_of), l as (select pr, label, arg_max(action, ordinal) as action from s where label is not null group by pr, label),
   g as (select pr, string_agg(label, ',' order by label) as labels from l where action = 'labeled' group by pr), u as (select pr, bool_or(label is null) as unnamed from s group by pr)
   select p.pr, case when coalesce(unnamed, false) then null else coalesce(labels, '') end as labels from (select distinct pr from e) p left join g on g.pr = p.pr left join u on u.pr = p.pr""",
-    "title_asof": f"""with r as ({RENAMES}), p as (select distinct user_id as pr from events), a as (select pr, arg_max(new_title, at) filter (at <= timestamp '2024-01-15 12:00:00') as n, arg_min(old_title, at) as o from r group by pr)
+    "title_asof": f"""with r as ({RENAMES}), p as (select distinct user_id as pr from events), a as (select pr, arg_max(new_title, "at") filter ("at" <= timestamp '2024-01-15 12:00:00') as n, arg_min(old_title, "at") as o from r group by pr)
   select p.pr, coalesce(n, o, 'now') as title from p left join a on a.pr = p.pr""",
-    "process_features": f"""with r as ({REVIEWS}) select pr, count(*) filter (at <= as_of) as reviews, count(*) filter (at <= as_of and state = 'approved') as approvals, count(*) filter (at <= as_of and state = 'changes_requested') as change_requests,
-  count(distinct author) filter (at <= as_of) as reviewers, count(distinct date_trunc('hour', at)) filter (at <= as_of) as review_rounds, floor((epoch_us(min(at) filter (at <= as_of)) - epoch_us(min(opened_at))) / 3.6e9 * 10000 + 0.5) / 10000 as hours_to_first_review from r group by pr""",
+    "process_features": f"""with r as ({REVIEWS}) select pr, count(*) filter ("at" <= as_of) as reviews, count(*) filter ("at" <= as_of and state = 'approved') as approvals, count(*) filter ("at" <= as_of and state = 'changes_requested') as change_requests,
+  count(distinct author) filter ("at" <= as_of) as reviewers, count(distinct date_trunc('hour', "at")) filter ("at" <= as_of) as review_rounds, floor((epoch_us(min("at") filter ("at" <= as_of)) - epoch_us(min(opened_at))) / 3.6e9 * 10000 + 0.5) / 10000 as hours_to_first_review from r group by pr""",
     "history_window": f"""with c0 as ({COMMITS}), c as (select *, max(ct) over (partition by repo order by -position rows unbounded preceding) as landed from c0),
   p as (select sha as pr, -position as bp, landed as bl, unnest([sha % 30, (sha + 1) % 30]) as path from c where sha % 97 = 0)
   select p.pr, count(distinct c.sha) as commits, count(distinct c.author) as authors, count(distinct case when c.event_type = 'error' then c.sha end) as fixes

@@ -83,7 +83,7 @@ QUERIES = {
     "bucketizers": lambda s, d: B.read(s, d, "part").select("p_partkey", X.repository_scale(F.col("p_size") * 200).alias("scale"), X.files_bucket(F.col("p_size")).alias("files")),
 }
 
-_S = f"with scores as ({B.duck_sql(B.SCORES)}), o as (select repo, merge_sha, survived from ({B.OUTCOMES}) qualify row_number() over (partition by repo, merge_sha order by ordinal desc) = 1), j as (select scores.*, o.merge_sha is not null as has_outcome, o.survived from scores left join o on o.repo = scores.repo and o.merge_sha = scores.merge_sha)"
+_S = f"with scores as ({B.duck_sql(B.SCORES)}), o as (select repo, merge_sha, survived from ({B.OUTCOMES}) qualify row_number() over (partition by repo, merge_sha order by ordinal desc, survived desc nulls last) = 1), j as (select scores.*, o.merge_sha is not null as has_outcome, o.survived from scores left join o on o.repo = scores.repo and o.merge_sha = scores.merge_sha)"
 
 
 def _r4(n: str, d: str) -> str:

@@ -12,8 +12,10 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session zone UTC, and this package importable in Python workers that a checkout alone serves."""
+    """Session zone UTC, small Arrow batches, and this package importable in Python workers that a checkout alone serves."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # rows can be long texts: small batches keep both ends of the exchange with Python small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])

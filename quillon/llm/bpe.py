@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 _LOADED: dict[int, ChunkEncoder] = {}
-KEPT = 500_000
+KEPT = 300_000
 LONGEST_KEPT = 48
 #: The fixed pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -27,6 +28,8 @@ SAMPLE_DOCS = 8192
 LABELLED_DOCS = 16_384
 #: Marks of abuse that are kept, the most frequent first.
 MOST_MARKS = 10_000
+#: Marks that a task counts before it sends them on.
+FLUSH = 100_000
 GOOD, NONE, BAD = 0, 1, 2
 
 # Common words of four languages, insults, and signs that prose seldom has.
@@ -41,7 +44,7 @@ INSULTS = CORE_INSULTS | frozenset("trash garbage clown clowns dumb fool fools i
 SIGNS = "#$%&*@^~|<>{}=\\"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
-_EDGES = str.maketrans({c: " " for c in ".,!?;:\"'()[]" + SIGNS})
+_EDGES = bytes(32 if chr(c) in ".,!?;:\"'()[]" + SIGNS else c for c in range(256))
 
 
 def _vote(value: float, good: float, bad: float) -> int:
@@ -58,7 +61,13 @@ def marks_of(word: str) -> list[str]:
 
 def words_in(text: str) -> list[str]:
     """Words in lower case without signs at their edges."""
-    return text.lower().translate(_EDGES).split()
+    return text.lower().encode("utf-8", "replace").translate(_EDGES).decode().split()
+
+
+@lru_cache(8)
+def _heads(learned: frozenset[str]) -> frozenset[str]:
+    """The first three characters of the beginnings among ``learned``: few words need a closer look."""
+    return frozenset(m[:3] for m in learned if m.endswith("-"))
 
 
 def votes_of(text: str | None, learned: frozenset[str] = frozenset()) -> tuple[tuple[int, ...], tuple[int, ...], list[str]]:
@@ -91,7 +100,8 @@ def votes_of(text: str | None, learned: frozenset[str] = frozenset()) -> tuple[t
     )
     found = INSULTS.intersection(different)
     core = CORE_INSULTS.intersection(found)
-    taught = {w for w in different if not learned.isdisjoint(marks_of(w))} if learned else set()
+    heads = _heads(learned)
+    taught = {w for w in different if w in learned or w[:3] in heads and not learned.isdisjoint(marks_of(w))} if learned else set()
     all_found = found | taught
     share = sum(map(all_found.__contains__, words)) / n if all_found else 0.0
     abuse = (
@@ -197,11 +207,12 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLE
         for b in batches:
             for is_bad, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found[is_bad].update({m for w in set(words_in(x.as_py() or "")) if w.isalpha() for m in marks_of(w)})
-                if len(found[0]) + len(found[1]) > 500_000:
+                if len(found[0]) + len(found[1]) > FLUSH:
                     yield flush()
         yield flush()
 
-    rows = docs.select(key, F.col(text).alias("text")).join(drawn, key).select((F.col("label") > 0).cast("int").alias("label"), "text")
+    # the drawn keys are about ``labelled_docs``, whatever the size of the corpus
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(drawn), key).select((F.col("label") > 0).cast("int").alias("label"), "text")
     counted = rows.mapInArrow(count, "mark string, good long, bad long").groupBy("mark").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     support = math.ceil(math.log(1e8) / -math.log(bad / (bad + good)))
     marks = counted.where((F.col("bad") >= support) & (F.col("good") <= 0.03 * F.col("bad")))

@@ -32,7 +32,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SLICE = 1 << 19
 #: Cells that a task keeps before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: An anchor with more different cells than this in one flush, or ``hot_bucket`` in all, is not gathered.
 HOT_IN_FLUSH = 8192
 
@@ -416,13 +416,14 @@ def _as_ranges(length: int, parts: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", hot_bucket: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", hot_bucket: int = 200_000, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """``key, kept, n_bytes, n_removed, n_spans, <carry>``, a row a document: ``kept`` are the bytes that stay.
 
     Every byte of a ``length``-byte string that also starts earlier, in a document of smaller key
     or before in the same one, goes; strings are judged on the input. Null texts count as empty;
     documents with a null key lose nothing. Columns but those in ``carry`` are not read. An empty
-    table gives an empty result.
+    table gives an empty result. With ``whole_characters`` what is left of a UTF-8 character that was
+    cut goes too, so that ``kept`` is text again; ``n_removed`` doesn't count such bytes.
     """
     found = repeated_ranges(docs, length, key, text, hot_bucket)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *carry)
@@ -434,12 +435,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
                 b, out = big.slice(at, 256), []
                 for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     data, gone, n = text or b"", 0, 0
+                    n_bytes = len(data)
                     if ranges:
                         spans = np.frombuffer(ranges, _RANGE)
                         lo, hi = spans["lo"].tolist(), spans["hi"].tolist()
                         n, gone = len(lo), sum(hi) - sum(lo)
-                        data = b"".join(data[i:j] for i, j in zip([0, *hi], [*lo, len(data)], strict=True))
-                    out.append((data, len(data) + gone, gone, n))
+                        data = b"".join(data[i:j] for i, j in zip([0, *hi], [*lo, n_bytes], strict=True))
+                        if whole_characters:
+                            data = data.decode("utf-8", "ignore").encode()
+                    out.append((data, n_bytes, gone, n))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:]], *b.columns[3:]], names=["key", "kept", "n_bytes", "n_removed", "n_spans", *carry])
 

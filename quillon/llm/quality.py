@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 BUCKETS = 1 << 18
 #: About so many documents train the scorer (drawn by a hash of the key, or all if there are fewer).
@@ -267,9 +268,11 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = S
     return QualityModel(learned, prose, abuse, fit([(a, v, p) for a, v, p, _ in sample]), fit([(a, v, t) for a, v, _, t in sample]))
 
 
-def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text", carry_row: bool = False) -> DataFrame:
     """``key, quality, toxicity, posterior_quality, posterior_toxicity, keep``, a row a document.
 
+    With ``carry_row`` all columns of ``docs`` come along as a struct ``row``.
+
     ``keep``: the scorer finds it more likely prose than junk and less likely abuse than not. A null or empty text
     has the votes of junk and goes. Keys may be null or repeat; other columns are not read; an
     empty table gives an empty result.
@@ -286,7 +289,8 @@ def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
                 junk, toxic = _score(m.prose_weights, at, value), _score(m.abuse_weights, at, value)
                 out.append((1 - junk, toxic, 1 - m.prose.get(p, 0.5), m.abuse.get(a, 0.5), junk < 0.5 and toxic < 0.5 and bool(words)))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in cols[:4]], pa.array(cols[4], pa.bool_())], names=[key, "quality", "toxicity", "posterior_quality", "posterior_toxicity", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in cols[:4]], pa.array(cols[4], pa.bool_()), *b.columns[2:]], names=[key, "quality", "toxicity", "posterior_quality", "posterior_toxicity", "keep", *b.schema.names[2:]])
 
-    rows = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, quality double, toxicity double, posterior_quality double, posterior_toxicity double, keep boolean")
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") for _ in range(carry_row)])
+    made = StructType([rows.schema[0], *[StructField(c, DoubleType()) for c in ("quality", "toxicity", "posterior_quality", "posterior_toxicity")], StructField("keep", BooleanType()), *rows.schema.fields[2:]])
+    return rows.mapInArrow(run, made)

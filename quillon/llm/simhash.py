@@ -223,7 +223,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
         found = spanning_forest(near)
         return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
-    some = worded.join(member.select(F.col("node").alias(key)), key, "left_semi").select(F.col(key).cast("long").alias("node"), text).dropDuplicates(["node"])
+    # candidates grow with the corpus: the same join at every size
+    some = worded.join(member.select(F.col("node").alias(key)).hint("merge"), key, "left_semi").select(F.col(key).cast("long").alias("node"), text).dropDuplicates(["node"])
     sets = some.mapInArrow(shingled, "node long, shingles binary")
     links = dealt.join(sets, "node").groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
     groups = connected_components(links)

@@ -43,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> int:
-    """Tasks for ``df``, from its size as Spark estimates it, and never fewer than the session's setting."""
+    """Tasks for ``df``, from its size as Spark estimates it, and never fewer than the session's setting.
+
+    Of rows that don't come from files Spark knows no size (it says 8 EB): those get the setting.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, size // bytes_per_task))
+    return least if size > 1 << 55 else max(least, min(200_000, size // bytes_per_task))
 
 
 def text_bytes(col: str = "text"):

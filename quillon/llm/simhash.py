@@ -8,6 +8,7 @@ sorted run, and every link is verified over all bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
@@ -15,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -54,7 +55,10 @@ def shingle_fingerprint(text: str | None, n: int = 3) -> bytes:
 
 def word_fingerprint(text: str | None) -> bytes:
     """128 bits over the distinct words: a changed word moves few of them, whatever its place."""
-    words = set(words_of(text))
+    return word_fingerprint_of(set(words_of(text)))
+
+
+def word_fingerprint_of(words: set[bytes]) -> bytes:
     digests = b"".join(map(xxhash.xxh128_digest, words, repeat(SEED)))
     return majority_bits(np.frombuffer(digests, np.uint8).reshape(-1, 16))
 
@@ -189,71 +193,201 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
     return rows.join(named.join(of_root, "root").select("node", "component"), rows["fp0"] == F.col("node")).select("key", "fp0", "component")
 
 
-BLOCK = 512
+#: Of one text in so many the shingles are counted, to tell common ones; which are told changes no result.
+COUNTED = 32
+#: So many common shingles at most are told to the tasks.
+MOST_COMMON = 100_000
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, group``: documents in groups of near copies; ``group`` is the least key of the group.
+def least_overlap(total, similarity: float):
+    """The shingles that two sets of ``total`` members together share if they are similar."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-6)
+
+
+def prefix_size(size: int, similarity: float) -> int:
+    """So many of a set's shingles, first in any order that all sets follow, hold one of each similar set's."""
+    return size - math.ceil(similarity * size - 1e-6) + 1
+
+
+def _common_shingles(worded: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order, and how often each was counted."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(x.as_py()), shingle)) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["shingle"])
+
+    drawn = worded.select(text).where(F.pmod(F.xxhash64(text), F.lit(COUNTED)) == 0).distinct()
+    counted = drawn.mapInArrow(cut, "shingle long").groupBy("shingle").count().where("count > 2")
+    found = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    value, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(value)
+    return value[order], n[order]
+
+
+def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the (different) ``shingles`` in the order of all: rare ones, then common ones by their count."""
+    value, n = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(value):
+        place = np.minimum(np.searchsorted(value, shingles), len(value) - 1)
+        rank = np.where(value[place] == shingles, n[place], 0)
+    return shingles[np.lexsort((shingles, rank))[: prefix_size(len(shingles), similarity)]]
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of long columns, in whole runs of the first column; the batches come sorted by it."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if not len(rows):
+            continue
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last run may go on
+        if cut:
+            yield np.concatenate([*held, rows[:cut]])
+            held = []
+        held.append(rows[cut:])
+    if held:
+        yield np.concatenate(held)
+
 
-    Candidates are texts whose 128-bit fingerprints over distinct words are within ``radius``;
-    two are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of at least
-    ``similarity``, computed exactly. Equal texts are one candidate. Texts without words and rows
-    with a null key are in no group and don't appear. A class of many candidates is verified in pairs of
-    blocks of ``BLOCK`` texts, so no task holds a whole class.
+def _batch(names: list[str], rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(names))], names=names)
+
+
+def _may_be_similar(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray:
+    """Can sets be similar whose first shared shingle has these places in their order?"""
+    return np.minimum(size_a - at_a, size_b - at_b) >= least_overlap(size_a + size_b, similarity)
+
+
+def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) -> Iterator[np.ndarray]:
+    """Pairs ``a < b`` of each run that can be similar and are of different components, in parts.
+
+    ``rows``: shingle, node, size and place (in one number), component. Within a run by size, a row
+    meets those up to ``1 / similarity`` of its size, or the next ``reach`` rows only.
     """
-    worded = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    rows = settle(fingerprints(worded, word_fingerprint, 128, key, text), "fingerprints")
-    texts = rows.groupBy("digest").agg(F.min("key").alias("node"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"))
-    # different texts with the same words in another order share a fingerprint; they meet like any other
-    classes = connected_components(near_links(texts, 128, radius))
-    member = classes.select("node", "root", (F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1).alias("i"))
-    member = settle(member.withColumn("block", F.expr(f"i div {BLOCK}")), "classes")
-    blocks = member.groupBy("root").agg(F.max("block").alias("last"))
-    dealt = member.join(blocks, "root").select("node", "root", "block", F.expr("explode(sequence(0L, last))").alias("other"))
-    dealt = dealt.select("node", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2] >> 32, rows[:, 0]))]
+    run, node, size, at, component = rows[:, 0], rows[:, 1], rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF, rows[:, 3]
+    row, step, held, n = np.arange(len(rows)), 0, [], 0
+    while len(row) and (reach is None or step < reach):
+        step += 1
+        row = row[row + step < len(rows)]
+        other = row + step
+        row = row[(run[row] == run[other]) & (similarity * size[other] <= size[row] + 1e-6)]
+        other = row + step
+        hit = (component[row] != component[other]) & _may_be_similar(size[row], at[row], size[other], at[other], similarity)
+        held.append(np.sort(np.column_stack([node[row[hit]], node[other[hit]]]), axis=1))
+        n += len(held[-1])
+        if n > 500_000:
+            yield np.unique(np.concatenate(held), axis=0)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, digest, group, first, n``: documents in groups of near copies; ``group`` is the least key of the group.
+
+    Two texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of at
+    least ``similarity``, computed exactly; of such links none is missed. Equal texts are one candidate,
+    known by their MD5, and rows of one key with different texts are apart. Texts without words and rows
+    with a null key are in no group and don't appear. ``first``: is it the text that stands for its
+    group, the least of its least key? ``n``: rows of this key and text, which appear once.
+
+    Similar sets share one of their first shingles, in an order that puts rare ones first (a prefix
+    filter). Texts meet by these in sorted runs, twice: at first only neighbours by size, together
+    with the links between 128-bit fingerprints within ``radius``, so that groups of many copies become
+    one component; then all whose components still differ and whose sizes and places allow it.
+    """
+    worded = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    digest = F.md5("text").alias("digest")
+    common = _common_shingles(worded, "text", shingle)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, sizes, prefixes = [], [], []
+            for x in b.column(1):
+                words = words_of(x.as_py())
+                shingles = np.unique(shingle_hashes(words, shingle))
+                prints.append(word_fingerprint_of(set(words)))
+                sizes.append(len(shingles))
+                prefixes.append(_prefix(shingles, common, similarity).tobytes())
+            fp = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(np.ascontiguousarray(fp[:, i])) for i in (0, 1)], pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], names=["key", "digest", "fp0", "fp1", "size", "prefix"])
+
+    kind = worded.schema["key"].dataType.simpleString()
+    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, fp0 long, fp1 long, size long, prefix binary"), "fingerprints")
+    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "prefix")])
+    texts = settle(made.withColumn("node", F.monotonically_increasing_id()), "texts")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+                times = np.array([len(x) for x in own], np.int64)
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                node, size = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
+                yield _batch(["shingle", "node", "place"], np.column_stack([np.concatenate(own), node, size << 32 | place]))
+
+    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_runs(batches):
+            new = np.r_[True, x[1:, 0] != x[:-1, 0]]
+            yield _batch(["shingle", "node", "place"], x[~(new & np.r_[new[1:], True])])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_runs(batches):
+            for pairs in run_pairs(np.column_stack([x, x[:, 1]]), similarity, reach=1):
+                yield _batch(["a", "b"], pairs)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_runs(batches):
+            starts = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
+            mixed = np.minimum.reduceat(x[:, 3], starts) != np.maximum.reduceat(x[:, 3], starts)
+            for pairs in run_pairs(x[np.repeat(mixed, np.diff(np.r_[starts, len(x)]))], similarity):
+                yield _batch(["a", "b"], pairs)
+
+    def by_shingle(df: DataFrame, n: int) -> DataFrame:
+        return df.repartition(n, "shingle").sortWithinPartitions("shingle")
+
+    parts = spread(texts.select("node", "size", "prefix"), 8 << 20)
+    shared = settle(by_shingle(texts.select("node", "size", "prefix").mapInArrow(deal, "shingle long, node long, place long"), parts).mapInArrow(shared_only, "shingle long, node long, place long"), "shared")
+    near = near_links(texts.select("node", "fp0", "fp1"), 128, radius).union(by_shingle(shared, parts).mapInArrow(neighbours, "a long, b long"))
+    near = settle(near.distinct(), "pairs")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(words_of(x.as_py()), shingle)).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    def verify(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        near = _Jaccard([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")], similarity)
-        found = spanning_forest(near)
-        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
-
-    # candidates grow with the corpus: the same join at every size
-    some = worded.join(member.select(F.col("node").alias(key)).hint("merge"), key, "left_semi").select(F.col(key).cast("long").alias("node"), text).dropDuplicates(["node"])
-    sets = some.mapInArrow(shingled, "node long, shingles binary")
-    links = dealt.join(sets, "node").groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
-    groups = connected_components(links)
-    named = texts.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
-    return rows.join(named, "digest").select("key", "group")
-
-
-class _Jaccard:
-    """Exact similarity of sets, from products of slices of their incidence matrix."""
-
-    def __init__(self, sets: list[np.ndarray], least: float, columns: int = 4096):
-        self.size = len(sets)
-        sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(self.size), sizes)
-        value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count > 1
-        column = np.cumsum(shared) - 1
-        keep = shared[at]
-        owner, column = owner[keep], column[at[keep]]
-        both = np.zeros((self.size, self.size), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for lo in range(0, int(shared.sum()), columns):
-            a, b = np.searchsorted(column, (lo, lo + columns))
-            part = np.zeros((self.size, columns), np.float32)
-            part[owner[a:b], column[a:b] - lo] = 1
-            both += part @ part.T
-        total = sizes[:, None] + sizes[None, :] - both
-        self.near = both >= least * total - 1e-6
-
-    def __call__(self, i: int, rest: np.ndarray) -> np.ndarray:
-        return self.near[i, rest]
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            is_near = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                is_near.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(is_near, pa.bool_()))
+
+    # candidates grow with the corpus: the same joins at every size
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(shared.select("node")).distinct()
+    wanted = texts.select("node", "digest", F.col("least").alias("key")).join(wanted.hint("merge"), "node", "left_semi")
+    some = worded.select("key", "text", digest).join(wanted.hint("merge"), ["key", "digest"]).select("node", "text").dropDuplicates(["node"])
+    sets = settle(some.mapInArrow(shingled, "node long, shingles binary"), "sets")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")).hint("merge") for x in ("a", "b"))
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
+
+    component = connected_components(links(near))
+    placed = shared.join(component.hint("merge"), "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
+    rest = settle(by_shingle(placed, parts).mapInArrow(others, "a long, b long").distinct(), "pairs")
+    more = settle(links(rest), "links")
+    if more.limit(1).count():
+        component = connected_components(more.union(component.select("node", "root")))
+    member = texts.select("node", "digest", "least").join(component.hint("merge"), "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
+    head = member.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("head"))
+    named = member.join(head.hint("merge"), "root").select("digest", "head")
+    counted = rows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = (F.col("key") == F.col("head.least")) & (F.col("digest") == F.col("head.digest"))
+    return counted.join(named.hint("merge"), "digest").select("key", "digest", F.col("head.least").alias("group"), first.alias("first"), "n")

@@ -416,17 +416,27 @@ def _as_ranges(length: int, parts: int):
     return run
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__row``, unique and in the order of key and text; null for a null key. It is the key itself if no key repeats."""
+    if not rows.where("key is not null").groupBy("key").count().where("count > 1").limit(1).count():
+        return rows.withColumn("__row", F.col("key"))
+    # equal rows are dealt apart by their place
+    ordered = rows.withColumn("__place", F.monotonically_increasing_id()).orderBy("key", "text", "__place").drop("__place")
+    return settle(ordered.withColumn("__row", F.when(F.col("key").isNotNull(), F.monotonically_increasing_id())), "numbered")
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", hot_bucket: int = 200_000, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """``key, kept, n_bytes, n_removed, n_spans, <carry>``, a row a document: ``kept`` are the bytes that stay.
 
     Every byte of a ``length``-byte string that also starts earlier, in a document of smaller key
     or before in the same one, goes; strings are judged on the input. Null texts count as empty;
-    documents with a null key lose nothing. Columns but those in ``carry`` are not read. An empty
+    documents with a null key lose nothing. Rows of one key are apart, in the order of their texts, so
+    of a repeated row one copy stays. Columns but those in ``carry`` are not read. An empty
     table gives an empty result. With ``whole_characters`` what is left of a UTF-8 character that was
     cut goes too, so that ``kept`` is text again; ``n_removed`` doesn't count such bytes.
     """
-    found = repeated_ranges(docs, length, key, text, hot_bucket)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *carry)
+    rows = _told_apart(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *carry))
+    found = repeated_ranges(rows, length, "__row", "text", hot_bucket).withColumnRenamed("key", "__row")
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,4 +457,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:]], *b.columns[3:]], names=["key", "kept", "n_bytes", "n_removed", "n_spans", *carry])
 
-    return rows.join(found, "key", "left").select("key", "text", "ranges", *carry).mapInArrow(apply, f"key long, kept binary, n_bytes long, n_removed long, n_spans long{carried}")
+    return rows.join(found, "__row", "left").select("key", "text", "ranges", *carry).mapInArrow(apply, f"key long, kept binary, n_bytes long, n_removed long, n_spans long{carried}")

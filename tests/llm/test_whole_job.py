@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pytest
 from test_llm_queries import union_find
 
-from quillon.llm import simhash, stages
+from quillon.llm import simhash, stages, suffix_dedup
 
 
 def shingle_sets(texts, n=5):
@@ -66,3 +69,14 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert found == sorted([(1, text), (2, other), (None, text), (None, text), (4, None), (4, None), (5, "  "), (6, "x"), (6, "y")], key=str)
+
+
+@pytest.mark.parametrize("hot", [200_000, 0])
+def test_rows_of_one_key_are_apart_in_suffix_dedup(spark, hot):
+    rng = np.random.default_rng(8)
+    a, b, c = ("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 300)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, b), (2, c), (3, "x" + a[:200] + "y"), (-4, c[100:250]), (5, "short"), (5, "short"), (None, a), (None, a)]
+    kept = suffix_dedup.remove_repeats(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), 100, hot_bucket=hot, carry=("lang",)).collect()
+    found = Counter((r["key"], bytes(r["kept"]).decode(), r["n_removed"]) for r in kept)
+    c_left = c[:100] + c[250:]
+    assert found == Counter([(1, a, 0), (1, "", 300), (2, b, 0), (2, c_left, 150), (3, "xy", 200), (-4, c[100:250], 0), (5, "short", 0), (5, "short", 0), (None, a, 0), (None, a, 0)])

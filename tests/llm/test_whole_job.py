@@ -80,3 +80,11 @@ def test_rows_of_one_key_are_apart_in_suffix_dedup(spark, hot):
     found = Counter((r["key"], bytes(r["kept"]).decode(), r["n_removed"]) for r in kept)
     c_left = c[:100] + c[250:]
     assert found == Counter([(1, a, 0), (1, "", 300), (2, b, 0), (2, c_left, 150), (3, "xy", 200), (-4, c[100:250], 0), (5, "short", 0), (5, "short", 0), (None, a, 0), (None, a, 0)])
+
+
+def test_decontamination_judges_each_row_by_its_own_text(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item), (None, "clean text"), (7, item), (7, "another clean text of one id"), (8, None), (None, None), (9, item + " after")]
+    clean = stages.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert Counter(tuple(r) for r in clean.collect()) == Counter([(None, "clean text"), (7, "another clean text of one id"), (8, None), (None, None)])

@@ -103,6 +103,27 @@ def _history(s: SparkSession, d: str) -> DataFrame:
     return features.file_history(changes, postings, days=5)
 
 
+#: The same over every row, with paths and files of a few dozen rows each at every size. A range is known by all its columns.
+RANGES_ALL = "select distinct concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) as id, l_partkey as path, l_suppkey * 3 as first, l_suppkey * 3 + cast(l_quantity as bigint) as last from lineitem"
+HUNKS_ALL = "select l_partkey as path, l_suppkey * 3 + 7 as first, l_suppkey * 3 + 7 + cast(l_quantity as bigint) * 2 as last from lineitem"
+VOTES_ALL = "select user_id as pr, case when event_type = 'click' then 'human' when event_type = 'error' and user_id % 3 = 0 then 'agent' else 'automation' end as actor from events"
+
+
+def _history_all(s: SparkSession, d: str) -> DataFrame:
+    line = features.landing_times(B.project(s, d, _epoch(COMMITS)).withColumn("position", -F.col("position"))).withColumn("path", F.expr("sha div 30"))
+    postings = line.select("path", "position", "landed", F.col("sha").alias("commit"), "author", (F.col("event_type") == "error").alias("is_fix"))
+    changes = line.select(F.col("sha").alias("pr"), F.col("position").alias("base_position"), F.col("landed").alias("base_landed"), F.array("path", F.col("path") - 1).alias("files"))
+    return features.file_history(changes, postings, days=5)
+
+
+def _landing_all(s: SparkSession, d: str) -> DataFrame:
+    # orders as commits: every tenth on the line, the others side branches of up to nine commits
+    rows = B.read(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("sha")).distinct()
+    side = rows.where("sha % 10 <> 0")
+    parents = side.select(F.expr("sha - sha % 10 + 10").alias("sha"), F.col("sha").alias("parent")).union(side.select("sha", (F.col("sha") - 1).alias("parent")).join(rows.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent"))
+    return features.landing_positions(rows.where("sha % 10 = 0").select("sha", F.expr("sha div 10").alias("position")), parents)
+
+
 def _landing(s: SparkSession, d: str) -> DataFrame:
     # orders as commits: every tenth on the line, the others side branches of up to nine commits
     rows = B.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("sha"))
@@ -127,6 +148,10 @@ QUERIES = {
     "process_features": lambda s, d: features.process_features(B.project(s, d, REVIEWS)),
     "history_window": _history,
     "landing_positions": _landing,
+    "range_overlap_all": lambda s, d: survival.covered_lines(B.project(s, d, RANGES_ALL), B.project(s, d, HUNKS_ALL)),
+    "undoer_vote_all": lambda s, d: survival.undoer(B.project(s, d, VOTES_ALL)),
+    "history_window_all": _history_all,
+    "landing_positions_all": _landing_all,
     "issue_originals": lambda s, d: corrective.issue_originals(_changes(s, d).select("pr", "merged_at").join(B.read(s, d, "lineitem").select(F.col("l_orderkey").alias("pr"), F.col("l_partkey").alias("issue"), F.col("l_shipdate").alias("cited_at")), "pr"), most=40).select("issue", F.size("prs").alias("n")),
     "prefix_lookup": lambda s, d: corrective.owner_of_prefix(B.read(s, d, "customer").select(F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 4).alias("prefix")), B.read(s, d, "customer").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha")), digits=3),
 }
@@ -183,6 +208,15 @@ SQL = {
   select p.pr, count(distinct c.sha) as commits, count(distinct c.author) as authors, count(distinct case when c.event_type = 'error' then c.sha end) as fixes
   from p left join c on c.sha % 30 = p.path and -c.position <= p.bp and c.landed > p.bl - 432000 and c.landed <= p.bl group by p.pr""",
     "landing_positions": "select n_nationkey::bigint as sha, case when n_nationkey % 5 = 0 then n_nationkey // 5 else n_nationkey // 5 + 1 end::bigint as position from nation where n_nationkey <= 20",
+    "range_overlap_all": f"""with r as ({RANGES_ALL}), h as ({HUNKS_ALL})
+  select r.id, r.path, coalesce(sum(case when h.path is not null then least(r.last, h.last) - greatest(r.first, h.first) + 1 end), 0)::bigint as covered from r left join h on r.path = h.path and r.first <= h.last and h.first <= r.last group by r.id, r.path""",
+    "undoer_vote_all": f"with v as ({VOTES_ALL}) select pr, case when count(distinct actor) filter (actor in ('human', 'agent')) = 1 then max(actor) filter (actor in ('human', 'agent')) end as undone_by from v group by pr",
+    "history_window_all": f"""with c0 as ({COMMITS}), c as (select *, max(ct) over (partition by repo order by -position rows unbounded preceding) as landed, sha // 30 as path from c0),
+  p as (select sha as pr, -position as bp, landed as bl, unnest([sha // 30, sha // 30 - 1]) as path from c)
+  select p.pr, count(distinct c.sha) as commits, count(distinct c.author) as authors, count(distinct case when c.event_type = 'error' then c.sha end) as fixes
+  from p left join c on c.path = p.path and -c.position <= p.bp and c.landed > p.bl - 432000 and c.landed <= p.bl group by p.pr""",
+    "landing_positions_all": """with o as (select distinct o_orderkey::bigint as sha from orders) select sha, case when sha % 10 = 0 then sha // 10 else sha // 10 + 1 end::bigint as position from o
+  where sha % 10 = 0 or sha - sha % 10 + 10 in (select sha from o)""",
     "issue_originals": "select l_partkey as issue, count(distinct o_orderkey)::int as n from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where l_shipdate > o_orderdate group by l_partkey having count(distinct o_orderkey) <= 40",
     "prefix_lookup": "with s as (select sha256(cast(c_custkey as varchar)) as sha from customer) select substr(sha, 1, 4) as prefix, case when count(*) = 1 then max(sha) end as sha from s group by 1",
 }

@@ -53,16 +53,6 @@ def shingle_fingerprint(text: str | None, n: int = 3) -> bytes:
     return majority_bits(shingle_hashes(words_of(text), n).view(np.uint8).reshape(-1, 8))
 
 
-def word_fingerprint(text: str | None) -> bytes:
-    """128 bits over the distinct words: a changed word moves few of them, whatever its place."""
-    return word_fingerprint_of(set(words_of(text)))
-
-
-def word_fingerprint_of(words: set[bytes]) -> bytes:
-    digests = b"".join(map(xxhash.xxh128_digest, words, repeat(SEED)))
-    return majority_bits(np.frombuffer(digests, np.uint8).reshape(-1, 16))
-
-
 def fingerprints(docs: DataFrame, make, bits: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, digest, fp0[, fp1]``: the text's MD5 (of a null text: of no bytes) and the fingerprint's words of 64 bits."""
     names = [f"fp{i}" for i in range(bits // 64)]
@@ -260,6 +250,19 @@ def _may_be_similar(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray
     return np.minimum(size_a - at_a, size_b - at_b) >= least_overlap(size_a + size_b, similarity)
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, set if an odd number has it; two to four bits a shingle."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def sketches_allow(size_a: int, size_b: int, a: bytes, b: bytes, similarity: float) -> bool:
+    """Can the sets be similar? Sketches differ in no more bits than the sets have members that are not in both."""
+    a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    apart = int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    return apart <= size_a + size_b - 2 * least_overlap(size_a + size_b, similarity)
+
+
 def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) -> Iterator[np.ndarray]:
     """Pairs ``a < b`` of each run that can be similar and are of different components, in parts.
 
@@ -285,7 +288,7 @@ def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) ->
         yield np.unique(np.concatenate(held), axis=0)
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, digest, group, first, n``: documents in groups of near copies; ``group`` is the least key of the group.
 
     Two texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of at
@@ -295,9 +298,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     group, the least of its least key? ``n``: rows of this key and text, which appear once.
 
     Similar sets share one of their first shingles, in an order that puts rare ones first (a prefix
-    filter). Texts meet by these in sorted runs, twice: at first only neighbours by size, together
-    with the links between 128-bit fingerprints within ``radius``, so that groups of many copies become
-    one component; then all whose components still differ and whose sizes and places allow it.
+    filter). Texts meet by these in sorted runs, twice: at first only neighbours by size, so that groups
+    of many copies become one component; then all whose components still differ. Pairs that their
+    sizes, places or sketches prove to be unlike go, the others are compared.
     """
     worded = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(key).alias("key"), F.col(text).alias("text"))
     digest = F.md5("text").alias("digest")
@@ -305,30 +308,28 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes, prefixes = [], [], []
+            sizes, prefixes, sketches = [], [], []
             for x in b.column(1):
-                words = words_of(x.as_py())
-                shingles = np.unique(shingle_hashes(words, shingle))
-                prints.append(word_fingerprint_of(set(words)))
+                shingles = np.unique(shingle_hashes(words_of(x.as_py()), shingle))
                 sizes.append(len(shingles))
-                prefixes.append(_prefix(shingles, common, similarity).tobytes())
-            fp = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(np.ascontiguousarray(fp[:, i])) for i in (0, 1)], pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], names=["key", "digest", "fp0", "fp1", "size", "prefix"])
+                prefixes.append(_prefix(shingles, common, similarity).astype("<u4").tobytes())  # 32 bits: a chance match is but a candidate
+                sketches.append(parity_sketch(shingles))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], names=["key", "digest", "size", "prefix", "sketch"])
 
     kind = worded.schema["key"].dataType.simpleString()
-    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, fp0 long, fp1 long, size long, prefix binary"), "fingerprints")
-    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("fp0", "fp1", "size", "prefix")])
+    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, size long, prefix binary, sketch binary"), "fingerprints")
+    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")])
     texts = settle(made.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
-                own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+                own = [np.frombuffer(x.as_buffer(), "<u4") for x in b.column(2)]
                 times = np.array([len(x) for x in own], np.int64)
                 place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 node, size = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
-                yield _batch(["shingle", "node", "place"], np.column_stack([np.concatenate(own), node, size << 32 | place]))
+                yield _batch(["shingle", "node", "place"], np.column_stack([np.concatenate(own).astype(np.int64), node, size << 32 | place]))
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_runs(batches):
@@ -352,8 +353,18 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     parts = spread(texts.select("node", "size", "prefix"), 8 << 20)
     shared = settle(by_shingle(texts.select("node", "size", "prefix").mapInArrow(deal, "shingle long, node long, place long"), parts).mapInArrow(shared_only, "shingle long, node long, place long"), "shared")
-    near = near_links(texts.select("node", "fp0", "fp1"), 128, radius).union(by_shingle(shared, parts).mapInArrow(neighbours, "a long, b long"))
-    near = settle(near.distinct(), "pairs")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = [sketches_allow(*x, similarity) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        a, b = (texts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge") for x in ("a", "b"))
+        met = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        return settle(met.mapInArrow(alike, "a long, b long"), "pairs")
+
+    near = candidates(by_shingle(shared, parts).mapInArrow(neighbours, "a long, b long"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,20 +380,27 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
                 is_near.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(is_near, pa.bool_()))
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
     # candidates grow with the corpus: the same joins at every size
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(shared.select("node")).distinct()
-    wanted = texts.select("node", "digest", F.col("least").alias("key")).join(wanted.hint("merge"), "node", "left_semi")
-    some = worded.select("key", "text", digest).join(wanted.hint("merge"), ["key", "digest"]).select("node", "text").dropDuplicates(["node"])
-    sets = settle(some.mapInArrow(shingled, "node long, shingles binary"), "sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = texts.select("node", "digest", F.col("least").alias("key")).join(nodes.hint("merge"), "node", "left_semi")
+        some = worded.select("key", "text", digest).join(wanted.hint("merge"), ["key", "digest"]).dropDuplicates(["key", "digest"])
+        return settle(some.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "sets")
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")).hint("merge") for x in ("a", "b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
 
-    component = connected_components(links(near))
+    sets = sets_of(ends(near))
+    component = connected_components(links(near, sets))
     placed = shared.join(component.hint("merge"), "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
-    rest = settle(by_shingle(placed, parts).mapInArrow(others, "a long, b long").distinct(), "pairs")
-    more = settle(links(rest), "links")
+    rest = candidates(by_shingle(placed, parts).mapInArrow(others, "a long, b long"))
+    new = settle(ends(rest).join(sets.select("node").hint("merge"), "node", "left_anti"), "nodes")
+    if new.limit(1).count():
+        sets = sets.union(sets_of(new))
+    more = settle(links(rest, sets), "links")
     if more.limit(1).count():
         component = connected_components(more.union(component.select("node", "root")))
     member = texts.select("node", "digest", "least").join(component.hint("merge"), "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))

@@ -250,9 +250,23 @@ def _may_be_similar(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray
     return np.minimum(size_a - at_a, size_b - at_b) >= least_overlap(size_a + size_b, similarity)
 
 
+#: Bits of the sketch that goes along with each shingle of a text.
+FOLDED = 128
+
+
+def folded(sketch: bytes) -> bytes:
+    """The sketch of the residues by ``FOLDED``."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, FOLDED // 8), axis=0).tobytes()
+
+
+def most_apart(size_a, size_b, similarity: float):
+    """So many members of two similar sets at most are not in both."""
+    return size_a + size_b - 2 * least_overlap(size_a + size_b, similarity)
+
+
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    """A bit for each residue of the shingles, set if an odd number has it; two to four bits a shingle."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """A bit for each residue of the shingles, set if an odd number has it; two to four bits a shingle, ``FOLDED`` at least."""
+    bits = max(FOLDED, 1 << (2 * len(shingles) - 1).bit_length())
     return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
 
 
@@ -260,17 +274,19 @@ def sketches_allow(size_a: int, size_b: int, a: bytes, b: bytes, similarity: flo
     """Can the sets be similar? Sketches differ in no more bits than the sets have members that are not in both."""
     a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
     apart = int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
-    return apart <= size_a + size_b - 2 * least_overlap(size_a + size_b, similarity)
+    return apart <= most_apart(size_a, size_b, similarity)
 
 
 def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) -> Iterator[np.ndarray]:
     """Pairs ``a < b`` of each run that can be similar and are of different components, in parts.
 
-    ``rows``: shingle, node, size and place (in one number), component. Within a run by size, a row
-    meets those up to ``1 / similarity`` of its size, or the next ``reach`` rows only.
+    ``rows``: shingle, node, size and place (in one number), component, and if given two words of the
+    folded sketch. Within a run by size, a row meets those up to ``1 / similarity`` of its size, or the
+    next ``reach`` rows only.
     """
     rows = rows[np.lexsort((rows[:, 1], rows[:, 2] >> 32, rows[:, 0]))]
     run, node, size, at, component = rows[:, 0], rows[:, 1], rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF, rows[:, 3]
+    sketch = np.ascontiguousarray(rows[:, 4:])
     row, step, held, n = np.arange(len(rows)), 0, [], 0
     while len(row) and (reach is None or step < reach):
         step += 1
@@ -279,7 +295,11 @@ def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) ->
         row = row[(run[row] == run[other]) & (similarity * size[other] <= size[row] + 1e-6)]
         other = row + step
         hit = (component[row] != component[other]) & _may_be_similar(size[row], at[row], size[other], at[other], similarity)
-        held.append(np.sort(np.column_stack([node[row[hit]], node[other[hit]]]), axis=1))
+        a, b = row[hit], other[hit]
+        if sketch.shape[1] and len(a):
+            may = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= most_apart(size[a], size[b], similarity)
+            a, b = a[may], b[may]
+        held.append(np.sort(np.column_stack([node[a], node[b]]), axis=1))
         n += len(held[-1])
         if n > 500_000:
             yield np.unique(np.concatenate(held), axis=0)
@@ -288,6 +308,19 @@ def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) ->
         yield np.unique(np.concatenate(held), axis=0)
 
 
+def mixed_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs ``a < b`` of neighbours that can be similar, in an order of each run's own.
+
+    A text has other neighbours in each of its runs, so that many near copies soon hang together.
+    """
+    order = rows[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, 0].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    order = (order ^ order >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    rows = rows[np.lexsort((order >> np.uint64(16), rows[:, 0]))]
+    a, b = rows[:-1], rows[1:]
+    hit = (a[:, 0] == b[:, 0]) & _may_be_similar(a[:, 2] >> 32, a[:, 2] & 0xFFFFFFFF, b[:, 2] >> 32, b[:, 2] & 0xFFFFFFFF, similarity)
+    return np.unique(np.sort(np.column_stack([a[hit, 1], b[hit, 1]]), axis=1), axis=0)
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, digest, group, first, n``: documents in groups of near copies; ``group`` is the least key of the group.
 
@@ -298,9 +331,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     group, the least of its least key? ``n``: rows of this key and text, which appear once.
 
     Similar sets share one of their first shingles, in an order that puts rare ones first (a prefix
-    filter). Texts meet by these in sorted runs, twice: at first only neighbours by size, so that groups
-    of many copies become one component; then all whose components still differ. Pairs that their
-    sizes, places or sketches prove to be unlike go, the others are compared.
+    filter). Texts meet by these in sorted runs, twice: at first only neighbours by size and in an order of
+    each run's own, so that groups of many copies become one component; then all whose components still
+    differ. Pairs that their sizes, places or sketches prove to be unlike go, the others are compared.
     """
     worded = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(key).alias("key"), F.col(text).alias("text"))
     digest = F.md5("text").alias("digest")
@@ -308,17 +341,19 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, prefixes, sketches = [], [], []
+            sizes, prefixes, sketches, folds = [], [], [], []
             for x in b.column(1):
                 shingles = np.unique(shingle_hashes(words_of(x.as_py()), shingle))
                 sizes.append(len(shingles))
                 prefixes.append(_prefix(shingles, common, similarity).astype("<u4").tobytes())  # 32 bits: a chance match is but a candidate
                 sketches.append(parity_sketch(shingles))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], names=["key", "digest", "size", "prefix", "sketch"])
+                folds.append(folded(sketches[-1]))
+            words = np.frombuffer(b"".join(folds), "<i8").reshape(-1, FOLDED // 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), *[pa.array(np.ascontiguousarray(words[:, i])) for i in (0, 1)]], names=["key", "digest", "size", "prefix", "sketch", "fold0", "fold1"])
 
     kind = worded.schema["key"].dataType.simpleString()
-    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, size long, prefix binary, sketch binary"), "fingerprints")
-    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")])
+    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, size long, prefix binary, sketch binary, fold0 long, fold1 long"), "fingerprints")
+    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix", "sketch", "fold0", "fold1")])
     texts = settle(made.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +373,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_runs(batches):
+            yield _batch(["a", "b"], mixed_pairs(x, similarity))
             for pairs in run_pairs(np.column_stack([x, x[:, 1]]), similarity, reach=1):
                 yield _batch(["a", "b"], pairs)
 
@@ -395,7 +431,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     sets = sets_of(ends(near))
     component = connected_components(links(near, sets))
-    placed = shared.join(component.hint("merge"), "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
+    known = texts.select("node", "fold0", "fold1").join(component.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fold0", "fold1")
+    placed = shared.join(known.hint("merge"), "node").select("shingle", "node", "place", "root", "fold0", "fold1")
     rest = candidates(by_shingle(placed, parts).mapInArrow(others, "a long, b long"))
     new = settle(ends(rest).join(sets.select("node").hint("merge"), "node", "left_anti"), "nodes")
     if new.limit(1).count():

@@ -1,22 +1,25 @@
 """Whole texts to token ids with a ``tokenizers`` file, one call of the library per distinct piece.
 
 The byte-level pattern cuts a text into pieces that tokenize independently. No piece crosses the
-place before a single space that follows a visible character, so ``text.split(" ")`` finds
+place before a single space that precedes a visible character, so ``text.split(" ")`` finds
 chunks that can be looked up as they are; only chunks not seen yet are cut by the pattern, and
-only pieces not seen yet go to the library. A text in which the rule for spaces could fail (two
-in a row, one at its end, the mark of a special token) goes to the library whole.
+only pieces not seen yet go to the library. A text in which the rule for spaces could fail (one before
+another blank, one at its end, the mark of a special token) goes to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import numpy as np
 
 _LOADED: dict[int, ChunkEncoder] = {}
-KEPT = 300_000
+#: Chunks that a worker remembers, some 200 bytes each.
+KEPT = 800_000
 LONGEST_KEPT = 48
+_BEFORE_BLANK = re.compile(r" \s")
 #: The fixed pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -68,7 +71,7 @@ class ChunkEncoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _whole(self, text: str) -> bool:
-        return not self.by_pieces or "  " in text or text.endswith(" ") or "\0" in text or any(s in text for s in self.specials)
+        return not self.by_pieces or text.endswith(" ") or "\0" in text or any(s in text for s in self.specials) or _BEFORE_BLANK.search(text) is not None
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk or of one piece; a piece is not cut further."""

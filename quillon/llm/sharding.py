@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Leading bits of the hashed group key by which ranges are cut.
-CELL_BITS = 16
-#: Sampled rows, at most; their cells go to the driver.
-SAMPLE = 16_384
+#: Sampled points for each range, as expected.
+DRAWS_A_RANGE = 16
 #: Ranges for each shard. A shard is uneven by about half a range at either end.
 RANGES_A_SHARD = 128
+#: Cells of the hashed group key for each range; ranges are cut between cells.
+CELLS_A_RANGE = 64
+
+
+def cell_bits(n_ranges: int) -> int:
+    """Leading bits of the hashed group key that name a cell."""
+    return max(16, (n_ranges * CELLS_A_RANGE - 1).bit_length())
 
 
 def text_size(text: Column) -> Column:
@@ -18,16 +23,27 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def splitters(rows: DataFrame, n: int, sample: int = SAMPLE) -> list[int]:
+def splitters(rows: DataFrame, n: int, total: int, draws_a_range: int = DRAWS_A_RANGE) -> list[int]:
     """``n - 1`` cells at or after which a new range starts, from a sample weighted by size.
 
-    A row's priority is an exponential variate of its size's rate; the least are the sample. It
-    depends on the row alone, so the same table gives the same splitters however it is partitioned.
+    A row is drawn ``size * draws / total`` times in the mean, its fraction by a hash of the row, so the
+    same table gives the same splitters however it is partitioned. The draws of a cell are counted
+    before they meet, and of all cells only those that hold a quantile come to the driver: at most
+    ``n - 1``, which depends on the number of shards alone.
     """
-    variate = (F.shiftrightunsigned(F.xxhash64(F.lit("splitter"), "group", "key"), 12) + 0.5) / float(1 << 52)
-    drawn = rows.select("cell", (-F.log(variate) / F.col("size")).alias("priority")).orderBy("priority", "cell").limit(sample)
-    cells = sorted(r["cell"] for r in drawn.select("cell").collect())
-    return [cells[len(cells) * i // n] for i in range(1, n)] if cells else []
+    chance = (F.shiftrightunsigned(F.xxhash64(F.lit("splitter"), "group", "key"), 12) + 0.5) / float(1 << 52)
+    drawn = rows.select("cell", F.floor(F.col("size") * (n * draws_a_range / total) + chance).alias("draws")).where("draws > 0")
+    counted = drawn.groupBy("cell").agg(F.sum("draws").alias("draws"))
+    # cells are ordered in blocks, each of which is summed before it is ordered
+    blocks = counted.groupBy((F.col("cell") / 256).cast("long").alias("block")).agg(F.sum("draws").alias("of_block"))
+    before = blocks.withColumn("before", F.sum("of_block").over(Window.orderBy("block")) - F.col("of_block"))
+    placed = counted.withColumn("block", (F.col("cell") / 256).cast("long")).join(before, "block")
+    up_to = F.col("before") + F.sum("draws").over(Window.partitionBy("block").orderBy("cell"))
+    ranked = placed.select("cell", "draws", up_to.alias("up_to"))
+    every = F.lit(counted.agg(F.sum("draws")).first()[0] or 0)
+    # a quantile i * every / n falls on one of the cell's draws
+    holds = ranked.where((every > 0) & (F.floor((F.col("up_to") - 1) * n / every) > F.floor((F.col("up_to") - F.col("draws") - 1) * n / every)))
+    return sorted(r["cell"] for r in holds.select("cell").collect())
 
 
 def _numbers(rows: DataFrame, columns: dict[str, list[int]]) -> DataFrame:
@@ -49,21 +65,21 @@ def shard_by_size(rows: DataFrame, n_shards: int, group: Column, size: Column, k
     """
     payload = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
     hashed = rows.select(payload, F.xxhash64(group).alias("group"), size.cast("long").alias("size"), F.xxhash64(key).alias("key"))
-    hashed = hashed.withColumn("cell", F.shiftrightunsigned("group", 64 - CELL_BITS))
-    keep = [f"row.`{c}`" for c in rows.columns]
     n_ranges = n_shards * RANGES_A_SHARD
-    cuts = splitters(hashed, n_ranges)
-    if not cuts:
+    bits = cell_bits(n_ranges)
+    hashed = hashed.withColumn("cell", F.shiftrightunsigned("group", 64 - bits))
+    keep = [f"row.`{c}`" for c in rows.columns]
+    total = hashed.agg(F.sum("size")).first()[0]
+    if not total:
         return hashed.select(*keep, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
-    edges = sorted({0, *cuts, 1 << CELL_BITS})
+    edges = sorted({0, *splitters(hashed, n_ranges, total), 1 << bits})
     spans = [(i, a, b - 1) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
     named = _numbers(rows, {c: [x[i] for x in spans] for i, c in enumerate(("range", "first", "last"))})
     of_cell = named.selectExpr("range", "explode(sequence(first, last)) as cell")
-    ranged = hashed.join(F.broadcast(of_cell), "cell")  # 2 ** CELL_BITS rows
+    ranged = hashed.join(F.broadcast(of_cell), "cell")  # 2 ** bits rows, by the number of shards
 
     # exact sizes over all rows, at most one row a range
     full = {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
-    total = sum(full.values())
     overfull = [i for i, s in full.items() if s * 32 * n_shards > total]
     heavy = []
     if overfull:  # at most 32 * n_shards groups can be that heavy

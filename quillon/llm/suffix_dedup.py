@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .shared import settle, spread
 
@@ -158,7 +159,7 @@ def _pieces_in(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple
 
 
 #: Cells on their way: anchor, content, first and last window, anchor's place, key, 1 if known to be hot.
-_CELL = np.dtype([("anchor", "<u4"), ("content", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("more", "<u2"), ("at", "<u2"), ("hot", "u1")])
+_CELL = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("more", "<u2"), ("at", "<u2"), ("hot", "u1")])
 #: Ranges of bytes to remove.
 _RANGE = np.dtype([("key", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 _ROUTED = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("ranges", pa.binary()), ("hot", pa.binary())])
@@ -279,7 +280,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
 
     Matches never cross documents. A null text counts as empty; texts below ``length`` bytes and rows
     with a null key have no repeats. Keys are whole numbers and must tell the rows apart. Tasks hold
-    the cells of a part, at 29 bytes each, or the bytes around the differing cells of a part.
+    the cells of a part, at 33 bytes each, or the bytes around the differing cells of a part. Cells are
+    equal if the 64-bit hashes of their anchor and of their bytes both are.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     parts = spread(docs, 8 << 20)
@@ -298,12 +300,12 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
             sent = ~is_hot
             sent[bucket] = True  # one of each bucket tells the others
             hot, cells = cells[~sent], cells[sent]
-            return _route(parts, cells=(cells, (cells["anchor"] % parts).astype(np.int64)), ranges=(ranges, _part_of_key(ranges["key"], parts)), hot=(hot, _part_of_key(hot["key"], parts)))
+            return _route(parts, cells=(cells, (cells["anchor"] % np.uint64(parts)).astype(np.int64)), ranges=(ranges, _part_of_key(ranges["key"], parts)), hot=(hot, _part_of_key(hot["key"], parts)))
 
         for keys, texts in _pieces_in(batches, 1):
             c = cells_of(texts, length)
             x = np.zeros(len(c.lo), _CELL)
-            x["anchor"], x["content"], x["key"] = c.anchor >> np.uint64(32), c.content, np.array(keys, np.int64)[c.doc]
+            x["anchor"], x["content"], x["key"] = c.anchor, c.content, np.array(keys, np.int64)[c.doc]
             x["lo"], x["more"], x["at"] = c.lo, c.hi - c.lo, c.at - c.lo
             held.append(x)
             size += len(x)
@@ -437,7 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     """
     rows = _told_apart(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *carry))
     found = repeated_ranges(rows, length, "__row", "text", hot_bucket).withColumnRenamed("key", "__row")
-    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    made = StructType([StructField("key", LongType()), StructField("kept", BinaryType()), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], *[docs.schema[c] for c in carry]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -457,4 +459,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:]], *b.columns[3:]], names=["key", "kept", "n_bytes", "n_removed", "n_spans", *carry])
 
-    return rows.join(found, "__row", "left").select("key", "text", "ranges", *carry).mapInArrow(apply, f"key long, kept binary, n_bytes long, n_removed long, n_spans long{carried}")
+    return rows.join(found, "__row", "left").select("key", "text", "ranges", *carry).mapInArrow(apply, made)

@@ -6,7 +6,8 @@ tree node holds a vantage point and the median distance to it. A search leaves o
 triangle inequality, relaxed by ``factor``, says that it has nothing nearer than the k-th found; factor
 1 leaves out only what can't matter, and the search is exact.
 
-Shards and blocks of queries meet by equality: every task searches one shard for one block.
+Shards and blocks of queries meet by equality: a task takes up a shard's tree once and then searches it
+for one block of queries after the other.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ class VantageTree:
             self.nodes[at] = (lo, hi, vantage, radius, near, far)
         return at
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-        """For each query the rows (as given to the tree) that may be among its ``k`` nearest."""
+    def search(self, q: np.ndarray, k: int, factor: float, row_key: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows (as given to the tree) that may be among its ``k`` nearest, without those whose key is its own."""
         kth = np.full((len(q), k), np.inf)
         found: list[list[np.ndarray]] = [[] for _ in q]
         away: list[list[np.ndarray]] = [[] for _ in q]
@@ -65,9 +66,10 @@ class VantageTree:
                 return
             if vantage is None:
                 d = (q[who] ** 2).sum(1)[:, None] + (self.x[lo:hi] ** 2).sum(1)[None, :] - 2 * q[who] @ self.x[lo:hi].T
+                d[own[who][:, None] == row_key[self.order[lo:hi]][None, :]] = np.inf
                 kth[who] = np.partition(np.concatenate([kth[who], d], axis=1), k - 1, axis=1)[:, :k]
                 for i, w in enumerate(who.tolist()):
-                    hit = np.flatnonzero(d[i] <= kth[w, k - 1] + SLACK)
+                    hit = np.flatnonzero((d[i] <= kth[w, k - 1] + SLACK) & (d[i] < np.inf))
                     found[w].append(self.order[lo + hit])
                     away[w].append(d[i, hit])
                 return
@@ -103,27 +105,32 @@ def usable(vector: str):
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 16_384, block_rows: int = 2_048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 16_384, block_rows: int = 512) -> DataFrame:
     """``query_id, rank, key, score``: each query's ``k`` nearest vectors by inner product, without its own key.
 
     Scores are inner products of the vectors as given, in double precision; ties go to the smaller
     key, and repeated rows of one key count once each. Vectors that are null, empty, zero or hold a null or a
-    number that isn't finite take no part, nor do rows with a null key; all others must have one
-    length. With fewer candidates all are returned; without queries nothing is. Of ``queries`` and
-    ``vectors`` only the key and the vector are read.
+    number that isn't finite take no part, nor do rows with a null key; a query finds vectors of its own
+    length only. With fewer candidates all are returned; without queries nothing is. Of ``queries`` and
+    ``vectors`` only the key and the vector are read. ``factor`` above 1 leaves out more and may miss some.
     """
     spark = vectors.sparkSession
-    rows = settle(vectors.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")), "vectors")
-    asked = queries.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
-    about = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    of = [F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), F.size(vector).alias("dim")]
+    rows = settle(vectors.where(F.col(key).isNotNull() & usable(vector)).select(*of), "vectors")
+    asked = settle(queries.where(F.col(key).isNotNull() & usable(vector)).select(*of), "queries")
+    about = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).first()
     schema = f"query_id long, rank int, {key} long, score double"
     if not about["n"]:
         return spark.createDataFrame([], schema)
-    if about["least"] != about["most"]:
-        raise ValueError("vectors differ in length")
     shards = -(-about["n"] // shard_rows)
     blocks = max(1, -(-asked.count() // block_rows))
     largest = about["m"] * (1 + 1e-12)
+    streamed = "dim int, shard long, block long, tree binary, ids binary, q binary"
+    names = [x.split()[0] for x in streamed.split(", ")]
+
+    def one_row(group: pa.Table, **cells) -> pa.Table:
+        kinds = {"dim": pa.int32(), "shard": pa.int64(), "block": pa.int64()}
+        return pa.table({n: pa.array([cells.get(n)], kinds.get(n, pa.binary())) for n in names})
 
     def build(group: pa.Table) -> pa.Table:
         key_of, x = group.column("key").to_numpy(), _matrix(group.column("v"))
@@ -133,41 +140,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         tree = VantageTree(np.column_stack([x, last]))
         kept = io.BytesIO()
         np.savez(kept, key=key_of, x=x, last=last, order=tree.order, lo=[n[0] for n in tree.nodes], hi=[n[1] for n in tree.nodes], radius=[n[3] for n in tree.nodes], near=[n[4] for n in tree.nodes], far=[n[5] for n in tree.nodes], vantage=np.array([n[2] if n[2] is not None else np.zeros(x.shape[1] + 1) for n in tree.nodes]))
-        return pa.table({"shard": group.column("shard").slice(0, 1), "tree": pa.array([kept.getvalue()], pa.binary())})
+        return one_row(group, dim=x.shape[1], shard=group.column("shard")[0].as_py(), block=-1, tree=kept.getvalue())
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    trees = settle(dealt.groupBy("shard").applyInArrow(build, "shard long, tree binary"), "trees")
+    # rows are dealt by their place, so that a key or vector of very many rows fills no shard
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    trees = settle(dealt.groupBy("dim", "shard").applyInArrow(build, streamed), "trees")
 
     def pack(group: pa.Table) -> pa.Table:
         x = _matrix(group.column("v"))
-        return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.array([group.column("key").to_numpy().tobytes()], pa.binary()), "q": pa.array([x.tobytes()], pa.binary())})
+        return one_row(group, dim=x.shape[1], block=group.column("block")[0].as_py(), ids=group.column("key").to_numpy().tobytes(), q=x.tobytes())
 
-    packed = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, ids binary, q binary")
-    pairs = packed.withColumn("shard", F.expr(f"explode(sequence(0L, {shards - 1}L))"))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.monotonically_increasing_id()), F.lit(blocks)))
+    packed = settle(numbered.groupBy("dim", "block").applyInArrow(pack, streamed), "blocks")
+    every = packed.withColumn("shard", F.expr(f"explode(sequence(0L, {shards - 1}L))")).select(names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = tree = None
         for b in batches:
-            for ids, q, blob in zip(*b.columns, strict=True):
-                kept = np.load(io.BytesIO(blob.as_py()))
-                tree = VantageTree.__new__(VantageTree)
-                tree.order = kept["order"]
-                tree.x = np.column_stack([kept["x"], kept["last"]])[tree.order]
-                far = kept["far"]
-                tree.nodes = [(int(a), int(z), v if f >= 0 else None, float(r), int(n), int(f)) for a, z, v, r, n, f in zip(kept["lo"], kept["hi"], kept["vantage"], kept["radius"], kept["near"], far, strict=True)]
-                key_of, x = kept["key"], kept["x"]
+            for dim, shard, block, blob, ids, q in zip(*b.columns, strict=True):
+                if block.as_py() < 0:  # a shard's tree comes before its blocks
+                    at, kept, far = (dim.as_py(), shard.as_py()), np.load(io.BytesIO(blob.as_py())), None
+                    tree = VantageTree.__new__(VantageTree)
+                    key_of, x, far, tree.order = kept["key"], kept["x"], kept["far"], kept["order"]
+                    tree.x = np.column_stack([x, kept["last"]])[tree.order]
+                    tree.nodes = [(int(a), int(z), v if f >= 0 else None, float(r), int(n), int(f)) for a, z, v, r, n, f in zip(kept["lo"], kept["hi"], kept["vantage"], kept["radius"], kept["near"], far, strict=True)]
+                    continue
+                if at != (dim.as_py(), shard.as_py()):  # no vector of this length in the shard
+                    continue
                 query = np.frombuffer(ids.as_buffer(), np.int64)
                 v = np.frombuffer(q.as_buffer(), np.float64).reshape(len(query), -1)
                 out: list[tuple] = []
-                # its own row may take a place: one more is asked for; copies of a key are passed over below
-                own = int(np.unique(key_of, return_counts=True)[1].max(initial=0))
-                for i, hits in enumerate(tree.search(np.column_stack([v, np.zeros(len(v))]), min(k + own, len(key_of)), factor)):
-                    hits = hits[key_of[hits] != query[i]]
+                for i, hits in enumerate(tree.search(np.column_stack([v, np.zeros(len(v))]), min(k, len(key_of)), factor, key_of, query)):
                     score = (x[hits] * v[i]).sum(1)
                     best = np.lexsort((key_of[hits], -score))[:k]
                     out.extend(zip([int(query[i])] * len(best), key_of[hits][best].tolist(), score[best].tolist(), strict=True))
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "key", "score"])
 
-    found = pairs.join(trees, "shard").select("ids", "q", "tree").mapInArrow(search, "query_id long, key long, score double")
+    stream = trees.select(names).union(every).repartition(min(shards, 20_000), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
+    found = stream.mapInArrow(search, "query_id long, key long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key")))
     return best.where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")

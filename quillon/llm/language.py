@@ -71,7 +71,7 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """A model from all rows with a text and a language; the driver gets one row a language."""
+    """A model from all rows with a text and a language; the driver gets a count for each language and bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -84,15 +84,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
                         found[language] += np.bincount(g, minlength=BUCKETS)
                     else:
                         np.add.at(found[language], g, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["lang", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts")], axis=0)
-        return pa.table({"lang": group.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        for language, n in found.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], names=["lang", "bucket", "n"])
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
-    found = {r["lang"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in counted.collect()}
+    counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = {x: np.bincount(own["bucket"], own["n"], BUCKETS) for x, own in counted.groupby("lang")}
     languages = sorted(found)
     if not languages:
         none = np.zeros((0, 0))

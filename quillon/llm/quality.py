@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 BUCKETS = 1 << 18
-#: About so many documents train the scorer (drawn by a hash of the key, or all if there are fewer).
+#: About so many documents at most train the scorer (drawn by a hash of the text, or all if there are fewer).
 SAMPLE_DOCS = 8192
 LABELLED_DOCS = 16_384
 #: Marks of abuse that are kept, the most frequent first.
 MOST_MARKS = 10_000
+#: The share of a mark's documents that are labelled, at least.
+PURE = 0.95
 #: Marks that a task counts before it sends them on.
 FLUSH = 100_000
 GOOD, NONE, BAD = 0, 1, 2
@@ -41,7 +43,9 @@ COMMON = frozenset(
     "el los las del y en por con para una su al lo como más pero sus se no".split()
 )
 CORE_INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum pathetic worthless disgusting".split())
-INSULTS = CORE_INSULTS | frozenset("trash garbage clown clowns dumb fool fools imbecile jerk filth vermin creep degenerate retard bastard bitch whore slut cretin".split())
+OTHER_INSULTS = frozenset("trash garbage clown clowns dumb fool fools imbecile jerk filth vermin creep degenerate retard bastard bitch whore slut cretin".split())
+INSULTS = CORE_INSULTS | OTHER_INSULTS
+SECOND_PERSON = frozenset("you your yours yourself you're du dich dir dein deine tu te toi ton ta vous votre usted ustedes ti tú".split())
 SIGNS = "#$%&*@^~|<>{}=\\"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -55,9 +59,10 @@ def _vote(value: float, good: float, bad: float) -> int:
     return BAD if value < bad else GOOD if value >= good else NONE
 
 
-def marks_of(word: str) -> list[str]:
-    """The word, and its beginnings of three to seven characters marked as such."""
-    return [word, *[word[:k] + "-" for k in range(3, min(8, len(word)))]]
+def marks_of(words: set[str]) -> set[str]:
+    """The words, and their beginnings of three to eight characters with a sign for how many words have them: - one, = two, # four at least."""
+    begun = Counter(w[:k] for w in words for k in range(3, min(8, len(w)) + 1))
+    return words | {b + "-" for b in begun} | {b + sign for b, n in begun.items() for sign, least in (("=", 2), ("#", 4)) if n >= least}
 
 
 def words_in(text: str) -> list[str]:
@@ -68,7 +73,7 @@ def words_in(text: str) -> list[str]:
 @lru_cache(8)
 def _heads(learned: frozenset[str]) -> frozenset[str]:
     """The first three characters of the beginnings among ``learned``: few words need a closer look."""
-    return frozenset(m[:3] for m in learned if m.endswith("-"))
+    return frozenset(m[:3] for m in learned if m[-1] in "-=#")
 
 
 def votes_of(text: str | None, learned: frozenset[str] = frozenset()) -> tuple[tuple[int, ...], tuple[int, ...], list[str]]:
@@ -99,18 +104,21 @@ def votes_of(text: str | None, learned: frozenset[str] = frozenset()) -> tuple[t
         _vote(len(set(lines)) / len(lines), 0.7, 0.4) if len(lines) >= 5 else NONE,
         _vote(letters / max(len(raw), 1), 0.7, 0.6) if n >= 5 else NONE,
     )
-    found = INSULTS.intersection(different)
-    core = CORE_INSULTS.intersection(found)
+    core = CORE_INSULTS.intersection(different)
+    other = OTHER_INSULTS.intersection(different)
+    named = learned.intersection(different)
     heads = _heads(learned)
-    taught = {w for w in different if w in learned or w[:3] in heads and not learned.isdisjoint(marks_of(w))} if learned else set()
-    all_found = found | taught
-    share = sum(map(all_found.__contains__, words)) / n if all_found else 0.0
+    near = {w for w in different if w[:3] in heads} if learned else set()
+    begun = near and not learned.isdisjoint(marks_of(near) - near)
+    spoken = sum(map(SECOND_PERSON.__contains__, words)) / n
+    # fixed lists, what labels teach in two ways, and how it speaks; each votes either way, as a labeller
+    # that only ever votes bad says nothing
     abuse = (
-        BAD if core else NONE,
-        BAD if found else NONE,
-        (BAD if taught else GOOD) if learned else NONE,
-        BAD if len(all_found) > 1 else NONE if all_found else GOOD,
-        BAD if share > 0.002 else NONE if all_found else GOOD,
+        BAD if core else GOOD,
+        BAD if other else GOOD,
+        (BAD if named else GOOD) if learned else NONE,
+        (BAD if begun else GOOD) if learned else NONE,
+        _vote(spoken, 0.01, 0.05),
     )
     return prose, abuse, words
 
@@ -182,10 +190,10 @@ def _score(weights: np.ndarray, at: np.ndarray, value: np.ndarray) -> float:
 
 
 def learn_abuse(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> frozenset[str]:
-    """Words and beginnings of words that about only documents labelled 1 have.
+    """Words and beginnings of words that hardly any documents but those labelled 1 have.
 
-    From about ``labelled_docs`` labelled documents, drawn by a hash of the key. A mark must be in so many
-    documents with the label, and in so few others, that chance would hardly give one such mark in all.
+    From about ``labelled_docs`` labelled documents, drawn by a hash of the key. Of the documents with a mark ``PURE`` at
+    least have the label, and so many that chance would hardly give one such mark in all.
     """
     labels = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     known = max(labels.count(), 1)
@@ -207,7 +215,7 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLE
 
         for b in batches:
             for is_bad, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found[is_bad].update({m for w in set(words_in(x.as_py() or "")) if w.isalpha() for m in marks_of(w)})
+                found[is_bad].update(marks_of({w for w in words_in(x.as_py() or "") if w.isalpha()}))
                 if len(found[0]) + len(found[1]) > FLUSH:
                     yield flush()
         yield flush()
@@ -215,13 +223,16 @@ def learn_abuse(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLE
     # the drawn keys are about ``labelled_docs``, whatever the size of the corpus
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(drawn), key).select((F.col("label") > 0).cast("int").alias("label"), "text")
     counted = rows.mapInArrow(count, "mark string, good long, bad long").groupBy("mark").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    support = math.ceil(math.log(1e8) / -math.log(bad / (bad + good)))
-    marks = counted.where((F.col("bad") >= support) & (F.col("good") <= 0.03 * F.col("bad")))
+    base, n = bad / (bad + good), F.col("bad") + F.col("good")
+    share = F.col("bad") / n
+    # the log of how much likelier the share is than the base rate
+    told = F.col("bad") * F.log(share / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    marks = counted.where((share >= PURE) & (told >= math.log(1e6)))
     return frozenset(r["mark"] for r in marks.orderBy(F.desc("bad"), "mark").limit(MOST_MARKS).collect())
 
 
 def train(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> QualityModel:
-    """Vote patterns of all documents, then a scorer from about ``sample_docs`` of them.
+    """Vote patterns of all documents, then a scorer from about ``sample_docs`` of their different texts at most.
 
     ``labels(key, toxic)`` teaches one labeller the corpus's own words of abuse. The driver gets
     the patterns, at most 3 ** 11 and 3 ** 5, and the hashed words of the sample.
@@ -245,7 +256,8 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = S
     prose, abuse = map(expect_maximise, patterns)
 
     total = sum(patterns[0].values())
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(total, 1)))
+    # by the text, and of equal texts one: neither a hot key nor a hot text comes to the driver many times
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(total, 1)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = S
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["order", "at", "prose", "abuse"])
 
-    rows = docs.where(drawn).select(F.xxhash64(F.lit("order"), F.col(key)).alias("order"), F.col(text).alias("text")).mapInArrow(hashed, "order long, at binary, prose double, abuse double").collect()
+    rows = docs.where(drawn).select(F.xxhash64(F.lit("order"), F.coalesce(F.col(text), F.lit(""))).alias("order"), F.col(text).alias("text")).dropDuplicates(["order"]).mapInArrow(hashed, "order long, at binary, prose double, abuse double").collect()
     rows.sort(key=lambda r: (r["order"], bytes(r["at"])))
     marks = PROSE + ABUSE
     sample = []

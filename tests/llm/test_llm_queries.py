@@ -313,17 +313,21 @@ def plain_words(text):
 
 
 def plain_leaks(documents, items):
-    def runs(words):
-        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    def runs(words, n=5):
+        return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
-    listed = {k: runs(plain_words(t)) for k, t in items}
+    listed = {k: plain_words(t) for k, t in items}
     found = set()
     for k, t in documents:
-        own = runs(plain_words(t))
+        words = plain_words(t)
+        for item, own in listed.items():
+            if 0 < len(own) < 5 and tuple(own) in runs(words, len(own)):
+                found.add((k, item))
+        own = runs(words)
         where = defaultdict(set)
         for i, x in enumerate(own):
             where[x].add(i)
-        for item, wanted in listed.items():
+        for item, wanted in ((i, runs(w)) for i, w in listed.items()):
             starts = {max(0, at - j) for j, x in enumerate(wanted) for at in where.get(x, ())}
             for s in starts:
                 a, b = Counter(own[s : s + len(wanted)]), Counter(wanted)

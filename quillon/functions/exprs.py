@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 Z95 = 1.959964
 #: The largest whole number that a double holds exactly.
@@ -56,6 +57,11 @@ def promote_coverage(coverage: Column) -> Column:
     return F.when(F.min(coverage == "unavailable"), "unavailable").when(F.min(coverage == "known_zero"), "known_zero").when(F.min(coverage.isin("complete", "known_zero")), "complete").otherwise("partial")
 
 
+def promote_availability(values: Column) -> Column:
+    """One of unavailable, known_zero, available, partial for a group; unavailable for none."""
+    return F.when(F.coalesce(F.min(values == "unavailable"), F.lit(True)), "unavailable").when(F.min(values == "known_zero"), "known_zero").when(F.min(values.isin("available", "known_zero")), "available").otherwise("partial")
+
+
 def promote_single(values: Column, mixed: str, ignore: str | None = None) -> Column:
     """The one distinct value of a group, ``ignore`` (or ``mixed``) if there is none, else ``mixed``."""
     kept = values if ignore is None else F.when(values != ignore, values)
@@ -178,41 +184,137 @@ def task_family(text: Column) -> Column:
     return one.when(any_match(text, [f"(?i){p}" for p in INVESTIGATION_PATTERNS]), "investigation").when(text.isNotNull(), "chore")
 
 
+# Prefixes that look like trackers but name standards, advisories or encodings.
+NOT_TRACKERS = ("CVE", "CWE", "GHSA", "PEP", "RFC", "ISO", "UTF", "SHA", "MD", "HTTP", "TLS", "SSL", "ECMA", "ES", "IEEE", "POSIX", "UCS", "WCAG", "FIPS", "NIST")
+
+
 def issue_keys(text: Column) -> Column:
     """Distinct tracker keys such as AB-12; prefixes that name standards are no keys."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]+-\d+)\b"), F.lit(1)))
     return F.filter(found, lambda k: ~F.split(k, "-")[0].isin(*NOT_TRACKERS))
 
 
-# Prefixes that look like trackers.
-NOT_TRACKERS = ("CVE", "PEP", "UTF", "ISO", "RFC", "SHA", "AES", "RSA", "MD", "GH", "CWE", "TLS", "HTTP", "ES", "UTC", "PR", "GPL", "LGPL", "MIT", "BSD")
-
-
 def pr_number(subject: Column) -> Column:
     """The number of a merge subject or of a trailing ``(#n)``; null without one."""
-    found = F.coalesce(F.nullif(F.regexp_extract(subject, r"(?i)merge pull request #(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(subject, r"\(#(\d+)\)\s*$", 1), F.lit("")))
+    found = F.coalesce(F.nullif(F.regexp_extract(subject, r"(?i)merge pull request #(\d+)\b", 1), F.lit("")), F.nullif(F.regexp_extract(subject, r"\(#(\d+)\)\s*$", 1), F.lit("")))
     return found.cast("long")
 
 
 def revert_acknowledgements(text: Column) -> Column:
-    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)\b(?:intentionally )?reverts #(\d+)"), F.lit(1))), lambda x: x.cast("long"))
+    """Distinct numbers after "reverts" or "intentionally reverts"; none of a null text."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(?:reverts|intentionally reverts)\s+#(\d+)\b"), F.lit(1))
+    return F.transform(F.array_distinct(found), lambda x: x.cast("long"))
+
+
+# Provider prefixes that go, other names of models, and the family whose dots become dashes.
+PROVIDERS = ("openrouter", "litellm", "openai", "anthropic", "google", "gemini", "deepseek", "meta-llama", "meta", "mistralai", "moonshotai", "qwen", "x-ai", "z-ai")
+MODEL_ALIASES = {"kimi-k3-1-pro": "kimi-k3.1-pro", "qwen-3-coder": "qwen3-coder", "llama-3.3-70b": "llama-3.3-70b-instruct", "mistral-large-2": "mistral-large-2407"}
 
 
 def normalize_model(model: Column) -> Column:
-    """Lower case, up to five provider prefixes off, dots to dashes for one family."""
-    bare = F.regexp_replace(F.lower(F.trim(model)), r"^(?:[a-z0-9_-]+/){1,5}", "")
-    return F.when(bare.startswith("claude"), F.translate(bare, ".", "-")).otherwise(bare)
+    """Lower case, up to five known provider prefixes off, dots to dashes for one family, other names resolved.
+
+    Unknown prefixes stay, so that ids of other vendors don't meet known ones.
+    """
+    routed = F.regexp_replace(F.lower(F.regexp_replace(model, r"^\s+|\s+$", "")), "^openrouter:", "")
+    bare = F.regexp_replace(routed, "^(?:(?:" + "|".join(PROVIDERS) + ")/){1,5}", "")
+    dashed = F.when(bare.startswith("claude-"), F.translate(bare, ".", "-")).otherwise(bare)
+    names = F.create_map(*[F.lit(x) for kv in MODEL_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, dashed), dashed)
+
+
+def without_snapshot(model: Column) -> Column:
+    """A normalized id without its date, or without -001 for one family."""
+    compact, dated = F.regexp_replace(model, r"-\d{8}$", ""), F.regexp_replace(model, r"-\d{4}-\d{2}-\d{2}$", "")
+    return F.when(compact != model, compact).when(dated != model, dated).when(model.startswith("gemini-"), F.regexp_replace(model, "-001$", "")).otherwise(model)
 
 
 def sha_id(parts: Sequence[Column], digits: int = 64) -> Column:
-    """Hex SHA-256 of the parts with a NUL between them."""
+    """Hex SHA-256 of the parts with a NUL between them; none of them may be null, as null and nothing would be one."""
     return F.substring(F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256), 1, digits)
 
 
+def json_id(parts: Sequence[Column], digits: int) -> Column:
+    """The first hex digits of the SHA-256 of the parts as a JSON array of strings; a null is written as null."""
+    written = F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(written, 256), 1, digits)
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """``value`` with the fields of its structs in order of their names, at every depth."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[canonical(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    return value
+
+
+def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The columns of ``df`` as JSON with sorted keys and with nulls written out."""
+    names = sorted(columns or df.columns)
+    return F.to_json(F.struct(*[canonical(F.col(c), df.schema[c].dataType).alias(c) for c in names]), {"ignoreNullFields": "false"})
+
+
 def micros(usd: Column) -> Column:
     return F.floor(usd * 1e6 + 0.5).cast("long")
 
 
 def subtract_cached(prompt: Column, *cached: Column) -> Column:
-    """Input tokens of providers whose prompt count includes cached ones; never below zero."""
-    return F.greatest(F.lit(0), reduce(lambda a, b: a - F.coalesce(b, F.lit(0)), cached, prompt))
+    """Input tokens of providers whose prompt count includes cached ones; never below zero, and unknown if the prompt is."""
+    return F.when(prompt.isNotNull(), F.greatest(F.lit(0), reduce(lambda a, b: a - F.coalesce(b, F.lit(0)), cached, prompt)))
+
+
+def cache_exceeds_input(prompt: Column, *cached: Column) -> Column:
+    """Was the subtraction cut at zero?"""
+    return F.coalesce(reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), cached, F.lit(0)) > prompt, F.lit(False))
+
+
+def count_or_null(x: Column) -> Column:
+    """A whole number of at least 0, as text or number; else null."""
+    return F.when(x.cast("string").rlike(r"^\d{1,15}(?:\.0+)?$"), x.cast("string").try_cast("double").cast("long"))
+
+
+def usd_or_null(x: Column) -> Column:
+    """A finite amount of at least 0, else null."""
+    n = x.try_cast("double")
+    return F.when((n >= 0) & ~F.isnan(n) & (n < float("inf")), n)
+
+
+# Ids, models and versions that the contract takes.
+ID, MODEL, VERSION = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", r"^[A-Za-z0-9][A-Za-z0-9._:/+-]{0,127}$", r"^[A-Za-z0-9][A-Za-z0-9._+-]{0,63}$"
+
+
+def id_or_null(x: Column) -> Column:
+    return F.when(x.rlike(ID), x)
+
+
+def model_or_null(x: Column) -> Column:
+    return F.when(x.rlike(MODEL) & ~x.contains("..") & ~x.contains("//"), x)
+
+
+def version_or_null(x: Column) -> Column:
+    return F.when(x.rlike(VERSION), x)
+
+
+def quarter(at: Column) -> Column:
+    """Such as 2024Q1."""
+    return F.concat(F.year(at).cast("string"), F.lit("Q"), F.quarter(at).cast("string"))
+
+
+def round_usd(x: Column) -> Column:
+    """To a billionth of a dollar, halves up."""
+    return round_half_up(x, 9)
+
+
+# Bounds of cost in dollars and of time in seconds.
+LOW_COST, MEDIUM_COST, FAST, MEDIUM_TIME = 1, 5, 300, 1800
+
+
+def outcome_labels(cost: Column, budget: Column, seconds: Column, succeeded: Column) -> Column:
+    """A struct of labels: budget, cost, time and success; unknown where what they need is null."""
+    budget_label = F.when(budget.isNull() | cost.isNull(), "unknown").when(cost <= budget, "under_budget").otherwise("over_budget")
+    cost_label = F.when(cost.isNull(), "unknown").when(cost == 0, "free").when(cost < LOW_COST, "low").when(cost < MEDIUM_COST, "medium").otherwise("high")
+    time_label = F.when(seconds.isNull(), "unknown").when(seconds < FAST, "fast").when(seconds < MEDIUM_TIME, "medium").otherwise("slow")
+    success = F.when(F.coalesce(succeeded, F.lit(False)), "success").otherwise("failure")
+    return F.struct(budget_label.alias("budget_label"), cost_label.alias("cost_label"), time_label.alias("time_label"), success.alias("success_label"))

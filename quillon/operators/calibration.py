@@ -33,9 +33,16 @@ def stratified_sample(rows: DataFrame, seed: str, key: str, by: list[str], n: in
 
 
 def tercile_bands(rows: DataFrame, size: str, key: str) -> DataFrame:
-    """Band 0, 1 or 2 by size: cuts at floor(n / 3) and floor(2 n / 3) of the ordered rows."""
-    ordered = rows.withColumn("__i", F.row_number().over(Window.partitionBy("repo").orderBy(size, key)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("repo")))
-    return ordered.withColumn("band", F.expr("if(__i < __n div 3, 0, if(__i < 2 * __n div 3, 1, 2))")).drop("__i", "__n")
+    """Band 0, 1 or 2 by size: cuts at floor(n / 3) and floor(2 n / 3) of the rows in order of size and key.
+
+    Sizes are counted first, so that no task orders a whole repository: only rows of one size are ordered by their key.
+    """
+    counted = rows.groupBy("repo", F.col(size).alias("__size")).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy("repo")
+    before = counted.withColumn("__before", F.sum("__c").over(w.orderBy("__size")) - F.col("__c")).withColumn("__n", F.sum("__c").over(w)).drop("__c")
+    placed = rows.withColumn("__size", F.col(size)).join(before, ["repo", "__size"])
+    at = placed.withColumn("__i", F.col("__before") + F.row_number().over(Window.partitionBy("repo", "__size").orderBy(key)) - 1)
+    return at.withColumn("band", F.expr("if(__i < __n div 3, 0, if(__i < 2 * __n div 3, 1, 2))")).select(*rows.columns, "band")
 
 
 def kappa(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

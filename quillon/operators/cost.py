@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import pricing
 
 SOURCES = ("provider_reported", "local_estimate", "none")
 LEDGER_TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
@@ -111,17 +112,86 @@ def cost_totals(observations: DataFrame, keys: Sequence[str], tokens: Sequence[s
     )
 
 
+# What a ledger row may hold, and its fields but the checksum.
+TASK_ID, BACKEND = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", r"^[A-Za-z0-9][A-Za-z0-9._:@/-]{0,127}$"
+SECRET_LIKE, ADDRESS = r"(?i)^(sk(-ant)?-|AKIA|acct[_-])", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+BASES, COVERAGES = ("metered", "token_equivalent", "unpriced"), ("complete", "partial")
+HARNESSES = ("claude-code", "codex", "native", "pi", "unknown")
+SIGNED = {
+    "v": "v", "id": "id", "ts": "ts", "taskId": "task_id", "model": "model", "harness": "harness", "backend": "backend", "source": "source", "pricingBasis": "pricing_basis", "amountMicros": "amount_micros",
+    "currency": "currency", "inputTokens": "input_tokens", "outputTokens": "output_tokens", "cacheReadTokens": "cache_read_tokens", "cacheWriteTokens": "cache_write_tokens", "coverage": "coverage",
+}
+
+
+def ledger_json(row: dict[str, Column]) -> Column:
+    """A ledger row as JSON with sorted keys and its nulls; what its checksum is taken of."""
+    return F.to_json(F.struct(*[row[k].alias(k) for k in sorted(row)]), {"ignoreNullFields": "false"})
+
+
+def ledger_checksum(row: dict[str, Column]) -> Column:
+    return F.substring(F.sha2(ledger_json(row), 256), 1, 16)
+
+
 def to_ledger(events: DataFrame) -> DataFrame:
-    """Events as ledger rows: counters that are unknown count 0 and make the row partial."""
+    """Events as ledger rows: counters that are unknown count 0 and make the row partial.
+
+    ``id`` is of task, source and event as a JSON array, ``c`` the checksum of all other fields. A
+    backend that isn't given is the price table, else what precedes a slash in the model.
+    """
     basis = F.when(F.col("actual_micros").isNotNull(), "metered").when(F.col("estimated_micros").isNotNull(), "token_equivalent").otherwise("unpriced")
     known = F.lit(True)
     for t in LEDGER_TOKENS:
         known = known & F.col(t).isNotNull()
-    return events.select(
-        X.sha_id([F.col("task_id"), F.col("source"), F.col("event_id")], 32).alias("id"), "ts", "task_id", "model", "harness", "backend", "source",
-        basis.alias("pricing_basis"), F.coalesce("actual_micros", "estimated_micros").alias("amount_micros"),
+    prefix = F.when(F.instr("model", "/") > 1, F.substring_index("model", "/", 1)).otherwise("unknown")
+    backend = F.coalesce(*[F.col(c) for c in ("backend", "price_table") if c in events.columns], prefix)
+    made = events.select(
+        F.lit(1).alias("v"), X.json_id([F.col("task_id"), F.col("source"), F.col("event_id")], 32).alias("id"), "ts", F.col("task_id").cast("string").alias("task_id"), "model", "harness", backend.alias("backend"), "source",
+        basis.alias("pricing_basis"), F.coalesce("actual_micros", "estimated_micros").alias("amount_micros"), F.lit("USD").alias("currency"),
         *[F.coalesce(F.col(t), F.lit(0)).alias(t) for t in LEDGER_TOKENS], F.when(known, "complete").otherwise("partial").alias("coverage"),
     )
+    signed = {k: F.unix_millis(F.col(c).cast("timestamp")) if c == "ts" else F.col(c) for k, c in SIGNED.items()}
+    return made.withColumn("c", ledger_checksum(signed)).withColumn("task_id", F.col("task_id").cast(events.schema["task_id"].dataType))
+
+
+def safe_label(x: Column, pattern: str) -> Column:
+    """Does it fit the pattern, without double dots or slashes, and look like neither a secret nor an address?"""
+    return F.coalesce(x.rlike(pattern) & ~x.contains("..") & ~x.contains("//") & ~x.rlike(SECRET_LIKE) & ~x.rlike(ADDRESS), F.lit(False))
+
+
+def ledger_errors(row: dict[str, Column]) -> Column:
+    """Names of the fields of a ledger row that break a rule, in fixed order; empty for a valid one."""
+
+    def count(x: Column) -> Column:
+        return F.coalesce((x >= 0) & (x <= X.SAFE_INTEGER), F.lit(False))
+
+    def one_of(x: Column, names) -> Column:
+        return F.coalesce(x.isin(*names), F.lit(False))
+
+    amount, unpriced = row["amountMicros"], row["pricingBasis"] == "unpriced"
+    rules = {
+        "taskId": safe_label(row["taskId"].cast("string"), TASK_ID), "model": safe_label(row["model"], X.MODEL), "backend": safe_label(row["backend"], BACKEND), "harness": one_of(row["harness"], HARNESSES), "source": one_of(row["source"], SOURCES),
+        "pricingBasis": one_of(row["pricingBasis"], BASES), "amountMicros": F.coalesce(unpriced, F.lit(False)).eqNullSafe(amount.isNull()) & (amount.isNull() | count(amount)),
+        **{c: count(row[c]) for c in ("ts", "inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens")}, "coverage": one_of(row["coverage"], COVERAGES),
+    }
+    return F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules.items()]))
+
+
+# Steps from one version of a ledger row to the next; none yet.
+MIGRATIONS: dict[int, Callable[[Column], Column]] = {}
+
+
+def migrated(row: Column, version: Column, target: int = 1, steps: dict[int, Callable[[Column], Column]] | None = None) -> Column:
+    """``row`` (a struct with ``v``) taken from its version to ``target`` step by step; null where a step is missing or the version is beyond it."""
+    steps = MIGRATIONS if steps is None else steps
+    out = F.when(version == target, row)
+    for first in range(target - 1, 0, -1):
+        if not all(v in steps for v in range(first, target)):
+            break
+        made = row
+        for v in range(first, target):
+            made = steps[v](made).withField("v", F.lit(v + 1))
+        out = out.when(version == first, made)
+    return out
 
 
 def append_new(ledger: DataFrame, rows: DataFrame) -> DataFrame:
@@ -182,20 +252,91 @@ def task_summary(ledger: DataFrame) -> DataFrame:
 
 
 def price(usage: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
-    """Usage with ``pico_usd`` and ``priced_micros``: exact whole-number pricing, half up.
+    """Usage with ``pico_usd`` and ``priced_micros``: exact whole-number pricing of input and output, half up.
 
-    The normalized id is looked up first, then the id without a date suffix; without a price, or
-    with an unknown counter, the amount is null. ``prices(model, input_rate, output_rate)`` are
-    dollars for a million tokens; they are looked up by an ordinary join.
+    The normalized id is looked up first, then the id without its snapshot; without a price, or
+    with an unknown counter, the amount is null. ``prices`` as ``pricing`` tells; they are looked up by an ordinary join.
     """
-    keyed = usage.withColumn("__id", X.normalize_model(F.col(model))).withColumn("__short", F.regexp_replace("__id", r"-\d{8}$", ""))
-    one = prices.select(F.col("model").alias("__id"), F.struct("input_rate", "output_rate").alias("__exact"))
-    two = prices.select(F.col("model").alias("__short"), F.struct("input_rate", "output_rate").alias("__base"))
-    found = keyed.join(one, "__id", "left").join(two, "__short", "left").withColumn("__rate", F.coalesce("__exact", "__base"))
+    found = pricing.with_price(usage, prices, model)
+    total = pricing.pico_usd(F.col("input_tokens"), F.col("price.input_rate")) + pricing.pico_usd(F.col("output_tokens"), F.col("price.output_rate"))
+    known = F.col("price").isNotNull() & F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
+    priced = found.withColumn("pico_usd", F.when(known, total.cast("decimal(38,0)")))
+    return priced.withColumn("priced_micros", pricing.pico_to_micros(F.col("pico_usd"))).drop("price")
+
+
+def difference(current: Column, previous: Column) -> Column:
+    """One field's step: null if unknown, all of it without a value before, 0 if it fell."""
+    return F.when(current.isNotNull(), F.when(previous.isNull(), current).otherwise(F.greatest(current - previous, F.lit(0).cast("long"))))
+
+
+# Canonical order of events.
+CANONICAL_ORDER = ("ts", "session_id", "sequence", "event_id")
+
+
+def assign_sequence(rows: DataFrame, session: str = "session_id", at: str = "ts", order: str = "ordinal") -> DataFrame:
+    """``sequence`` from 1 in each session by time, rows of one time in their given order."""
+    return rows.withColumn("sequence", F.row_number().over(Window.partitionBy(session).orderBy(at, order)))
+
+
+def contributing(events: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Events that a summary of their task names in its ``event_ids``."""
+    named = summaries.select("task_id", F.explode("event_ids").alias("event_id"))
+    return events.join(named, ["task_id", "event_id"], "left_semi")
+
+
+def merge_breakdowns(parts: DataFrame, keys: Sequence[str], tokens: Sequence[str]) -> DataFrame:
+    """Breakdowns of engines merged by ``keys``: strict totals, lower bounds of charges and estimates, sums and promoted states."""
+    return parts.groupBy(*keys).agg(
+        X.strict_sum(F.col("total_micros")).alias("total_micros"), F.sum("actual_micros").alias("actual_micros"), F.sum("estimated_micros").alias("estimated_micros"),
+        *[F.sum(t).alias(t) for t in tokens], F.sum("events").alias("events"), F.sum("turns").alias("turns"),
+        X.promote_source(F.col("cost_source")).alias("cost_source"), X.promote_coverage(F.col("coverage")).alias("coverage"),
+    )
+
+
+# Codes of a cost report in its order; those that only inform and those that are errors; two that are renamed.
+DIAGNOSTICS = (
+    "missing_token_usage", "invalid_token_usage", "unpriced_model", "mixed_coverage", "provider_reported_cost", "no_pricing_data", "no_priced_sessions", "stale_pricing_revision", "replay_dropped",
+    "cumulative_backward_jump", "subscription_basis_no_charge", "oversized_line", "truncated_input", "missing_session_id", "session_not_in_boundary", "foreign_task", "missing_timestamp", "outside_time_window",
+    "missing_usage", "invalid_usage_value", "duplicate_row", "cumulative_counter_reset", "codex_cache_exceeds_input", "unpriced_service_tier", "oversized_file", "invalid_usage", "duplicate_event",
+    "session_file_unreadable", "malformed_record", "no_usage_captured", "collection_failed", "aggregation_failed", "ledger_flush_failed",
+)
+INFORMING = ("provider_reported_cost", "replay_dropped", "subscription_basis_no_charge", "duplicate_event", "duplicate_row", "outside_time_window", "session_not_in_boundary", "foreign_task")
+FAILING = ("collection_failed", "aggregation_failed", "ledger_flush_failed")
+RENAMED = {"unreadable_file": "session_file_unreadable", "malformed_line": "malformed_record", "invalid_record": "malformed_record"}
+
+
+def report_diagnostics(counts: DataFrame, key: str = "task_id") -> DataFrame:
+    """``key, place, code, level, count`` of codes that occur, in the report's order; codes it doesn't know are left out."""
+    renamed = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv]), F.col("code")), F.col("code"))
+    place = F.array_position(F.array(*[F.lit(c) for c in DIAGNOSTICS]), F.col("code"))
+    total = counts.select(key, renamed.alias("code"), "count").where("count > 0").groupBy(key, "code").agg(F.sum("count").alias("count"))
+    level = F.when(F.col("code").isin(*INFORMING), "info").when(F.col("code").isin(*FAILING), "error").otherwise("warn")
+    return total.where(place > 0).select(key, place.cast("int").alias("place"), "code", level.alias("level"), "count")
+
+
+def cost_report(events: DataFrame, tokens: Sequence[str] = LEDGER_TOKENS) -> DataFrame:
+    """One row a task from its contributing events: totals, provenance and how much of it was priced.
+
+    ``events`` as for ``cost_totals`` with ``cost_source, usage_coverage, pricing_revision, price_table``.
+    Unpriced models are those of events that have usage and no cost; revisions and tables are sorted.
+    """
+    resolved = F.coalesce("actual_micros", "estimated_micros")
+    priced = F.col("cost_source") != "none"
+    unknown = ~priced & (F.col("usage_coverage") != "unavailable")
+    return events.groupBy("task_id").agg(
+        X.strict_sum(resolved).alias("total_micros"), F.sum("actual_micros").alias("actual_micros"), F.sum("estimated_micros").alias("estimated_micros"), *[F.sum(t).alias(t) for t in tokens],
+        F.count(F.lit(1)).alias("events"), F.count_distinct("session_id", "turn_id").alias("turns"), X.promote_source(F.col("cost_source")).alias("cost_source"),
+        F.array_sort(F.collect_set("pricing_revision")).alias("revisions"), F.max("pricing_revision").alias("revision"), F.array_sort(F.collect_set("price_table")).alias("price_tables"),
+        F.count_if(priced).alias("priced_events"), F.count_if(~priced).alias("unpriced_events"), F.array_sort(F.collect_set(F.when(unknown, F.col("model")))).alias("unknown_models"),
+    )
+
+
+def or_unavailable(tasks: DataFrame, report: DataFrame) -> DataFrame:
+    """Every task with its report, or with nulls and the coverage unavailable."""
+    joined = tasks.select("task_id").join(report, "task_id", "left")
+    return joined.withColumn("status", F.when(F.col("events").isNull(), "unavailable").when(F.col("unpriced_events") > 0, "partial").otherwise("complete"))
 
-    def pico(tokens: str, rate: str) -> Column:
-        return F.col(tokens).cast("decimal(19,0)") * F.floor(F.col(f"__rate.{rate}") * 1e6 + 0.5).cast("decimal(18,0)")
 
-    total = (pico("input_tokens", "input_rate") + pico("output_tokens", "output_rate")).cast("decimal(38,0)")
-    priced = found.withColumn("pico_usd", total).withColumn("priced_micros", F.floor((F.col("pico_usd") + 500000) / 1000000).cast("long"))
-    return priced.drop("__id", "__short", "__exact", "__base", "__rate")
+def stage_total(stages: DataFrame, key: str = "task_id", cost: str = "cost_usd") -> DataFrame:
+    """The sum of a task's stages to a billionth, null unless every stage is known."""
+    return stages.groupBy(key).agg(X.round_usd(X.strict_sum(F.col(cost).cast("decimal(28,9)")).cast("double")).alias("stage_total_usd"), F.count(F.lit(1)).alias("stages"))

@@ -47,8 +47,11 @@ def landing_times(line: DataFrame, repo: str = "repo") -> DataFrame:
 
 def file_history(changes: DataFrame, postings: DataFrame, days: int = 90) -> DataFrame:
     """Distinct commits, authors and fixes on a change's files that landed in the ``days`` before its base, at or below the base's position."""
-    own = changes.select("pr", "base_position", "base_landed", F.explode("files").alias("path"))
-    met = own.join(postings, "path").where((F.col("position") <= F.col("base_position")) & (F.col("landed") > F.col("base_landed") - days * 86_400) & (F.col("landed") <= F.col("base_landed")))
+    # files meet in buckets of time as long as the window, of which a change sees two: a file of a long history is many keys
+    span = days * 86_400
+    bucket = F.floor(F.col("base_landed") / span)
+    own = changes.select("pr", "base_position", "base_landed", F.explode("files").alias("path")).withColumn("bucket", F.explode(F.array(bucket - 1, bucket)))
+    met = own.join(postings.withColumn("bucket", F.floor(F.col("landed") / span)), ["path", "bucket"]).where((F.col("position") <= F.col("base_position")) & (F.col("landed") > F.col("base_landed") - span) & (F.col("landed") <= F.col("base_landed")))
     agg = met.groupBy("pr").agg(F.count_distinct("commit").alias("commits"), F.count_distinct("author").alias("authors"), F.count_distinct(F.when(F.col("is_fix"), F.col("commit"))).alias("fixes"))
     return changes.select("pr").join(agg, "pr", "left").select("pr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("commits", "authors", "fixes")])
 
@@ -67,7 +70,8 @@ def landing_positions(line: DataFrame, parents: DataFrame, most_rounds: int = 10
         better = checkpointed(known.where(F.col("__have").isNull() | (F.col("position") < F.col("__have"))).select("sha", "position"))
         if better.isEmpty():
             return best
-        best = checkpointed(best.union(better).groupBy("sha").agg(F.min("position").alias("position")))
+        # what fell takes the old place; the rest is not grouped anew
+        best = checkpointed(best.join(better.select("sha"), "sha", "left_anti").union(better))
         front = better
     raise ValueError("history is deeper than most_rounds")
 
@@ -93,6 +97,24 @@ def column_errors(columns: Iterable[str], declared: Iterable[str], namespaces: I
     return out + [(c, "missing") for c in sorted(declared - seen)]
 
 
+def ancestors(heads: DataFrame, parents: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """``head, sha``: every commit that a head's history holds, itself included."""
+    front = known = heads.select(F.col("sha").alias("head"), "sha").distinct()
+    for _ in range(most_rounds):
+        met = front.join(parents, "sha").select("head", F.col("parent").alias("sha")).distinct()
+        front = checkpointed(met.join(known, ["head", "sha"], "left_anti"))
+        if front.isEmpty():
+            return known
+        known = checkpointed(known.union(front))
+    raise ValueError("history is deeper than most_rounds")
+
+
+def is_ancestor(commits: DataFrame, heads: DataFrame, parents: DataFrame) -> DataFrame:
+    """``commits`` (``sha``) with ``on_branch``: does the history of a head hold it?"""
+    held = ancestors(heads, parents).select("sha").distinct().withColumn("__on", F.lit(True))
+    return commits.join(held, "sha", "left").withColumn("on_branch", F.coalesce("__on", F.lit(False))).drop("__on")
+
+
 def late_evidence(events: DataFrame) -> DataFrame:
     """Events after ``as_of`` and events without a time, by change."""
     return events.groupBy("pr").agg(F.count_if(F.col("at") > F.col("as_of")).alias("late"), F.count_if(F.col("at").isNull()).alias("undated"))

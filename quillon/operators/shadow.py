@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -45,8 +45,8 @@ def _counts(flagged) -> list:
 
 def report(joined: DataFrame) -> DataFrame:
     """Metrics by repository at the threshold of its last score; the most frequent scorer, of ties the first seen."""
-    w = Window.partitionBy("repo").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = joined.withColumn("__threshold", F.last("threshold").over(w))
+    last = joined.groupBy("repo").agg(F.max_by("threshold", "ordinal").alias("__threshold"))
+    rows = joined.join(last, "repo")
     flagged = F.col("score") < F.col("__threshold")
     matured = F.count_if(F.col("survived").isNotNull()).alias("n_matured")
     unlabelled = F.count_if(F.col("has_outcome") & F.col("survived").isNull()).alias("n_unlabelled")
@@ -58,8 +58,21 @@ def report(joined: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(joined: DataFrame, steps: int = 19) -> DataFrame:
-    """The metrics at 0.05, 0.10, ..., from one pass: each row counts at every threshold."""
-    at = F.explode(F.expr(f"transform(sequence(1, {steps}), i -> floor(i * 0.05D * 10000 + 0.5) / 10000D)")).alias("at")
-    rows = joined.select("repo", "score", "survived", at)
-    counted = rows.groupBy("repo", "at").agg(F.count(F.lit(1)).alias("n_scored"), *_counts(F.col("score") < F.col("at")))
-    return counted.select("repo", F.col("at").alias("threshold"), F.col("n_flagged").alias("would_flag_count"), *_rates())
+    """The metrics at 0.05, 0.10, ...: scores are counted between thresholds first, and those counts are summed below each."""
+    at = F.expr(f"transform(sequence(1, {steps}), i -> floor(i * 0.05D * 10000 + 0.5) / 10000D)")
+    # a score is flagged at every threshold above it: those after the first ``reached``
+    reached = F.size(F.filter(at, lambda t: t <= F.col("score")))
+    known = F.col("survived").isNotNull()
+    cells = joined.groupBy("repo", reached.alias("reached")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("m"), F.count_if(~F.col("survived")).alias("gone"), F.count_if(F.col("survived")).alias("stands"),
+    )
+    each = cells.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    below = F.col("reached") < F.col("i")
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(F.when(below, F.col(c))), F.lit(0))
+
+    counted = each.groupBy("repo", "i").agg(
+        F.sum("n").alias("n_scored"), total("n").alias("n_flagged"), total("m").alias("flagged_matured"), total("gone").alias("flagged_not_survived"), total("stands").alias("flagged_survived"), F.sum("stands").alias("n_survived"),
+    )
+    return counted.select("repo", F.element_at(at, F.col("i")).alias("threshold"), F.col("n_flagged").alias("would_flag_count"), *_rates())

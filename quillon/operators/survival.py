@@ -13,21 +13,23 @@ CELL = 64
 def horizon_terminal(commits: DataFrame, cutoffs: DataFrame, repo: str = "repo") -> DataFrame:
     """For each cutoff the first commit, from the tip, whose time is not after it; null if there is none.
 
-    Commit times need not fall along the walk. Only commits that lower the running minimum can be an
-    answer, so the rest goes before the join by repository.
+    Commit times need not fall along the walk. Only commits that lower the running minimum can be an answer; along those times fall, so the
+    answer is the latest of them that is not after the cutoff: one ordered pass over both, no join.
     """
     w = Window.partitionBy(repo).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    lower = commits.withColumn("__least", F.min("ct").over(w)).where(F.col("__least").isNull() | (F.col("ct") < F.col("__least"))).select(repo, "position", "sha", "ct")
-    met = cutoffs.join(lower, repo, "left").where(F.col("ct").isNull() | (F.col("ct") <= F.col("cutoff")))
-    best = met.groupBy(repo, "cutoff").agg(F.min_by("sha", "position").alias("sha"), F.min("position").alias("position"))
-    return cutoffs.select(repo, "cutoff").distinct().join(best, [repo, "cutoff"], "left")
+    lower = commits.withColumn("__least", F.min("ct").over(w)).where(F.col("__least").isNull() | (F.col("ct") < F.col("__least")))
+    known = lower.select(repo, F.col("ct").alias("t"), F.lit(0).alias("kind"), F.struct("sha", "position").alias("c"))
+    asked = cutoffs.select(repo, F.col("cutoff").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["c"].dataType).alias("c")).distinct()
+    past = Window.partitionBy(repo).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return known.union(asked).withColumn("found", F.last("c", ignorenulls=True).over(past)).where("kind = 1").select(repo, F.col("t").alias("cutoff"), "found.sha", "found.position")
 
 
 def redispatched(changes: DataFrame, keys: str = "keys") -> DataFrame:
-    """Changes with another change of a shared key merged in (merge, cutoff]."""
-    each = changes.select("pr", "merged_at", "cutoff", F.explode(keys).alias("key"))
-    other = each.select("key", F.col("pr").alias("other"), F.col("merged_at").alias("other_at"))
-    return each.join(other, (each["key"] == other["key"]) & (F.col("other") != F.col("pr")) & (F.col("other_at") > F.col("merged_at")) & (F.col("other_at") <= F.col("cutoff")), "left_semi").select("pr").distinct()
+    """Changes with another change of a shared key merged in (merge, cutoff]: the next time of the key tells."""
+    each = changes.select("pr", F.unix_micros(F.col("merged_at").cast("timestamp")).alias("at"), F.unix_micros(F.col("cutoff").cast("timestamp")).alias("until"), F.explode(keys).alias("key"))
+    times = each.groupBy("key", "at").agg(F.count_distinct("pr").alias("n"))
+    following = times.withColumn("next", F.lead("at").over(Window.partitionBy("key").orderBy("at"))).select("key", "at", "next")
+    return each.join(following, ["key", "at"]).where("next <= until").select("pr").distinct()
 
 
 def covered_lines(ranges: DataFrame, hunks: DataFrame, cell: int = CELL) -> DataFrame:

@@ -37,7 +37,7 @@ FIXES = """
 select l_orderkey as pr, concat(cast(l_orderkey as {text}), '-', cast(l_linenumber as {text}), '-', cast(l_partkey as {text}), '-', cast(l_suppkey as {text})) as fix, l_shipdate as fixed_at,
   case when l_returnflag = 'R' then 'revert' when l_returnflag = 'A' then 'repair_reference' when l_linestatus = 'O' then 'szz' else 'regression_issue' end as proxy,
   case when l_quantity > 40 then 'high' when l_quantity > 20 then 'medium' else 'low' end as confidence,
-  concat('line ', cast(l_linenumber as {text})) as evidence, case when l_quantity < 5 then 'too_small' end as exclusion
+  concat('line ', cast(l_linenumber as {text})) as evidence, case when l_quantity < 5 then 'too_small' end as exclusion, cast(l_extendedprice * 100 as bigint) as ordinal
 from lineitem
 """
 #: orders scored for their risk: the outcome is late or unknown for some.

@@ -37,12 +37,12 @@ def _spread(s: SparkSession, d: str) -> DataFrame:
 
 
 #: events as commits of a line, newest first; times are put out of order.
-COMMITS = "select cast(event_id % 4 as bigint) as repo, -event_id as position, event_id as sha, cast(epoch(ts) as bigint) - (event_id * 7919) % 200000 as ct, user_id as author, event_type from events"
+COMMITS = "select cast(event_id % 4 as bigint) as repo, -event_id as position, event_id as sha, cast(floor(epoch(ts)) as bigint) - (event_id * 7919) % 200000 as ct, user_id as author, event_type from events"
 CUTOFFS = "select distinct event_id % 4 as repo, 1704067200 + (event_id % 60) * 40000 as cutoff from events"
 
 
 def _epoch(text: str) -> str:
-    return text.replace("cast(epoch(ts) as bigint)", "unix_timestamp(ts)")
+    return text.replace("cast(floor(epoch(ts)) as bigint)", "unix_timestamp(ts)")
 
 
 def _terminal(s: SparkSession, d: str) -> DataFrame:
@@ -57,17 +57,16 @@ def _redispatch(s: SparkSession, d: str) -> DataFrame:
     return survival.redispatched(rows)
 
 
-RANGES = "select l_orderkey * 10 + l_linenumber as id, l_partkey % 50 as path, l_suppkey * 3 as first, l_suppkey * 3 + cast(l_quantity as bigint) as last from lineitem where l_linenumber = 1"
-HUNKS = "select l_partkey % 50 as path, l_suppkey * 3 + 7 as first, l_suppkey * 3 + 7 + cast(l_quantity as bigint) * 2 as last from lineitem where l_linenumber = 2 and l_orderkey % 20 = 0"
+#: Paths of a few dozen rows each at every size; a range is known by all its columns.
+RANGES = "select distinct concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) as id, l_partkey as path, l_suppkey * 3 as first, l_suppkey * 3 + cast(l_quantity as bigint) as last from lineitem"
+HUNKS = "select l_partkey as path, l_suppkey * 3 + 7 as first, l_suppkey * 3 + 7 + cast(l_quantity as bigint) * 2 as last from lineitem"
 
 
 def _overlap(s: SparkSession, d: str) -> DataFrame:
-    # the identity repeats in the data: the first range of an id counts
-    ranges = B.project(s, d, RANGES).groupBy("id").agg(F.min(F.struct("path", "first", "last")).alias("r")).select("id", "r.*")
-    return survival.covered_lines(ranges, B.project(s, d, HUNKS))
+    return survival.covered_lines(B.project(s, d, RANGES), B.project(s, d, HUNKS))
 
 
-VOTES = "select user_id as pr, case when event_type = 'click' then 'human' when event_type = 'error' and user_id % 3 = 0 then 'agent' else 'automation' end as actor from events where event_id % 40 = 0"
+VOTES = "select user_id as pr, case when event_type = 'click' then 'human' when event_type = 'error' and user_id % 3 = 0 then 'agent' else 'automation' end as actor from events"
 LABELS = """
 select o_orderkey as pr, c_mktsegment as repo, h as horizon_days, o_orderkey % 29 = 0 as reverted, o_orderkey % 13 = 0 as followup,
   case when o_orderkey % 31 = 0 then null else (o_orderkey % 10) / 10.0e0 end as ratio, o_orderkey % 5 <> 0 as survived
@@ -88,7 +87,7 @@ def _lines(s: SparkSession, d: str, later: bool) -> DataFrame:
 
 LABEL_EVENTS = "select user_id as pr, ts as at, event_id as ordinal, case when event_id % 2 = 0 then 'labeled' else 'unlabeled' end as action, case when user_id % 25 = 0 and event_id % 50 = 0 then null else event_type end as label, timestamp '2024-01-15 12:00:00' as as_of from events"
 REVIEWS = "select user_id as pr, ts as at, case when event_type = 'click' then 'approved' when event_type = 'error' then 'changes_requested' else 'commented' end as state, event_id % 9 as author, timestamp '2024-01-15 12:00:00' as as_of, timestamp '2024-01-01 00:00:00' as opened_at from events"
-RENAMES = "select user_id as pr, ts as at, event_type as new_title, concat('was ', event_type) as old_title from events where event_id % 6 = 0 and user_id % 4 <> 0"
+RENAMES = "select user_id as pr, ts as at, event_type as new_title, concat('was ', event_type) as old_title from events where event_type = 'signup'"
 
 
 def _titles(s: SparkSession, d: str) -> DataFrame:
@@ -97,26 +96,13 @@ def _titles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _history(s: SparkSession, d: str) -> DataFrame:
-    line = features.landing_times(B.project(s, d, _epoch(COMMITS)).withColumn("position", -F.col("position")))
-    postings = line.select((F.col("sha") % 30).alias("path"), "position", "landed", F.col("sha").alias("commit"), "author", (F.col("event_type") == "error").alias("is_fix"))
-    changes = line.where("sha % 97 = 0").select(F.col("sha").alias("pr"), F.col("position").alias("base_position"), F.col("landed").alias("base_landed"), F.array(F.col("sha") % 30, (F.col("sha") + 1) % 30).alias("files"))
-    return features.file_history(changes, postings, days=5)
-
-
-#: The same over every row, with paths and files of a few dozen rows each at every size. A range is known by all its columns.
-RANGES_ALL = "select distinct concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) as id, l_partkey as path, l_suppkey * 3 as first, l_suppkey * 3 + cast(l_quantity as bigint) as last from lineitem"
-HUNKS_ALL = "select l_partkey as path, l_suppkey * 3 + 7 as first, l_suppkey * 3 + 7 + cast(l_quantity as bigint) * 2 as last from lineitem"
-VOTES_ALL = "select user_id as pr, case when event_type = 'click' then 'human' when event_type = 'error' and user_id % 3 = 0 then 'agent' else 'automation' end as actor from events"
-
-
-def _history_all(s: SparkSession, d: str) -> DataFrame:
     line = features.landing_times(B.project(s, d, _epoch(COMMITS)).withColumn("position", -F.col("position"))).withColumn("path", F.expr("sha div 30"))
     postings = line.select("path", "position", "landed", F.col("sha").alias("commit"), "author", (F.col("event_type") == "error").alias("is_fix"))
     changes = line.select(F.col("sha").alias("pr"), F.col("position").alias("base_position"), F.col("landed").alias("base_landed"), F.array("path", F.col("path") - 1).alias("files"))
     return features.file_history(changes, postings, days=5)
 
 
-def _landing_all(s: SparkSession, d: str) -> DataFrame:
+def _landing(s: SparkSession, d: str) -> DataFrame:
     # orders as commits: every tenth on the line, the others side branches of up to nine commits
     rows = B.read(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("sha")).distinct()
     side = rows.where("sha % 10 <> 0")
@@ -124,13 +110,6 @@ def _landing_all(s: SparkSession, d: str) -> DataFrame:
     return features.landing_positions(rows.where("sha % 10 = 0").select("sha", F.expr("sha div 10").alias("position")), parents)
 
 
-def _landing(s: SparkSession, d: str) -> DataFrame:
-    # orders as commits: every tenth on the line, the others side branches of up to nine commits
-    rows = B.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("sha"))
-    parents = rows.where("sha % 5 <> 0").select((F.col("sha") - F.col("sha") % 5 + 5).alias("sha"), F.col("sha").alias("parent")).union(rows.where("sha % 5 <> 0").select(F.col("sha").alias("sha"), (F.col("sha") - 1).alias("parent")))
-    return features.landing_positions(rows.where("sha % 5 = 0").select("sha", (F.col("sha") / 5).cast("long").alias("position")), parents.where("sha <= 25"))
-
-
 QUERIES = {
     "corrective_candidates": lambda s, d: _candidates(s, d).select("candidate_id", "pr", "fix", "proxy", "lag_seconds", F.concat_ws(",", "evidence").alias("evidence"), "exclusion", "status"),
     "corrective_by_horizon": lambda s, d: _corrective(s, d).select("pr", "horizon_days", "corrective", "confidence", F.concat_ws(",", "reason_codes").alias("reason_codes"), F.size("repair_pair_ids").alias("n_pairs")),
@@ -148,10 +127,6 @@ QUERIES = {
     "process_features": lambda s, d: features.process_features(B.project(s, d, REVIEWS)),
     "history_window": _history,
     "landing_positions": _landing,
-    "range_overlap_all": lambda s, d: survival.covered_lines(B.project(s, d, RANGES_ALL), B.project(s, d, HUNKS_ALL)),
-    "undoer_vote_all": lambda s, d: survival.undoer(B.project(s, d, VOTES_ALL)),
-    "history_window_all": _history_all,
-    "landing_positions_all": _landing_all,
     "issue_originals": lambda s, d: corrective.issue_originals(_changes(s, d).select("pr", "merged_at").join(B.read(s, d, "lineitem").select(F.col("l_orderkey").alias("pr"), F.col("l_partkey").alias("issue"), F.col("l_shipdate").alias("cited_at")), "pr"), most=40).select("issue", F.size("prs").alias("n")),
     "prefix_lookup": lambda s, d: corrective.owner_of_prefix(B.read(s, d, "customer").select(F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 4).alias("prefix")), B.read(s, d, "customer").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha")), digits=3),
 }
@@ -177,6 +152,15 @@ def _wilson(k: str, n: str) -> str:
 
 
 SQL = {
+    "landing_positions": """with o as (select distinct o_orderkey::bigint as sha from orders) select sha, case when sha % 10 = 0 then sha // 10 else sha // 10 + 1 end::bigint as position from o
+  where sha % 10 = 0 or sha - sha % 10 + 10 in (select sha from o)""",
+    "history_window": f"""with c0 as ({COMMITS}), c as (select *, max(ct) over (partition by repo order by -position rows unbounded preceding) as landed, sha // 30 as path from c0),
+  p as (select sha as pr, -position as bp, landed as bl, unnest([sha // 30, sha // 30 - 1]) as path from c)
+  select p.pr, count(distinct c.sha) as commits, count(distinct c.author) as authors, count(distinct case when c.event_type = 'error' then c.sha end) as fixes
+  from p left join c on c.path = p.path and -c.position <= p.bp and c.landed > p.bl - 432000 and c.landed <= p.bl group by p.pr""",
+    "undoer_vote": f"with v as ({VOTES}) select pr, case when count(distinct actor) filter (actor in ('human', 'agent')) = 1 then max(actor) filter (actor in ('human', 'agent')) end as undone_by from v group by pr",
+    "range_overlap": f"""with r as ({RANGES}), h as ({HUNKS})
+  select r.id, r.path, coalesce(sum(case when h.path is not null then least(r.last, h.last) - greatest(r.first, h.first) + 1 end), 0)::bigint as covered from r left join h on r.path = h.path and r.first <= h.last and h.first <= r.last group by r.id, r.path""",
     "corrective_candidates": f"{_C} select candidate_id, pr, fix, proxy, lag_seconds, evidence, exclusion, status from cands",
     "corrective_by_horizon": f"""{_C} select pr, horizon_days, corrective, case when known and n > 0 then case rank when 1 then 'low' when 2 then 'medium' else 'high' end end as confidence,
   case when not known then 'base_label_missing' when n = 0 then 'no_accepted_fix' else reasons end as reason_codes, case when known then n else 0 end::int as n_pairs from cor""",
@@ -186,9 +170,6 @@ SQL = {
   select convention, count(*) as repos, min(rate) as least, (array_agg(repo order by rate, repo))[1] as least_repo, max(rate) as largest, (array_agg(repo order by rate desc, repo))[1] as largest_repo from r where rate is not null group by convention""",
     "horizon_terminal": f"with c as ({COMMITS}), k as ({CUTOFFS}) select k.repo, k.cutoff, arg_min(c.sha, c.position) as sha, min(c.position) as position from k left join c on c.repo = k.repo and c.ct <= k.cutoff group by k.repo, k.cutoff",
     "redispatch": f"with r as ({REDISPATCH}), e as (select pr, merged_at, a as k from r union all select pr, merged_at, b + 1000 from r) select distinct x.pr from e x join e y on x.k = y.k and x.pr <> y.pr and y.merged_at > x.merged_at and y.merged_at <= x.merged_at + interval 6 hour",
-    "range_overlap": f"""with r0 as ({RANGES}), r as (select id, path, first, last from r0 qualify row_number() over (partition by id order by path, first, last) = 1), h as ({HUNKS})
-  select r.id, r.path, coalesce(sum(case when h.path is not null then least(r.last, h.last) - greatest(r.first, h.first) + 1 end), 0)::bigint as covered from r left join h on r.path = h.path and r.first <= h.last and h.first <= r.last group by r.id, r.path""",
-    "undoer_vote": f"with v as ({VOTES}) select pr, case when count(distinct actor) filter (actor in ('human', 'agent')) = 1 then max(actor) filter (actor in ('human', 'agent')) end as undone_by from v group by pr",
     "base_rates": f"""with l as ({LABELS}), o as (select repo, horizon_days, case when ratio is null then null when reverted then 'reverted' when ratio < 0.5 then 'substantially_rewritten' when followup then 'followup' else 'survived' end as outcome from l)
   select repo, horizon_days, count(*) as n_rows, count(*) filter (outcome is null) as missing, count(*) filter (outcome = 'survived') as survived, count(*) filter (outcome = 'followup') as followup,
   count(*) filter (outcome = 'substantially_rewritten') as substantially_rewritten, count(*) filter (outcome = 'reverted') as reverted, count(*) filter (outcome = 'survived') / count(outcome)::double as survival_rate from o group by repo, horizon_days""",
@@ -203,20 +184,6 @@ SQL = {
   select p.pr, coalesce(n, o, 'now') as title from p left join a on a.pr = p.pr""",
     "process_features": f"""with r as ({REVIEWS}) select pr, count(*) filter ("at" <= as_of) as reviews, count(*) filter ("at" <= as_of and state = 'approved') as approvals, count(*) filter ("at" <= as_of and state = 'changes_requested') as change_requests,
   count(distinct author) filter ("at" <= as_of) as reviewers, count(distinct date_trunc('hour', "at")) filter ("at" <= as_of) as review_rounds, floor((epoch_us(min("at") filter ("at" <= as_of)) - epoch_us(min(opened_at))) / 3.6e9 * 10000 + 0.5) / 10000 as hours_to_first_review from r group by pr""",
-    "history_window": f"""with c0 as ({COMMITS}), c as (select *, max(ct) over (partition by repo order by -position rows unbounded preceding) as landed from c0),
-  p as (select sha as pr, -position as bp, landed as bl, unnest([sha % 30, (sha + 1) % 30]) as path from c where sha % 97 = 0)
-  select p.pr, count(distinct c.sha) as commits, count(distinct c.author) as authors, count(distinct case when c.event_type = 'error' then c.sha end) as fixes
-  from p left join c on c.sha % 30 = p.path and -c.position <= p.bp and c.landed > p.bl - 432000 and c.landed <= p.bl group by p.pr""",
-    "landing_positions": "select n_nationkey::bigint as sha, case when n_nationkey % 5 = 0 then n_nationkey // 5 else n_nationkey // 5 + 1 end::bigint as position from nation where n_nationkey <= 20",
-    "range_overlap_all": f"""with r as ({RANGES_ALL}), h as ({HUNKS_ALL})
-  select r.id, r.path, coalesce(sum(case when h.path is not null then least(r.last, h.last) - greatest(r.first, h.first) + 1 end), 0)::bigint as covered from r left join h on r.path = h.path and r.first <= h.last and h.first <= r.last group by r.id, r.path""",
-    "undoer_vote_all": f"with v as ({VOTES_ALL}) select pr, case when count(distinct actor) filter (actor in ('human', 'agent')) = 1 then max(actor) filter (actor in ('human', 'agent')) end as undone_by from v group by pr",
-    "history_window_all": f"""with c0 as ({COMMITS}), c as (select *, max(ct) over (partition by repo order by -position rows unbounded preceding) as landed, sha // 30 as path from c0),
-  p as (select sha as pr, -position as bp, landed as bl, unnest([sha // 30, sha // 30 - 1]) as path from c)
-  select p.pr, count(distinct c.sha) as commits, count(distinct c.author) as authors, count(distinct case when c.event_type = 'error' then c.sha end) as fixes
-  from p left join c on c.path = p.path and -c.position <= p.bp and c.landed > p.bl - 432000 and c.landed <= p.bl group by p.pr""",
-    "landing_positions_all": """with o as (select distinct o_orderkey::bigint as sha from orders) select sha, case when sha % 10 = 0 then sha // 10 else sha // 10 + 1 end::bigint as position from o
-  where sha % 10 = 0 or sha - sha % 10 + 10 in (select sha from o)""",
     "issue_originals": "select l_partkey as issue, count(distinct o_orderkey)::int as n from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where l_shipdate > o_orderdate group by l_partkey having count(distinct o_orderkey) <= 40",
     "prefix_lookup": "with s as (select sha256(cast(c_custkey as varchar)) as sha from customer) select substr(sha, 1, 4) as prefix, case when count(*) = 1 then max(sha) end as sha from s group by 1",
 }

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import change_queries, cost_queries, score_queries
+from .plans import change_queries, cost_queries, landing_queries, score_queries, text_queries
+
+PARTS = (cost_queries, change_queries, score_queries, text_queries, landing_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return cost_queries.QUERIES | change_queries.QUERIES | score_queries.QUERIES
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return cost_queries.SQL | change_queries.SQL | score_queries.SQL
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import cost
+
 #: Fixed value: longer lines are not parsed.
 LONGEST_LINE = 4 << 20
 LEDGER_VERSION = 1
 
 _USAGE = "struct<input_tokens: string, output_tokens: string, cache_read_input_tokens: string, cache_creation_input_tokens: string>"
 _TRANSCRIPT = f"type string, uuid string, requestId string, sessionId string, timestamp string, isSidechain boolean, costUSD double, message struct<id: string, model: string, usage: {_USAGE}>"
-_LEDGER = "v int, id string, ts long, taskId string, model string, harness string, backend string, source string, pricingBasis string, amountMicros long, inputTokens long, outputTokens long, cacheReadTokens long, cacheWriteTokens long, coverage string"
+_LEDGER = "v long, id string, c string, ts long, taskId string, model string, harness string, backend string, source string, pricingBasis string, amountMicros long, currency string, inputTokens long, outputTokens long, cacheReadTokens long, cacheWriteTokens long, coverage string"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,15 +61,37 @@ def transcript_usage(lines: DataFrame) -> DataFrame:
     )
 
 
-def ledger_lines(lines: DataFrame) -> DataFrame:
-    """Ledger rows with ``state``: ok, corrupt, unsupported_version or duplicate. Of one id the least line counts."""
+#: Fixed value: the most rows and bytes that one ledger may have.
+MOST_RECORDS, MOST_BYTES = 1_000_000, 64 << 20
+
+
+def ledger_lines(lines: DataFrame, order: str | None = None) -> DataFrame:
+    """Ledger rows with ``state``: ok, corrupt, unsupported_version or duplicate, and the ``reason`` of a corrupt one.
+
+    A row must have exactly the known keys, fields that the contract takes, and the checksum of its other fields. Of one id the first
+    counts, by file and by ``order`` (a line number; without one, by the text of the line).
+    """
     read = with_state(lines).withColumn("r", F.from_json("value", _LEDGER))
-    required = F.col("r.id").isNotNull() & F.col("r.ts").isNotNull() & F.col("r.taskId").isNotNull() & ((F.col("r.pricingBasis") == "unpriced") == F.col("r.amountMicros").isNull())
-    bad = (F.col("state") != "ok") | F.col("r.v").isNull()
-    state = F.when(bad, "corrupt").when(F.col("r.v") > LEDGER_VERSION, "unsupported_version").when(F.coalesce(required, F.lit(False)), "ok").otherwise("corrupt")
-    stated = read.withColumn("state", state)
-    place = F.row_number().over(Window.partitionBy(F.when(F.col("state") == "ok", F.col("r.id")).otherwise(F.sha2("value", 256)), "state").orderBy("file", "value"))
-    return stated.withColumn("__n", place).select("file", "r.*", F.when((F.col("state") == "ok") & (F.col("__n") > 1), "duplicate").otherwise(F.col("state")).alias("state"))
+    row = {k: F.col(f"r.{k}") for k in cost.SIGNED}
+    version = F.get_json_object("value", "$.v").try_cast("long")
+    keys = F.array_sort(F.json_object_keys("value"))
+    exact = F.coalesce(keys == F.array(*[F.lit(k) for k in sorted([*cost.SIGNED, "c"])]), F.lit(False))
+    fields = exact & (F.size(cost.ledger_errors(row)) == 0) & F.coalesce(row["id"].rlike("^[a-f0-9]{32}$") & F.col("r.c").rlike("^[a-f0-9]{16}$") & (row["currency"] == "USD"), F.lit(False))
+    reason = (
+        F.when(F.col("state") != "ok", "malformed").when(version > LEDGER_VERSION, "unsupported_version").when(~F.coalesce((version == 1) & fields, F.lit(False)), "invalid_record")
+        .when(cost.ledger_checksum(row) != F.col("r.c"), "checksum")
+    )
+    stated = read.withColumn("reason", reason)
+    place = F.row_number().over(Window.partitionBy(F.coalesce(F.when(F.col("reason").isNull(), F.col("r.id")), F.sha2("value", 256)), F.col("reason").isNull()).orderBy("file", order or "value"))
+    state = F.when(F.col("reason") == "unsupported_version", "unsupported_version").when(F.col("reason").isNotNull(), "corrupt").when(F.col("__n") > 1, "duplicate").otherwise("ok")
+    return stated.withColumn("__n", place).select("file", "r.*", state.alias("state"), "reason")
+
+
+def ledger_within_limits(lines: DataFrame, most: int = MOST_RECORDS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``file, records, bytes``; fails for a file beyond a limit."""
+    agg = lines.groupBy("file").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    fails = F.raise_error(F.concat(F.lit("the ledger is too large: "), F.col("file"))).cast("long")
+    return agg.withColumn("records", F.when((F.col("records") <= most) & (F.col("bytes") <= most_bytes), F.col("records")).otherwise(fails))
 
 
 def diff_hunks(lines: DataFrame, by: str = "diff", order: str = "line_no") -> DataFrame:

@@ -20,25 +20,52 @@ def windowed_usage(events: DataFrame, width: str = "1 hour", delay: str = "1 hou
     return grouped.agg(F.count(F.lit(1)).alias("records"), *[F.sum(t).alias(t) for t in ("input_tokens", "output_tokens")]).select("window.start", "window.end", "model", "records", "input_tokens", "output_tokens")
 
 
+#: Leading hex digits of an id by which the ledger is partitioned.
+PREFIX = 2
+
+
 def append_to_ledger(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what is there as ledger rows whose id the ledger at ``path`` lacks; a batch that is run again adds nothing."""
+    """Append what is there as ledger rows whose id the ledger at ``path`` lacks; a batch that is run again adds nothing.
+
+    The ledger is partitioned by day and the first digits of the id, and a batch reads only the days it has rows of.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark, rows = batch.sparkSession, cost.to_ledger(batch)
-        have = spark.read.schema(rows.schema).parquet(path) if _exists(batch, path) else rows.limit(0)
-        cost.append_new(have, rows).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        rows = cost.to_ledger(batch).withColumns({"day": F.to_date("ts"), "part": F.substring("id", 1, PREFIX)}).persist()
+        # at most as many as the batch has days
+        days = [r["day"] for r in rows.select("day").distinct().collect()]
+        rows.limit(0).write.mode("append").partitionBy("day", "part").parquet(path)
+        have = spark.read.schema(rows.schema).parquet(path).where(F.col("day").isin(days)) if days else rows.limit(0)
+        cost.append_new(have, rows).write.mode("append").partitionBy("day", "part").parquet(path)
+        rows.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maturation_counts(scores: DataFrame, outcomes: DataFrame, labels: DataFrame, horizon_days: int, as_of) -> DataFrame:
+    """One row: scored merges that have an outcome, are due, still pend, and that are due but can't be labelled."""
+    have = outcomes.where(F.col("horizon_days") == horizon_days).select("repo", "merge_sha", F.lit(True).alias("__have")).distinct()
+    due = F.col("merged_at") + F.expr(f"interval {horizon_days} days") <= F.lit(as_of)
+    met = scores.join(have, ["repo", "merge_sha"], "left").join(labels.select("repo", "merge_sha", F.lit(True).alias("__label")).distinct(), ["repo", "merge_sha"], "left")
+    open_ = F.col("__have").isNull()
+    return met.agg(F.count_if(~open_).alias("done"), F.count_if(open_ & due).alias("due"), F.count_if(open_ & ~due).alias("pending"), F.count_if(open_ & due & F.col("__label").isNull()).alias("unlabellable"))
+
+
+def scan_again(cached: DataFrame, fresh: DataFrame, changes: DataFrame, as_of) -> DataFrame:
+    """Labels after an incremental scan: matured cached ones stay as they are, immature or missing ones are taken from ``fresh``; fails if over a tenth of those failed.
+
+    ``cached, fresh``: ``pr, horizon_days, label``; ``changes``: ``pr, merged_at`` (seconds); ``as_of`` in seconds.
+    """
+    mature_ = cached.join(changes, "pr").where(F.col("merged_at") + F.col("horizon_days") * 86_400 <= as_of).select("pr", "horizon_days", "label")
+    rest = fresh.join(mature_.select("pr", "horizon_days"), ["pr", "horizon_days"], "left_anti").select("pr", "horizon_days", "label")
+    n = rest.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNull()).alias("failed"))
+    told = F.when(F.col("failed") * 10 > F.col("n"), F.raise_error(F.lit("over a tenth of the labels failed")).cast("boolean")).otherwise(True)
+    return mature_.union(rest).crossJoin(n.select(told.alias("__ok"))).where("__ok").drop("__ok")
+
+
 def mature(scores: DataFrame, outcomes: DataFrame, labels: DataFrame, horizon_days: int, as_of) -> DataFrame:
     """New outcome rows: scored merges that are due at ``as_of`` and lack one, with ``survived`` from ``labels`` (null if unlabelled)."""
     due = shadow.due_outcomes(scores, outcomes, horizon_days, as_of).where("matured")
     found = due.join(labels.select("repo", "merge_sha", "survived"), ["repo", "merge_sha"], "left")
     return found.select("repo", "merge_sha", F.lit(horizon_days).alias("horizon_days"), F.lit(as_of).cast("timestamp").alias("labelled_at"), "survived")
-
-
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(at)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import exprs as X
 
@@ -74,8 +76,6 @@ def extended_audit(items: DataFrame, seed: str, shares: dict[str, float]) -> Dat
 
 def shuffled(rows: DataFrame, seed: str, label: str, by: str, order: str) -> DataFrame:
     """``rows`` with ``place``: a seeded Fisher-Yates shuffle of each group; a group is a list to be worked off by hand and small."""
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         places = list(range(len(pdf)))
@@ -84,7 +84,7 @@ def shuffled(rows: DataFrame, seed: str, label: str, by: str, order: str) -> Dat
             places[i], places[j] = places[j], places[i]
         return pdf.iloc[places].assign(place=range(len(pdf)))
 
-    return rows.groupBy(by).applyInPandas(run, rows.schema.add("place", "long"))
+    return rows.groupBy(by).applyInPandas(run, StructType([*rows.schema.fields, StructField("place", LongType())]))
 
 
 def with_gold_rows(sheet: list[dict], gold: list[dict], seed: str) -> list[dict]:

@@ -30,13 +30,6 @@ def test_transcripts_keep_no_free_text(spark):
     assert "SENTINEL" not in str(rows)
 
 
-def test_ledger_lines(spark):
-    good = {"v": 1, "id": "a", "ts": 1, "taskId": "t", "pricingBasis": "metered", "amountMicros": 3}
-    values = [json.dumps(x) for x in (good, good, {**good, "v": 2, "id": "b"}, {**good, "id": "c", "pricingBasis": "unpriced"})] + ["{torn"]
-    states = sorted(r["state"] for r in L.ledger_lines(_frame(spark, values)).collect())
-    assert states == ["corrupt", "corrupt", "duplicate", "ok", "unsupported_version"]
-
-
 def test_diff_hunks(spark):
     text = ["--- a/x.py", "+++ b/y.py", "@@ -3,2 +3 @@", "@@ -9,0 +10,4 @@ def f", "--- /dev/null", "+++ b/new", "@@ -0,0 +1,2 @@"]
     rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(text)], "diff int, line_no int, value string")

@@ -297,6 +297,12 @@ def version_or_null(x: Column) -> Column:
     return F.when(x.rlike(VERSION), x)
 
 
+def bound_millis(x: Column) -> Column:
+    """A bound of a window as milliseconds: whole milliseconds or an ISO time as text; null for anything else or below zero."""
+    at = F.when(x.rlike(r"^\d{1,16}$"), x.try_cast("long")).when(x.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_millis(F.try_to_timestamp(x)))
+    return F.when((at >= 0) & (at <= SAFE_INTEGER), at)
+
+
 def quarter(at: Column) -> Column:
     """Such as 2024Q1."""
     return F.concat(F.year(at).cast("string"), F.lit("Q"), F.quarter(at).cast("string"))

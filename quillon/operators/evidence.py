@@ -143,3 +143,28 @@ def manifest_errors(entries: Sequence[dict], namespaces: Sequence[str], categori
         out += [(name, code) for code, wrong in checks if wrong]
         seen.add(name)
     return out
+
+
+def file_sets(original: Column, fix: Column, existing: Column) -> Column:
+    """A struct of sorted paths: those of the fix alone, of the original alone, and of the fix that were there before it."""
+
+    def ordered(x: Column) -> Column:
+        return F.array_sort(F.array_distinct(x))
+
+    return F.struct(ordered(F.array_except(fix, original)).alias("fix_only"), ordered(F.array_except(original, fix)).alias("original_only"), ordered(F.array_intersect(fix, existing)).alias("fix_preexisting"))
+
+
+def joined_once(features: DataFrame, labels: DataFrame, keys: Sequence[str], same: Sequence[str] = ()) -> DataFrame:
+    """Features with the label of their key; fails if a key repeats on a side or a column of ``same`` differs between them."""
+
+    def once(df: DataFrame, side: str) -> DataFrame:
+        named = F.concat(F.lit(f"a key repeats among the {side}: "), F.concat_ws(", ", *keys))
+        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*keys, F.when(F.col("__n") > 1, F.raise_error(named).cast("int")).otherwise(1).alias(f"__{side}"))
+        return df.join(n, list(keys))
+
+    met = once(features, "features").join(once(labels.withColumnsRenamed({c: f"__{c}" for c in same}), "labels"), list(keys))
+    ok = (F.col("__features") == 1) & (F.col("__labels") == 1)
+    for c in same:
+        differs = F.raise_error(F.concat(F.lit(f"{c} differs for "), F.concat_ws(", ", *keys))).cast("boolean")
+        ok = ok & F.when(F.col(c).eqNullSafe(F.col(f"__{c}")), True).otherwise(differs)
+    return met.where(ok).drop("__features", "__labels", *[f"__{c}" for c in same])

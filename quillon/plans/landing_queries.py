@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attempts, attribution, citations, evidence, forward, population
+from ..operators import attempts, attribution, citations, contracts, evidence, forward, population
 from . import bindings as B
 from .change_queries import COMMITS, _epoch, _wilson
 
@@ -207,7 +207,39 @@ def _funnel(s: SparkSession, d: str) -> DataFrame:
     return attempts.funnel(B.read(s, d, "events").select(F.col("user_id").alias("installation"), stage.alias("stage"), F.col("ts").cast("timestamp").alias("at"))).select("installation", F.unix_timestamp("install").alias("install"), "seconds_to_first_route")
 
 
+def _event_contract(s: SparkSession, d: str) -> DataFrame:
+    """Events as valid cost events, each spoilt in the field that its id picks."""
+    k = F.col("event_id") % 10
+    spoil = lambda i, bad, good: F.when(k == i, bad).otherwise(good)
+    ident = lambda n: F.col(n).cast("string")
+    none = F.lit(None).cast("double")
+    rows = B.read(s, d, "events").select(
+        F.col("event_id").alias("key"), spoil(0, F.lit("a b"), ident("event_id")).alias("event_id"), ident("user_id").alias("task_id"), F.lit("s").alias("session_id"), F.lit("t").alias("turn_id"), spoil(1, F.lit(-1), F.lit(3)).alias("sequence"), spoil(2, ident("event_id"), F.lit(None).cast("string")).alias("replay_of_event_id"),
+        F.lit(None).cast("string").alias("run_id"), spoil(3, F.lit("x"), F.lit(None).cast("string")).alias("stage_attempt_id"), spoil(4, F.lit("unheard"), F.lit("codex")).alias("harness"), F.lit("gpt-5").alias("observed_model"), F.lit("delta").alias("usage_kind"), *[F.lit(1).alias(t) for t in contracts.TOKENS],
+        spoil(5, F.lit("partial"), F.lit("available")).alias("usage_coverage"), spoil(6, F.lit(0.5), none).alias("actual_cost_usd"), F.lit(0.25).alias("estimated_cost_usd"), spoil(6, F.lit("provider_reported"), spoil(7, F.lit("none"), F.lit("local_estimate"))).alias("cost_source"),
+        spoil(6, F.lit("subscription"), F.lit("unknown")).alias("cost_basis"), spoil(8, F.lit("none"), F.lit("local_estimate")).alias("pricing_source"), spoil(9, F.lit("2024-02-30T00:00:00Z"), F.lit("2024-02-28T00:00:00Z")).alias("observed_at"),
+    )
+    return rows.select("key", F.array_join(contracts.broken(contracts.event_rules()), ",").alias("broken"))
+
+
+def _score_contract(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    rows = B.read(s, d, "orders").select(
+        "o_orderkey", F.when(k == 0, "norepo").otherwise("o/r").alias("repo"), F.when(k == 1, 0).otherwise(F.col("o_orderkey") + 1).alias("pr_number"), F.when(k == 2, "ABC").otherwise(F.sha1(F.lit("x"))).alias("merge_sha"), F.when(k == 3, "soon").otherwise("2024-01-01T00:00:00Z").alias("merged_at"),
+        F.lit("2024-01-01").alias("scored_at"), F.lit("b").alias("scorer_id"), F.lit("1").alias("scorer_version"), F.when(k == 4, 1.5).otherwise(0.2).alias("score"), F.lit(0.5).alias("threshold"), (k != 5).alias("would_flag"),
+    )
+    return rows.select("o_orderkey", F.array_join(contracts.broken(contracts.score_rules()), ",").alias("broken"))
+
+
+def _pools(s: SparkSession, d: str) -> DataFrame:
+    pool = lambda n: F.when(n == 0, None).when(n == 1, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    k = F.col("o_orderkey")
+    rows = B.read(s, d, "orders").select("o_orderkey", pool(k % 3).alias("coder"), pool((k / 3).cast("long") % 3).alias("reviewer"), F.array(F.lit("a"), F.lit("c")).alias("available"))
+    return contracts.role_pools(rows, ["coder", "reviewer"]).select("o_orderkey", "ranking")
+
+
 QUERIES = {
+    "event_contract": _event_contract, "score_contract": _score_contract, "role_pools": _pools,
     "landed_changes": _landed, "landing_owners": _owners, "fix_events": _events_of_fixes,
     "substrate": lambda s, d: forward.substrate(_hunks(s, d)).select("pr", "path", "lines", "hunks"),
     "file_fates": lambda s, d: forward.file_fates(forward.substrate(_hunks(s, d)), _moves(s, d)), "blob_identity": _reverted, "blame_counts": _blamed, "linked_references": _linked,
@@ -225,6 +257,7 @@ QUERIES = {
     "population_strata": _population, "definition_variants": _variants, "gold_score": _gold, "phase_gate": _gate, "label_cross_tabs": _tabs, "unmapped_audit": _unmapped, "sanity_flags": _flags,
     "label_pairs": lambda s, d: population.both_labelled(B.read(s, d, "labels").select(F.col("doc_id").alias("item_id")), B.read(s, d, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").cast("string").alias("f")), B.read(s, d, "labels").where("doc_id % 3 = 0").select(F.col("doc_id").alias("item_id"), F.col("toxic").cast("string").alias("f")), "f"),
     "audit_flags": lambda s, d: population.audited(B.read(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderstatus").alias("stratum")), "seed", {"F": 0.25, "O": 0.1}),
+    "features_with_labels": lambda s, d: evidence.joined_once(B.read(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), B.read(s, d, "orders").where("o_totalprice > 50000").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"], ["o_orderstatus"]),
     "related_changes": _related, "cohort_probe": _probe,
     "outcome_shares": lambda s, d: population.outcome_shares(_survival(s, d), "report_outcome").select("horizon_days", "outcome", "n", "of", "value", "ci_low", "ci_high"),
     "newest_changes": lambda s, d: population.newest(B.read(s, d, "orders").select(F.col("o_orderkey").alias("position")), 100),
@@ -242,6 +275,9 @@ _H = f"h as ({B.duck_sql(HUNKS)}), fl as (select pr, path, sum(last - first + 1)
 _CD = """cd as (select distinct l_orderkey as pr, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id, case l_returnflag when 'R' then 'revert' when 'A' then 'regression_issue' else 'szz' end as proxy, (l_quantity * 86400)::bigint as lag, l_linenumber as lines from lineitem)"""
 
 SQL = {
+    "event_contract": "select event_id as key, ['event_id', 'sequence', 'replay_of_event_id', 'stage_attempt_id', 'harness', 'usage_coverage', 'actual_cost_usd', 'cost_source', 'pricing_source', 'observed_at'][event_id % 10 + 1] as broken from events",
+    "score_contract": "select o_orderkey, ['repo', 'pr_number', 'merge_sha', 'merged_at', 'score,would_flag', 'would_flag'][o_orderkey % 6 + 1] as broken from orders",
+    "role_pools": "select o_orderkey, case (o_orderkey % 3 = 1)::int + (o_orderkey // 3 % 3 = 1)::int when 0 then 'ranking' when 2 then 'non_ranking' else 'partially_ranking' end as ranking from orders",
     "landed_changes": f"""with c as ({B.duck_sql(LINE)}), p as ({B.duck_sql(LANDED)}), n as (select position, sha, unnest(case position % 5 when 0 then [position, position + 1] when 1 then [position] when 3 then [position - 3] else []::bigint[] end || case when position % 7 = 0 then [position + 2] else []::bigint[] end) as pr from c),
   m as (select c.position, c.sha, p.pr from c join p on c.sha = p.merge_sha union select n.position, n.sha, n.pr from n join p on n.pr = p.pr and n.pr > 0), f as (select pr, arg_min(sha, position) as sha, min(position) as position, count(*) - 1 as relanded from m group by pr)
   select pr, sha, position, relanded, count(*) over (partition by sha) > 1 as batched from f""",
@@ -288,6 +324,7 @@ SQL = {
   select repo, code, case when (code = 'churn_rate') = (repo % 2 = 0) then 'explained' end as action, case when (code = 'churn_rate') = (repo % 2 = 0) then 'note 1' end as note from f where code is not null""",
     "label_pairs": "select doc_id as item_id, quality::varchar as x, toxic::varchar as y from labels where doc_id % 3 = 0",
     "audit_flags": "with o as (select o_orderkey::varchar as item_id, o_orderstatus as stratum from orders), r as (select *, row_number() over (partition by stratum order by sha256(concat('seed', chr(0), 'audit', chr(0), item_id)), item_id) as i, count(*) over (partition by stratum) as n from o) select item_id, stratum, i <= ceil(n * case stratum when 'F' then 0.25e0 when 'O' then 0.1e0 else 0 end - 1e-9) as audit from r",
+    "features_with_labels": "select o_orderkey, o_orderstatus, o_totalprice, o_orderpriority from orders where o_totalprice > 50000",
     "related_changes": """with c as (select o_orderkey as pr, epoch(o_orderdate)::bigint as m from orders), f as (select distinct l_orderkey as pr, l_partkey as path from lineitem), x as (select distinct a.pr, b.pr as related, d.m as t from f a join c on a.pr = c.pr join f b on a.path = b.path and b.pr <> a.pr join c d on d.pr = b.pr and d.m > c.m and d.m <= c.m + 17280000
   where not (a.pr % 3 = 0 and b.pr = a.pr + 1)) select pr, related, row_number() over (partition by pr order by t, related)::int as rank from x qualify rank <= 15""",
     "cohort_probe": """with r as (select o_orderstatus as repo, case when o_orderdate < date '1995-01-01' then 'early' when o_orderdate < date '1997-01-01' then 'late' end as slice, o_orderkey % 3 > 0 as m, o_orderkey % 5 = 0 as v from orders where o_orderdate >= date '1992-01-01'), a as (select repo, slice, count(*) as changes, count(*) filter (m) as merged, count(*) filter (m and v) as reverts from r where slice is not null group by all),

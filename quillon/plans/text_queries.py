@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import text as T
-from ..operators import attribution, pricing, redaction
+from ..operators import attribution, evidence, pricing, redaction
 from ..sources import sessions
 from . import bindings as B
 
@@ -134,6 +134,12 @@ CASES: dict[str, tuple[str, list[str], Callable[[DataFrame], list[Column]], list
     "payload_hash": ("payload string", ["hash"], lambda df: [redaction.payload_hash(F.col("payload"), SALT).alias("hash")], [
         (('{"b": 1, "a": [2, {"d": 1, "c": null}]}',), (__import__("hmac").new(SALT.encode(), b'{"a":[2,{"c":null,"d":1}],"b":1}', "sha256").hexdigest(),)), (("text",), (__import__("hmac").new(SALT.encode(), b"text", "sha256").hexdigest(),)), ((None,), (None,)),
     ]),
+    "window_bounds": ("x string", ["ms"], lambda df: [X.bound_millis(F.col("x")).alias("ms")], [
+        (("1700000000000",), (1700000000000,)), (("2024-01-01T00:00:00Z",), (1704067200000,)), (("2024-01-01",), (1704067200000,)), (("-5",), (None,)), (("soon",), (None,)), (("1969-01-01T00:00:00Z",), (None,)), ((None,), (None,)),
+    ]),
+    "path_sets": ("one array<string>, two array<string>, had array<string>", ["fix_only", "original_only", "preexisting"], lambda df: [_joined(evidence.file_sets(*c("one", "two", "had"))[n]).alias(a) for n, a in (("fix_only", "fix_only"), ("original_only", "original_only"), ("fix_preexisting", "preexisting"))], [
+        ((["a", "b"], ["c", "b", "c"], ["b"]), ("c", "a", "b")), (([], ["z", "y"], ["y", "x"]), ("y,z", "", "y")), ((["a"], [], ["a"]), ("", "a", "")),
+    ]),
     "sidecar_cost": ("cost double, session string, base double, base_session string", ["rise"], lambda df: [pricing.sidecar_difference(*c("cost", "session", "base", "base_session")).alias("rise")], [
         ((1.5, "s", 1.0, "s"), (0.5,)), ((0.5, "s", 1.0, "s"), (0.0,)), ((1.5, "s", 1.0, "t"), (None,)), ((1.5, "s", None, "s"), (None,)), ((1.2345678, "s", 1.0, None), (0.234568,)),
     ]),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, language, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_output, vector_search
-from .shared import settle, table
+from .shared import settle, table, widened
 
 #: Where the vocabulary files are; see ``vocabulary``.
 VOCABULARY_DIR = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -24,23 +24,23 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_pieces(table(spark, sf_dir, "documents"), token_counts.zipf_vocabulary(vocabulary("piece_bpe_32k.model")))
+    return token_counts.count_pieces(widened(table(spark, sf_dir, "documents")), token_counts.zipf_vocabulary(vocabulary("piece_bpe_32k.model")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = widened(table(spark, sf_dir, "documents"))
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    docs = widened(table(spark, sf_dir, "documents")).withColumn("held_out", held_out)
     model = language.train(docs.where(~F.col("held_out")))
     return language.identify(docs, model, carry=("held_out",))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    groups = simhash.simhash_groups(widened(table(spark, sf_dir, "documents")), shingle=3, radius=2)
     return groups.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -53,7 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contaminated(widened(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 
@@ -76,7 +76,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = token_output.write_token_files(table(spark, sf_dir, "documents"), bpe.tokenizer_text(vocabulary("byte_bpe_50k.json")), end_id=0)
+    written = token_output.write_token_files(widened(table(spark, sf_dir, "documents")), bpe.tokenizer_text(vocabulary("byte_bpe_50k.json")), end_id=0)
     return token_output.read_token_files(written).select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -54,3 +54,9 @@ def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> int:
 
 def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files give fewer tasks than there are cores: one file of one row group is else one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

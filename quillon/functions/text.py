@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import exprs as X
+
 
 def trimmed(text: Column) -> Column:
     """Without blanks of any kind at either end."""
@@ -317,3 +319,30 @@ def aider_line(line: Column) -> Column:
 def coalesced_match(text: Column, pattern: str) -> Column:
     """Does the text match? A null one doesn't."""
     return F.coalesce(text.rlike(pattern), F.lit(False))
+
+
+# Complexity of depths and of other words for it, types of task families, and languages that a descriptor names.
+DEPTH_COMPLEXITY = {"shallow": 3, "standard": 5, "deep": 8}
+COMPLEXITY = {"low": 3, "small": 3, "medium": 5, "moderate": 5, "high": 8, "large": 8, "very_high": 10, **DEPTH_COMPLEXITY}
+TASK_TYPES = {"bugfix": "bugfix", "feature": "feature", "migration": "migration", "refactor": "refactor", "test": "tests", "docs": "docs", "infra": "infra", "chore": "infra", "mixed": "unknown", "investigation": "unknown"}
+DESCRIBED = {"python": "python", "typescript": "typescript", "javascript": "javascript", "go": "go", "rust": "rust", "java": "java", "shell": "bash", "bash": "bash"}
+
+
+def _of(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def complexity_number(x: Column) -> Column:
+    """A finite number, or what a word for complexity stands for; null for anything else."""
+    word = F.lower(trimmed(x))
+    n = F.when(word.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"), word.try_cast("double"))
+    return F.coalesce(_of(COMPLEXITY, word).cast("double"), n)
+
+
+def task_descriptor(text: Column, files: Column, extension_counts: Column) -> Column:
+    """A struct of task type, complexity, size of the repository and language; null where nothing tells of one."""
+    said = F.when(trimmed(text) != "", trimmed(text))
+    used = F.map_filter(extension_counts, lambda _, n: n > 0)
+    label = F.get(language_signals(F.map_filter(used, lambda k, _: k == X.dominant_key(used))), F.lit(0))
+    language = F.when(label.isNotNull(), F.coalesce(_of(DESCRIBED, F.lower(label)), F.lit("unknown")))
+    return F.struct(_of(TASK_TYPES, X.task_family(said)).alias("task_type"), _of(DEPTH_COMPLEXITY, reasoning_depth(said)).alias("complexity"), X.repository_scale(files).alias("repo_size_bucket"), language.alias("language"))

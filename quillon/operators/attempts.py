@@ -8,7 +8,7 @@ in one place; a task's log is some hundred rows.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARENTS = {"arm": "pair", "run": "arm", "stage_attempt": "run"}
@@ -155,3 +155,25 @@ def funnel(signals: DataFrame) -> DataFrame:
     start = first.groupBy("installation").agg(F.min("at").alias("install"))
     route = first.where("stage = 'first_route'").select("installation", F.col("at").alias("first_route"))
     return start.join(route, "installation", "left").withColumn("seconds_to_first_route", F.unix_timestamp("first_route") - F.unix_timestamp("install"))
+
+
+def queue_decisions(events: DataFrame) -> DataFrame:
+    """``event_id, ordinal, decision, reasons`` of queue events: repeats, conflicts, candidates used twice or unknown, and decisions that read what wasn't there yet.
+
+    ``events``: ``event_id, ordinal, event_type, body`` (canonical JSON), ``candidate_id, observed_at, context array<string>, context_as_of``. The first body of an id counts: the same again is
+    a duplicate, another a conflict. A candidate is prepared once, before it is named. A recovery decision may read only events observed by its time whose id and candidate were accepted.
+    """
+    by_id = Window.partitionBy("event_id").orderBy("ordinal")
+    placed = events.withColumns({"__n": F.row_number().over(by_id), "__first": F.first("body").over(by_id)})
+    again = placed.where("__n > 1").select("event_id", "ordinal", F.when(F.col("body") == F.col("__first"), "duplicate").otherwise("rejected").alias("decision"), F.when(F.col("body") == F.col("__first"), F.array().cast("array<string>")).otherwise(F.array(F.lit("event_id_conflict"))).alias("reasons"))
+    own = placed.where("__n = 1")
+    by_candidate = Window.partitionBy("candidate_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    prepared = F.coalesce(F.max(F.col("event_type") == "candidate_prepared").over(by_candidate), F.lit(False)) & F.col("candidate_id").isNotNull()
+    judged = own.withColumn("__why", F.when(F.col("event_type") == "candidate_prepared", F.when(prepared, "candidate_id_reused")).when(F.col("candidate_id").isNotNull() & ~prepared, "unknown_candidate"))
+    read = judged.where("event_type = 'recovery_decision'").select("event_id", F.col("ordinal").alias("__at"), "context_as_of", F.explode("context").alias("__id"))
+    seen = judged.where("__why is null").select(F.col("event_id").alias("__id"), F.col("observed_at").alias("__seen"), F.col("ordinal").alias("__before"))
+    met = read.join(seen, "__id", "left")
+    leaks = met.where("__seen is null or __seen > context_as_of or __before > __at").select("event_id", F.lit(True).alias("__leak")).distinct()
+    reasons = F.array_compact(F.array(F.col("__why"), F.when(F.col("__leak"), "context_leak")))
+    first = judged.join(leaks, "event_id", "left").select("event_id", "ordinal", F.when(F.size(reasons) > 0, "rejected").otherwise("accepted").alias("decision"), reasons.alias("reasons"))
+    return first.union(again)

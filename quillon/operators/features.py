@@ -29,6 +29,24 @@ def text_at(changes: DataFrame, renames: DataFrame, key: str = "pr") -> DataFram
     return agg.select(key, F.when(F.col("__past").isNotNull(), F.col("__new")).otherwise(F.coalesce("__old", "title")).alias("title"))
 
 
+def body_at(changes: DataFrame, edits: DataFrame, key: str = "pr") -> DataFrame:
+    """``key, body``: the last edit till ``as_of``; without any edit the body as it is, empty for none; null if that version is gone."""
+    met = changes.join(edits.select(key, F.col("at").alias("__at"), F.col("body").alias("__body")), key, "left")
+    past = F.col("__at") <= F.col("as_of")
+    agg = met.groupBy(key).agg(F.max_by("__body", F.when(past, F.col("__at"))).alias("__then"), F.max(F.when(past, F.col("__at"))).alias("__past"), F.count("__at").alias("__n"), F.first("body").alias("__now"))
+    return agg.select(key, F.when(F.col("__n") == 0, F.coalesce("__now", F.lit(""))).when(F.col("__past").isNotNull(), F.col("__then")).alias("body"))
+
+
+def reviews_at(reviews: DataFrame, dismissals: DataFrame) -> DataFrame:
+    """Reviews submitted till ``as_of``, each in the state it held then: a later dismissal doesn't count yet.
+
+    ``reviews``: ``pr, review_id, state, submitted_at, author, as_of``; ``dismissals``: ``review_id, at, previous_state``.
+    """
+    first = dismissals.groupBy("review_id").agg(F.max(F.struct("at", "previous_state")).alias("d"))
+    met = reviews.where(F.col("submitted_at") <= F.col("as_of")).join(first, "review_id", "left")
+    return met.select("pr", "review_id", F.when(F.col("d.at") > F.col("as_of"), F.coalesce("d.previous_state", "state")).otherwise(F.col("state")).alias("state"), "submitted_at", "author")
+
+
 def process_features(reviews: DataFrame, key: str = "pr") -> DataFrame:
     """Reviews till ``as_of``: count, approvals, change requests, reviewers, distinct hours and hours till the first."""
     seen = F.col("at") <= F.col("as_of")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,17 @@ def unscored(merges: DataFrame, scores: DataFrame) -> DataFrame:
     return merges.join(scores.select("repo", "merge_sha"), ["repo", "merge_sha"], "left_anti")
 
 
+def score_with(merges: DataFrame, scorer_id: str, scorer_version: str, score: Callable[[pd.DataFrame], pd.Series], features: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Merges with the score that a caller's function gives batches of their features, and whether it lies below the threshold."""
+
+    @F.pandas_udf("double")
+    def run(frame: pd.DataFrame) -> pd.Series:
+        return score(frame)
+
+    scored = merges.withColumn("score", run(F.struct(*features)))
+    return scored.withColumns({"scorer_id": F.lit(scorer_id), "scorer_version": F.lit(scorer_version), "threshold": F.lit(threshold), "would_flag": F.col("score") < threshold})
+
+
 def due_outcomes(scores: DataFrame, outcomes: DataFrame, horizon_days: int, as_of) -> DataFrame:
     """Scored merges that lack an outcome at the horizon, with ``matured``: is it due at ``as_of``?"""
     have = outcomes.where(F.col("horizon_days") == horizon_days).select("repo", "merge_sha")

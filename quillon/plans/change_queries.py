@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import corrective, features, survival
+from ..operators import attempts, corrective, features, survival
 from . import bindings as B
 
 
@@ -110,7 +110,37 @@ def _landing(s: SparkSession, d: str) -> DataFrame:
     return features.landing_positions(rows.where("sha % 10 = 0").select("sha", F.expr("sha div 10").alias("position")), parents)
 
 
+AS_OF = "timestamp '2024-01-15 12:00:00'"
+
+
+def _reviews_at(s: SparkSession, d: str) -> DataFrame:
+    rows = B.read(s, d, "events")
+    reviews = rows.select(F.col("user_id").alias("pr"), F.col("event_id").alias("review_id"), F.when(F.col("event_id") % 3 == 0, "dismissed").otherwise("approved").alias("state"), F.col("ts").alias("submitted_at"), F.lit("a").alias("author"), F.expr(AS_OF).alias("as_of"))
+    gone = rows.select(F.col("event_id").alias("review_id"), (F.col("ts") + F.expr("interval 5 days")).alias("at"), F.when(F.col("event_id") % 3 == 0, "approved").alias("previous_state")).where("previous_state is not null")
+    return features.reviews_at(reviews, gone).select("pr", "review_id", "state")
+
+
+def _bodies(s: SparkSession, d: str) -> DataFrame:
+    rows = B.read(s, d, "events")
+    prs = rows.select(F.col("user_id").alias("pr")).distinct().select("pr", F.lit("now").alias("body"), F.expr(AS_OF).alias("as_of"))
+    edits = rows.where("event_type = 'signup'").select(F.col("user_id").alias("pr"), F.col("ts").alias("at"), F.concat(F.lit("edit "), F.col("event_id").cast("string")).alias("body"))
+    return features.body_at(prs, edits)
+
+
+def _queue(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = B.read(s, d, "events").select(
+        F.concat(F.lit("q"), F.floor(k / 2).cast("string")).alias("event_id"), k.alias("ordinal"), F.when(k % 4 == 0, "candidate_prepared").when(k % 4 == 2, "recovery_decision").otherwise("merged").alias("event_type"),
+        F.when(k % 6 < 2, "same").otherwise(F.concat(F.lit("b"), k.cast("string"))).alias("body"), F.when(k % 4 == 0, (k % 12).cast("string")).alias("candidate_id"), k.alias("observed_at"), F.array(F.concat(F.lit("q"), F.floor((k - k % 5) / 2).cast("string"))).alias("context"), (k - 2).alias("context_as_of"),
+    )
+    return attempts.queue_decisions(rows).select("event_id", "ordinal", "decision", F.array_join("reasons", ",").alias("reasons"))
+
+
 QUERIES = {
+    "review_states": _reviews_at,
+    "body_asof": _bodies,
+    "queue_decisions": _queue,
+    "corrective_summary": lambda s, d: corrective.corrective_summary(_candidates(s, d), _changes(s, d)),
     "corrective_candidates": lambda s, d: _candidates(s, d).select("candidate_id", "pr", "fix", "proxy", "lag_seconds", F.concat_ws(",", "evidence").alias("evidence"), "exclusion", "status"),
     "corrective_by_horizon": lambda s, d: _corrective(s, d).select("pr", "horizon_days", "corrective", "confidence", F.concat_ws(",", "reason_codes").alias("reason_codes"), F.size("repair_pair_ids").alias("n_pairs")),
     "corpus_summary": _summary,
@@ -152,6 +182,16 @@ def _wilson(k: str, n: str) -> str:
 
 
 SQL = {
+    "review_states": f"select user_id as pr, event_id as review_id, case when event_id % 3 = 0 and ts + interval 5 day <= {AS_OF} then 'dismissed' else 'approved' end as state from events where ts <= {AS_OF}",
+    "body_asof": f"""with p as (select distinct user_id as pr from events), a as (select user_id as pr, count(*) as n, arg_max(event_id, ts) filter (ts <= {AS_OF}) as e from events where event_type = 'signup' group by 1)
+  select p.pr, case when a.n is null then 'now' when e is not null then 'edit ' || e end as body from p left join a on a.pr = p.pr""",
+    "queue_decisions": """with q as (select event_id // 2 as q, event_id as o, case when event_id % 6 < 2 then 'same' else 'b' || event_id end as body, event_id % 4 = 0 as prep, event_id % 4 = 2 as rec, case when event_id % 4 = 0 then event_id % 12 end as c, (event_id - event_id % 5) // 2 as ctx from events),
+  n as (select *, row_number() over (partition by q order by o) as n, first_value(body) over (partition by q order by o) as f from q), j as (select *, prep and row_number() over (partition by prep, c order by o) > 1 as reused from n where n = 1),
+  w as (select j.*, j.rec and (s.o is null or s.reused or s.o > j.o - 2) as leak from j left join j s on s.q = j.ctx)
+  select 'q' || q as event_id, o as ordinal, case when reused or leak then 'rejected' else 'accepted' end as decision, concat_ws(',', case when reused then 'candidate_id_reused' end, case when leak then 'context_leak' end) as reasons from w
+  union all select 'q' || q, o, case when body = f then 'duplicate' else 'rejected' end, case when body = f then '' else 'event_id_conflict' end from n where n > 1""",
+    "corrective_summary": f"""{_C}, a as (select count(distinct pr) filter (status = 'accepted') as n, (select count(*) from changes) as total from cands) select 'proxy_status' as measure, proxy || ':' || status as name, count(*) as n from cands group by all
+  union all select 'exclusion', exclusion, count(*) from cands where exclusion is not null group by all union all select 'originals', 'with_fix', n from a union all select 'originals', 'share_e4', floor(n * 10000 / total + 0.5)::bigint from a""",
     "landing_positions": """with o as (select distinct o_orderkey::bigint as sha from orders) select sha, case when sha % 10 = 0 then sha // 10 else sha // 10 + 1 end::bigint as position from o
   where sha % 10 = 0 or sha - sha % 10 + 10 in (select sha from o)""",
     "history_window": f"""with c0 as ({COMMITS}), c as (select *, max(ct) over (partition by repo order by -position rows unbounded preceding) as landed, sha // 30 as path from c0),

@@ -134,6 +134,12 @@ CASES: dict[str, tuple[str, list[str], Callable[[DataFrame], list[Column]], list
     "payload_hash": ("payload string", ["hash"], lambda df: [redaction.payload_hash(F.col("payload"), SALT).alias("hash")], [
         (('{"b": 1, "a": [2, {"d": 1, "c": null}]}',), (__import__("hmac").new(SALT.encode(), b'{"a":[2,{"c":null,"d":1}],"b":1}', "sha256").hexdigest(),)), (("text",), (__import__("hmac").new(SALT.encode(), b"text", "sha256").hexdigest(),)), ((None,), (None,)),
     ]),
+    "complexity_levels": ("x string", ["n"], lambda df: [T.complexity_number(F.col("x")).alias("n")], [
+        ((" High ",), (8.0,)), (("standard",), (5.0,)), (("2.5",), (2.5,)), (("1e2",), (100.0,)), (("unheard",), (None,)), (("",), (None,)), (("NaN",), (None,)), ((None,), (None,)),
+    ]),
+    "task_descriptors": ("text string, files long, counts map<string, long>", ["task_type", "complexity", "repo_size_bucket", "language"], lambda df: [T.task_descriptor(*c("text", "files", "counts"))[n].alias(n) for n in ("task_type", "complexity", "repo_size_bucket", "language")], [
+        (("fix the broken parser", 50, {".py": 3, "ts": 2}), ("bugfix", 3, "small", "python")), (("  ", 5000, {"sh": 1}), (None, None, "large", "bash")), (("compare both caches and say which of them is the smaller", None, {"php": 4, "go": 0}), ("infra", 8, None, "unknown")), ((None, -1, {"zz": 3}), (None, None, None, None)), (("x", 10000, None), ("infra", 3, "xlarge", None)),
+    ]),
     "window_bounds": ("x string", ["ms"], lambda df: [X.bound_millis(F.col("x")).alias("ms")], [
         (("1700000000000",), (1700000000000,)), (("2024-01-01T00:00:00Z",), (1704067200000,)), (("2024-01-01",), (1704067200000,)), (("-5",), (None,)), (("soon",), (None,)), (("1969-01-01T00:00:00Z",), (None,)), ((None,), (None,)),
     ]),

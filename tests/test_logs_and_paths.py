@@ -319,3 +319,20 @@ def test_estimators_are_plain_functions(spark):
     frame = pd.DataFrame({"weight": [1, 3], "verdict": ["yes", "no"], "positive": [True, True]})
     rates = calibration.weighted_rates(spark.createDataFrame(frame)).first()
     assert (rates["precision"], rates["recall"]) == (0.25, 1.0)
+
+
+def test_scorers_of_the_caller(spark):
+    from quillon.operators import shadow
+
+    frame = spark.createDataFrame([(1, 2.0, 3.0), (2, 0.1, 0.1)], "pr int, a double, b double")
+    out = shadow.score_with(frame, "own", "1", lambda f: f["a"] * f["b"], ["a", "b"], 1.0)
+    assert {r["pr"]: (round(r["score"], 6), r["would_flag"], r["scorer_id"]) for r in out.collect()} == {1: (6.0, False, "own"), 2: (0.01, True, "own")}
+
+
+def test_query_bounds_are_checked(spark):
+    ledger = cost.to_ledger(spark.createDataFrame([("e", "t", AT, "m", "codex", "b", "none", 1, 1, 0, 0, 1, None)], "event_id string, task_id string, ts timestamp, model string, harness string, backend string, source string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, actual_micros long, estimated_micros long"))
+    for keys, start, end in ((["model", "model"], None, None), (["task_id"], None, None), ([], None, None), (["model"], AT, AT)):
+        with pytest.raises(ValueError):
+            cost.ledger_query(ledger, keys, start=start, end=end)
+    assert cost.ledger_query(ledger, ["model"], start=AT, end=AT + datetime.timedelta(1)).count() == 2
+    assert spark.range(1).select(X.round_usd(F.lit(0.1234567895))).first()[0] == 0.12345679

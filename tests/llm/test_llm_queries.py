@@ -92,6 +92,9 @@ def test_quality_agrees_with_labels(spark, medium):
     kept = [r["keep"] for r in rows]
     assert len(rows) > 100
     assert sum(a == b for a, b in zip(wanted, kept, strict=True)) / len(rows) > 0.95
+    toxic = [k for k, r in zip(kept, rows, strict=True) if r["bad"] == 1]
+    assert sum(not k for k in toxic) >= 0.7 * len(toxic)
+    assert sum(k for k, w in zip(kept, wanted, strict=True) if w) >= 0.99 * sum(wanted)
 
 
 def test_expectation_maximisation_finds_accurate_labellers():

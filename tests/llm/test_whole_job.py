@@ -174,13 +174,6 @@ def test_expectation_maximisation_matches_plain_python():
     assert all(abs(mine[k] - wanted[k]) < 1e-4 for k in wanted)
 
 
-def test_toxic_documents_go_in_every_language(spark, medium):
-    rows = queries.op2_quality_classifier(spark, medium).join(spark.read.parquet(f"{medium}/labels.parquet").withColumnsRenamed({"quality": "good", "toxic": "bad"}), "doc_id").collect()
-    bad, clean = [r for r in rows if r["bad"] == 1], [r for r in rows if r["bad"] == 0 and r["good"] == 1]
-    assert sum(not r["keep"] for r in bad) >= 0.7 * len(bad)
-    assert sum(r["keep"] for r in clean) >= 0.99 * len(clean)
-
-
 def test_language_of_texts_without_letters_and_ties(spark):
     frame = spark.createDataFrame([(1, "aaa bbb", "x"), (2, "ccc ddd", "y"), (3, "123 !!", None), (4, None, "x"), (5, "aaa", None), (6, "", "y"), (5, "aaa", None)], "doc_id long, text string, lang string")
     model = language.train(frame)
@@ -214,5 +207,6 @@ def test_stages_take_odd_rows(spark, small, name):
     if name in ("repeated_passages", "decontamination"):
         assert out.count() == len(rows)
     assert getattr(stages, name)(spark, frame.limit(0), small).count() == 0
-    bare = frame.select("doc_id", "text")
-    assert set(bare.columns) <= set(getattr(stages, name)(spark, bare, small).columns) or name == "packing"
+    if name in ("repeated_passages", "decontamination"):
+        bare = frame.select("doc_id", "text")
+        assert getattr(stages, name)(spark, bare, small).columns == bare.columns

@@ -94,12 +94,15 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
     return out * np.uint64(0x94D049BB133111EB)
 
 
-def _window_min(x: np.ndarray, width: int) -> np.ndarray:
-    have = 1
-    while 2 * have <= width:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+def _window_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values the place of its least, of equal ones the first: it hangs on the run alone."""
+    at, have = np.arange(len(x), dtype=np.int32), 1
+    while have < width:
+        step = min(have, width - have)
+        right = x[step:] < x[:-step]
+        x, at = np.where(right, x[step:], x[:-step]), np.where(right, at[step:], at[:-step])
+        have += step
+    return at
 
 
 @dataclass
@@ -122,10 +125,8 @@ def cells_of(texts: list[bytes], length: int) -> Cells:
     if not (sizes >= length).any():
         none = np.zeros(0, np.int64)
         return Cells(none, none, none, none, none.view(np.uint64), none.view(np.uint64))
-    bits = int(len(data)).bit_length()
     h = _anchor_hashes(data)
-    key = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
-    least = _window_min(key, length - ANCHOR + 1) & np.uint64((1 << bits) - 1)
+    least = _window_argmin(h, length - ANCHOR + 1)
     doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
     before = np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0)
     p = np.arange(len(doc)) - before[doc] + starts[doc]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import checkpointed
 from . import pricing
 
 SOURCES = ("provider_reported", "local_estimate", "none")
@@ -41,13 +42,13 @@ def resolve_replays(events: DataFrame, task: str = "task_id", event: str = "even
 def replay_cycles(events: DataFrame, task: str = "task_id", event: str = "event_id", replay_of: str = "replay_of", order: str = "ordinal") -> DataFrame:
     """Events on a cycle of replays: those from which doubling the steps never leaves the chain."""
     edges = first_wins(events, [task, event], [order]).where(F.col(replay_of).isNotNull()).select(task, event, F.col(replay_of).alias("to"))
-    edges = edges.join(edges.select(task, F.col(event).alias("to")), [task, "to"], "left_semi").select(task, event, "to")
-    steps = 1
-    longest = edges.count()
-    while steps < longest + 1:
+    edges = checkpointed(edges.join(edges.select(task, F.col(event).alias("to")), [task, "to"], "left_semi").select(task, event, "to"))
+    left, steps = edges.count(), 1
+    # a chain that ends loses its edges as the steps double; on a cycle none is lost. A cycle has no more events than are left
+    while left and steps <= left:
         right = edges.select(F.col(task).alias("__t"), F.col(event).alias("__e"), F.col("to").alias("__to"))
-        edges = edges.join(right, (F.col(task) == F.col("__t")) & (F.col("to") == F.col("__e"))).select(task, event, F.col("__to").alias("to"))
-        steps *= 2
+        edges = checkpointed(edges.join(right, (F.col(task) == F.col("__t")) & (F.col("to") == F.col("__e"))).select(task, event, F.col("__to").alias("to")))
+        left, steps = edges.count(), steps * 2
     return edges.select(task, event)
 
 
@@ -195,8 +196,9 @@ def migrated(row: Column, version: Column, target: int = 1, steps: dict[int, Cal
 
 
 def append_new(ledger: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows that are not in the ledger yet, the first of each id: what an idempotent append writes."""
-    return rows.dropDuplicates(["id"]).join(ledger.select("id"), "id", "left_anti")
+    """Rows that are not in the ledger yet, the first of each id by time and checksum: what an idempotent append writes."""
+    first = rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), F.struct("ts", "c")).alias("row")).select("row.*")
+    return first.join(ledger.select("id"), "id", "left_anti")
 
 
 def ledger_filter(ledger: DataFrame, task_id=None, start=None, end=None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` in the one that ``spark.checkpoint.dir`` names; only where that is unset (tests on one machine) in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage in the folder that ``spark.checkpoint.dir`` names.
 

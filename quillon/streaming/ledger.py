@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,25 +22,63 @@ def windowed_usage(events: DataFrame, width: str = "1 hour", delay: str = "1 hou
     return grouped.agg(F.count(F.lit(1)).alias("records"), *[F.sum(t).alias(t) for t in ("input_tokens", "output_tokens")]).select("window.start", "window.end", "model", "records", "input_tokens", "output_tokens")
 
 
-#: Leading hex digits of an id by which the ledger is partitioned.
-PREFIX = 2
+#: Buckets of a new index of ids; a ledger keeps the number it was begun with.
+BUCKETS = 64
+_INDEX = "id string, batch string"
+
+
+def id_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """``id, batch`` of every row of the ledger at ``path``, bucketed by id and apart from the rows, which lie by day.
+
+    A join by id reads the index bucket by bucket without a shuffle of it.
+    """
+    name = _index_table(spark, path, buckets)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+def _index_table(spark: SparkSession, path: str, buckets: int) -> str:
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ids")  # the folder may be in any store that Spark reads
+    files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    begun = [x.getPath().getName() for x in files.listStatus(home)] if files.exists(home) else []
+    sizes = sorted(int(n.removeprefix("buckets-")) for n in begun if n.startswith("buckets-"))
+    n = sizes[0] if sizes else buckets
+    name = f"ledger_ids_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{n}"
+    spark.sql(f"create table if not exists {name} ({_INDEX}) using parquet clustered by (id) into {n} buckets location '{path}/ids/buckets-{n}'")
+    return name
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the ledger at ``path``; a filter of ``day`` reads only those days."""
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+def append_batch(rows: DataFrame, path: str, batch: str, buckets: int = BUCKETS) -> DataFrame:
+    """Write the ledger rows that ``path`` lacks, under the name of their batch; what was written.
+
+    An id is one over all days: rows whose id another batch has are duplicates, of rows of one id
+    the first by ``ts`` and content counts. A batch that is run again writes what it wrote before, in the same
+    place, wherever it stopped. One writer at a time, as for any ledger.
+    """
+    spark = rows.sparkSession
+    have = id_index(spark, path, buckets).where(F.col("batch") != batch)
+    new = cost.append_new(have, rows).withColumn("day", F.to_date("ts"))
+    new.write.mode("overwrite").partitionBy("day").parquet(f"{path}/rows/batch={batch}")
+    written = spark.read.schema(new.schema).parquet(f"{path}/rows/batch={batch}")
+    table = _index_table(spark, path, buckets)
+    written.select("id", F.lit(batch).alias("batch")).write.mode("append").format("parquet").bucketBy(int(table.rsplit("_", 1)[1]), "id").option("path", f"{path}/ids/buckets-{table.rsplit('_', 1)[1]}").saveAsTable(table)
+    return written
 
 
-def append_to_ledger(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_to_ledger(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Append what is there as ledger rows whose id the ledger at ``path`` lacks; a batch that is run again adds nothing.
 
-    The ledger is partitioned by day and the first digits of the id, and a batch reads only the days it has rows of.
+    See ``append_batch``. Streams with other checkpoints may follow one another on the same ledger.
     """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = cost.to_ledger(batch).withColumns({"day": F.to_date("ts"), "part": F.substring("id", 1, PREFIX)}).persist()
-        # at most as many as the batch has days
-        days = [r["day"] for r in rows.select("day").distinct().collect()]
-        rows.limit(0).write.mode("append").partitionBy("day", "part").parquet(path)
-        have = spark.read.schema(rows.schema).parquet(path).where(F.col("day").isin(days)) if days else rows.limit(0)
-        cost.append_new(have, rows).write.mode("append").partitionBy("day", "part").parquet(path)
-        rows.unpersist()
+    def write(batch: DataFrame, n: int) -> None:
+        append_batch(cost.to_ledger(batch), path, f"{writer}-{n}", buckets)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

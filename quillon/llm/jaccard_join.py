@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import settle, spread
-from .simhash import _batch, _whole_runs, run_pairs, shingle_hashes, words_of
+from .simhash import _batch, shingle_hashes, spanning_forest, words_of
 
 #: Sizes of a band differ by this factor at most, or by what similar sets differ in if that is more.
 BAND = 1.5
 WORD = 64
+#: Words of the folded sketch that goes along with each signature.
+FOLD = 8
 
 
 def most_apart(total, percent: int):
@@ -83,16 +85,84 @@ def may_be_similar(size_a: int, size_b: int, a: tuple, b: tuple, bands: Bands) -
     return apart <= most_apart(size_a + size_b, bands.percent)
 
 
-def neighbours_in_runs(rows: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Pairs ``a < b`` of each run of the first column: the next ``reach`` nodes in an order of the run's own."""
-    order = rows[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, 0].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    order = (order ^ order >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    rows = rows[np.lexsort((order >> np.uint64(16), rows[:, 0]))]
-    out = [np.zeros((0, 2), np.int64)]
-    for step in range(1, reach + 1):
-        a, b = rows[:-step], rows[step:]
-        out.append(np.column_stack([a[:, 1], b[:, 1]])[a[:, 0] == b[:, 0]])
-    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+def folded(words: np.ndarray) -> bytes:
+    """The sketch whose bit is the parity of all bits ``FOLD`` words apart: it differs in no more bits than the sketch does."""
+    full = np.zeros(-(-len(words) // FOLD) * FOLD, np.uint64)
+    full[: len(words)] = words
+    return np.bitwise_xor.reduce(full.reshape(-1, FOLD), axis=0).astype("<u8").tobytes()
+
+
+class Near:
+    """Do sizes and folded sketches allow that rows (signature, node, size, ..., folded sketch) are similar?"""
+
+    def __init__(self, rows: np.ndarray, percent: int):
+        self.sizes, self.sketch, self.percent, self.size = rows[:, 2], np.ascontiguousarray(rows[:, -FOLD:]).view(np.uint64), percent, len(rows)
+
+    def __call__(self, i, rest: np.ndarray) -> np.ndarray:
+        a, b = self.sizes[i], self.sizes[rest]
+        may = 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+        apart = np.bitwise_count(self.sketch[i] ^ self.sketch[rest]).sum(1, dtype=np.int64)
+        return may & (apart <= most_apart(a + b, self.percent))
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of the first column start, and their sizes."""
+    starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    return starts, np.diff(np.r_[starts, len(rows)])
+
+
+def forest_of_runs(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs ``a < b`` of nodes that hang each run together as far as ``Near`` does: a run of n nodes gives n - 1 at most."""
+    # one order for all runs, so that the nodes of several shared runs hang on the same ones
+    rows = rows[np.lexsort((rows[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), rows[:, 0]))]
+    starts, sizes = _runs(rows)
+    near, out = Near(rows, percent), []
+    two = starts[sizes == 2]
+    out.append(np.column_stack([two, two + 1])[near(two, two + 1)])
+    for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        out.append(np.array(spanning_forest(Near(rows[at : at + n], percent)), np.int64).reshape(-1, 2) + at)
+    pairs = np.concatenate(out)
+    return np.unique(np.sort(np.column_stack([rows[pairs[:, 0], 1], rows[pairs[:, 1], 1]]), axis=1), axis=0)
+
+
+def crossing_pairs(rows: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Pairs ``a < b`` of each run that ``Near`` allows and whose components (the fourth column) differ, in parts."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+    starts, sizes = _runs(rows)
+    mixed = np.minimum.reduceat(rows[:, 3], starts) != np.maximum.reduceat(rows[:, 3], starts)
+    rows = rows[np.repeat(mixed, sizes)]
+    near, at, step, held, n = Near(rows, percent), np.arange(len(rows)), 0, [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(rows)]
+        other = at + step
+        # by size within a run: beyond the first that is too large all are
+        at = at[(rows[at, 0] == rows[other, 0]) & (100 * rows[at, 2] >= percent * rows[other, 2])]
+        a = at[rows[at, 3] != rows[at + step, 3]]
+        a = a[near(a, a + step)]
+        held.append(np.sort(np.column_stack([rows[a, 1], rows[a + step, 1]]), axis=1))
+        n += len(a)
+        if n > 500_000:
+            yield np.unique(np.concatenate(held), axis=0)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of long columns and, last, of folded sketches if there are any, in whole runs of the first column; the batches come sorted by it."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        rows = np.column_stack([np.frombuffer(b"".join(c.to_pylist()), "<i8").reshape(-1, FOLD) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if not len(rows):
+            continue
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last run may go on
+        if cut:
+            yield np.concatenate([*held, rows[:cut]])
+            held = []
+        held.append(rows[cut:])
+    if held:
+        yield np.concatenate(held)
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,9 +175,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, key: st
     null keys are passed over, and it is null if there is no other. Repeated rows stay, other columns
     are not read, an empty table gives an empty result.
 
-    Equal sets are one node. Nodes that share a signature meet in sorted runs, twice: first each with
-    its neighbours in an order of the run's own, so that groups of many copies hang together; then all
-    whose components still differ.
+    Equal sets are one node. Nodes that share a signature meet in sorted runs, twice, with folded sketches
+    that tell most unlike ones apart: first only as many pairs as hang a run together, so that a group of n copies
+    gives some n pairs and not all; then all whose components still differ. What is compared in a run grows with
+    the square of its nodes that are not one component, in numpy; what leaves it are pairs that sketches allow.
     """
     bands = Bands(percent)
     worded = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -117,52 +188,49 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, key: st
         for big in batches:
             for at in range(0, big.num_rows, 128):
                 b = big.slice(at, 128)
-                sizes, marks, own, below = [], [], [], []
+                sizes, marks, sketches, folds = [], [], ([], []), ([], [])
                 for x in b.column(1):
                     shingles = np.unique(shingle_hashes(words_of(x.as_py()), shingle))
                     sizes.append(len(shingles))
                     marks.append(md5(shingles.tobytes()).digest())
-                    sketches = [parity_words(shingles, bands.words(s)).tobytes() for s in bands.schemes(len(shingles))] if len(shingles) else [None]
-                    own.append(sketches[0])
-                    below.append(sketches[1] if len(sketches) > 1 else None)
+                    made = [parity_words(shingles, bands.words(s)) for s in bands.schemes(len(shingles))] if len(shingles) else []
+                    for i in (0, 1):
+                        sketches[i].append(made[i].tobytes() if i < len(made) else None)
+                        folds[i].append(folded(made[i]) if i < len(made) else None)
                 mark = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(mark[:, i])) for i in (0, 1)], pa.array(own, pa.binary()), pa.array(below, pa.binary())],
-                    names=["key", "digest", "size", "set0", "set1", "own", "below"],
+                    [b.column(0), b.column(2), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(mark[:, i])) for i in (0, 1)], *[pa.array(x, pa.binary()) for x in (*sketches, *folds)]],
+                    names=["key", "digest", "size", "set0", "set1", "own", "below", "own_fold", "below_fold"],
                 )
 
     kind = worded.schema["key"].dataType.simpleString()
-    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, size long, set0 long, set1 long, own binary, below binary"), "sets-of-rows")
-    made = rows.where("size > 0").groupBy("set0", "set1").agg(F.min("key").alias("least"), F.min(F.struct("digest", "size", "own", "below")).alias("x"))
+    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, size long, set0 long, set1 long, own binary, below binary, own_fold binary, below_fold binary"), "sets-of-rows")
+    made = rows.where("size > 0").groupBy("set0", "set1").agg(F.min("key").alias("least"), F.min(F.struct("digest", "size", "own", "below", "own_fold", "below_fold")).alias("x"))
     nodes = settle(made.select("set0", "set1", "least", "x.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A signature for each word; the node is doubled, plus one if the word is of the band below."""
         for big in batches:
             for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
-                node, sigs, times = b.column(0).to_numpy(zero_copy_only=False), [], []
-                for size, own, below in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                    of = [signatures(np.frombuffer(w, "<u8"), s) for s, w in zip(bands.schemes(size), (own, below), strict=False)]
-                    times.append(sum(map(len, of)))
-                    sigs += of
-                yield _batch(["sig", "node"], np.column_stack([np.concatenate(sigs).view(np.int64), np.repeat(node, times)]))
+                b, sigs, nodes_of = big.slice(at, 256), [], []
+                for node, size, own, below in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for i, (scheme, words) in enumerate(zip(bands.schemes(size), (own, below), strict=False)):
+                        sigs.append(signatures(np.frombuffer(words, "<u8"), scheme))
+                        nodes_of.append(np.full(len(sigs[-1]), 2 * node + i))
+                yield _batch(["sig", "node"], np.column_stack([np.concatenate(sigs).view(np.int64), np.concatenate(nodes_of)]))
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_runs(batches):
             new = np.r_[True, x[1:, 0] != x[:-1, 0]]
             yield _batch(["sig", "node"], x[~(new & np.r_[new[1:], True])])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hang_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_runs(batches):
-            yield _batch(["a", "b"], neighbours_in_runs(x))
+            yield _batch(["a", "b"], forest_of_runs(x, percent))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_runs(batches):  # sig, node, size, root
-            starts = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
-            mixed = np.minimum.reduceat(x[:, 3], starts) != np.maximum.reduceat(x[:, 3], starts)
-            left = x[np.repeat(mixed, np.diff(np.r_[starts, len(x)]))]
-            left[:, 2] <<= 32
-            for pairs in run_pairs(left, percent / 100):
+        for x in _whole_runs(batches):
+            for pairs in crossing_pairs(x, percent):
                 yield _batch(["a", "b"], pairs)
 
     def by_signature(df: DataFrame) -> DataFrame:
@@ -170,7 +238,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, key: st
 
     sketches = nodes.select("node", "size", "own", "below")
     parts = spread(sketches, 4 << 20)
-    shared = settle(by_signature(sketches.mapInArrow(deal, "sig long, node long")).mapInArrow(shared_only, "sig long, node long"), "shared")
+    met = by_signature(sketches.mapInArrow(deal, "sig long, node long")).mapInArrow(shared_only, "sig long, node long")
+    folds = nodes.select("node", "size", "own_fold", "below_fold").hint("merge")
+    shared = settle(met.select("sig", F.expr("node & 1").alias("band"), F.expr("node >> 1").alias("node")).join(folds, "node").select("sig", "node", "size", F.when(F.col("band") == 0, F.col("own_fold")).otherwise(F.col("below_fold")).alias("fold")), "shared")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,11 +281,11 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, key: st
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")).hint("merge") for x in ("a", "b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
 
-    near = candidates(by_signature(shared).mapInArrow(neighbours, "a long, b long"))
+    near = candidates(by_signature(shared).mapInArrow(hang_together, "a long, b long"))
     sets = sets_of(ends(near))
     component = connected_components(links(near, sets))
-    known = nodes.select("node", "size").join(component.hint("merge"), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
-    placed = shared.join(known.hint("merge"), "node").select("sig", "node", "size", "root")
+    known = nodes.select("node").join(component.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(known.hint("merge"), "node").select("sig", "node", "size", "root", "fold")
     rest = candidates(by_signature(placed).mapInArrow(others, "a long, b long"))
     new = ends(rest).join(sets.select("node").hint("merge"), "node", "left_anti")
     more = links(rest, sets.union(sets_of(new)))

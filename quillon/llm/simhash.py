@@ -286,7 +286,7 @@ def run_pairs(rows: np.ndarray, similarity: float, reach: int | None = None) ->
     """
     rows = rows[np.lexsort((rows[:, 1], rows[:, 2] >> 32, rows[:, 0]))]
     run, node, size, at, component = rows[:, 0], rows[:, 1], rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF, rows[:, 3]
-    sketch = np.ascontiguousarray(rows[:, 4:])
+    sketch = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)  # of signed numbers the bits of the amount are counted
     row, step, held, n = np.arange(len(rows)), 0, [], 0
     while len(row) and (reach is None or step < reach):
         step += 1

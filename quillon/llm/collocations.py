@@ -2,15 +2,16 @@
 
 Texts become shards of word ids. A shard's suffixes are sorted by prefix doubling in numpy, and the
 intervals of the suffix array whose neighbours share n words are its phrases of n words with their counts.
-Counts of shards are merged by key in two steps, so that rare phrases, which are most of all, never move
-as such: first pairs of words, as 32 bits of their hash a part, of which each shard hears which are
-frequent everywhere; then only phrases all of whose pairs may be frequent, with their words and exact counts.
+Counts of shards are merged by key. Rare phrases, which are most of all, never move as such: a shard tells
+how often it has each pair of words, as 32 bits of their hash a part, and hears which may be frequent
+everywhere; then the same for longer phrases all of whose pairs may be; and only what may be frequent goes
+on to the exact count, with its words.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -109,13 +110,13 @@ def suffix_order(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
     """Places of ``ids`` in the order of the ``longest`` ids from there on, by prefix doubling, and how many each shares with the place before (at most ``longest``)."""
     n = len(ids)
     rank, h, ranks = ids.astype(np.int64), 1, {}
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank) if longest == 1 else rank
     while True:
         ranks[h] = np.r_[rank, np.full(longest, -1)]  # past the end nothing is equal but itself
         if h >= longest:
             break
         pair = rank * (n + 2) + np.r_[rank[h:], np.full(min(h, n), -1)] + 1
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)  # equal ones in any order: they are one interval
         x = pair[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, x[1:] != x[:-1]][:n])
@@ -129,13 +130,13 @@ def suffix_order(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.minimum(np.r_[0, shared][:n], longest)
 
 
-def phrase_counts(ids: np.ndarray, order: np.ndarray, shared: np.ndarray, n: int, place: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each phrase of ``n`` ids (none of them 0) stands first in ``order``, and how often it ends at a place of ``lead`` or more."""
+def phrase_counts(ids: np.ndarray, order: np.ndarray, shared: np.ndarray, n: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each phrase of ``n`` ids (none of them 0) stands, and how often it ends at a place of ``lead`` or more."""
     size = len(ids)
     if size < n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     whole = np.zeros(size, bool)
-    whole[: size - n + 1] = np.all([ids[i : size - n + 1 + i] != 0 for i in range(n)], axis=0) & (place[n - 1 :] >= lead)
+    whole[: size - n + 1] = np.all([ids[i : size - n + 1 + i] != 0 for i in range(n)], axis=0) & (np.arange(n - 1, size) >= lead)
     starts = np.flatnonzero(shared < n)  # an interval for each start
     count = np.add.reduceat(whole[order].astype(np.int64), starts)
     # of an interval's places any in full stands for all: the first may be cut off by the end of the shard
@@ -147,11 +148,13 @@ def _word_hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(lang.encode() + b" " + w) for w, lang in zip(words, langs, strict=True)], np.uint64)
 
 
-def _pair_keys(hashes: np.ndarray, first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
-    """A part of the counting and 32 bits within it, for each pair of words."""
-    h = hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
+def _keys(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """A part of the counting and 32 bits within it, for each phrase of ``n`` words that starts at ``at``."""
+    h = hashes[ids[at]]
+    for i in range(1, n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[at + i]]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(30)
     return (h >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
@@ -160,22 +163,33 @@ def _read(ids, words, langs) -> tuple[np.ndarray, list[bytes], list[str]]:
     return np.frombuffer(ids.as_buffer(), np.int32), words.as_py().split(b" "), langs.as_py()
 
 
-def frequent_pairs(shards: DataFrame, least: int) -> DataFrame:
-    """``shard, pairs``: for each shard the keys (packed) of its pairs of words that may occur ``least`` times in all shards.
+def _known(told) -> np.ndarray:
+    """Keys that a shard was told, sorted, with one more that is none."""
+    return np.sort(np.concatenate([np.full(1, 2**64 - 1, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in told.values or ()]]))
 
-    A shard tells how often it has each pair, up to ``least``, and is told which are frequent: both
-    grow with its own words only. Different pairs of one key count together, which is but too many.
+
+def _within(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return known[np.searchsorted(known, keys)] == keys
+
+
+def frequent_keys(shards: DataFrame, sizes: Sequence[int], least: int, parts: int) -> DataFrame:
+    """``shard, keys``: for each shard the keys (packed) of its phrases of ``sizes`` words that may occur ``least`` times in all shards.
+
+    A shard tells how often it has each key, up to ``least``, and is told which are frequent: both
+    grow with its own words only. Different phrases of one key count together, which is but too many.
     """
-    parts = spread(shards.select("ids"), 8 << 20)
     counter = np.dtype(np.uint8 if least < 256 else np.uint32)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, lead, *rest in zip(*b.columns, strict=True):
                 ids, words, langs = _read(*rest)
-                order, shared = suffix_order(ids, 2)
-                p, n = phrase_counts(ids, order, shared, 2, np.arange(len(ids)), lead.as_py())
-                keys = _pair_keys(_word_hashes(words, langs), ids[p], ids[p + 1], parts)
+                order, shared = suffix_order(ids, max(sizes))
+                hashes, found = _word_hashes(words, langs), []
+                for size in sizes:
+                    p, n = phrase_counts(ids, order, shared, size, lead.as_py())
+                    found.append((_keys(hashes, ids, p, size, parts), n))
+                keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 by = np.argsort(keys, kind="stable")
                 keys, n = keys[by], n[by]
                 new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
@@ -196,55 +210,71 @@ def frequent_pairs(shards: DataFrame, least: int) -> DataFrame:
         by = np.argsort(every, kind="stable")
         x = every[by]
         new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        frequent = x[new][np.add.reduceat(counts[by].astype(np.int64), new) >= least]
+        frequent = np.r_[x[new][np.add.reduceat(counts[by].astype(np.int64), new) >= least].astype(np.uint64), np.uint64(2**64 - 1)]
         part = np.uint64(group.column("part")[0].as_py()) << np.uint64(32)
-        told = [(k[np.isin(k, frequent, assume_unique=True)].astype(np.uint64) | part).tobytes() for k in keys]
-        return pa.table({"shard": group.column("shard"), "pairs": pa.array(told, pa.binary())})
+        told = [(k[_within(frequent, k.astype(np.uint64))].astype(np.uint64) | part).tobytes() for k in keys]
+        return pa.table({"shard": group.column("shard"), "keys": pa.array(told, pa.binary())})
 
-    told = shards.select("shard", "lead", "ids", "words", "langs").mapInArrow(tell, "part int, shard long, keys binary, counts binary").groupBy("part").applyInArrow(count, "shard long, pairs binary")
-    # a shard's own pairs come back to it: no more than it has words
-    return told.where(F.octet_length("pairs") > 0).groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
+    told = shards.select("shard", "lead", "ids", "words", "langs").mapInArrow(tell, "part int, shard long, keys binary, counts binary").groupBy("part").applyInArrow(count, "shard long, keys binary")
+    # a shard's own keys come back to it: no more than it has words
+    return told.where(F.octet_length("keys") > 0).groupBy("shard").agg(F.collect_list("keys").alias("keys"))
 
 
-def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
-    """``lang, n, phrase, f``: phrases of 1 to ``longest`` words that occur ``least`` times; with n = 0 and an empty phrase all words of the language."""
-    shards = settle(shards_of(docs, longest), "shards")
-    pairs = frequent_pairs(shards, least)
-    parts = spread(shards.select("ids"), 8 << 20)
+def words_of_frequent_pairs(shards: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """The shards with only words of frequent pairs, and an end after each that the next doesn't go with; ``once``: how often each word was there (packed)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lead, told, *rest in zip(*b.columns, strict=True):
+            for shard, told, lead, *rest in zip(*b.columns, strict=True):
                 ids, words, langs = _read(*rest)
                 lead = lead.as_py()
-                known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in told.values or ()]]))
-                keys = _pair_keys(_word_hashes(words, langs), ids[:-1], ids[1:], parts)
-                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                pair = (known[at] == keys if len(known) else np.zeros(len(keys), bool)) & (ids[:-1] != 0) & (ids[1:] != 0)
-                # what is left: words of frequent pairs, with an end after each that the next doesn't go with
-                goes_on, comes_in = np.r_[pair, False], np.r_[False, pair]
+                keys = _keys(_word_hashes(words, langs), ids, np.arange(max(len(ids) - 1, 0)), 2, parts)
+                pair = _within(_known(told), keys) & (ids[:-1] != 0) & (ids[1:] != 0)
+                goes_on, comes_in = np.r_[pair, False][: len(ids)], np.r_[False, pair][: len(ids)]
                 kept = np.flatnonzero(goes_on | comes_in)
                 ends = ~goes_on[kept]
                 place = np.repeat(kept, 1 + ends)
                 left = ids[place].copy()
                 left[np.cumsum(1 + ends)[ends] - 1] = 0
                 once = np.bincount(ids[lead:], minlength=len(words))
+                row = (shard.as_py(), int((place < lead).sum()), left.tobytes(), rest[1].as_py(), langs, once.astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()), strict=True)], names=["shard", "lead", "ids", "words", "langs", "once"])
+
+    told = shards.join(pairs.hint("merge"), "shard", "left").select("shard", "keys", "lead", "ids", "words", "langs")
+    return told.mapInArrow(keep, "shard long, lead int, ids binary, words binary, langs array<string>, once binary")
+
+
+def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
+    """``lang, n, phrase, f``: phrases of 1 to ``longest`` words that occur ``least`` times; with n = 0 and an empty phrase all words of the language."""
+    whole = settle(shards_of(docs, longest), "shards")
+    parts = spread(whole.select("ids"), 8 << 20)
+    shards = settle(words_of_frequent_pairs(whole, frequent_keys(whole, [2], least, parts), parts), "frequent-pairs")
+    longer = list(range(3, longest + 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for told, lead, once, *rest in zip(*b.columns, strict=True):
+                ids, words, langs = _read(*rest)
+                once, known, hashes = np.frombuffer(once.as_buffer(), np.int64), _known(told), _word_hashes(words, langs)
                 by_lang: dict[str, int] = defaultdict(int)
                 for name, n in zip(langs[1:], once[1:].tolist(), strict=True):
                     by_lang[name] += n
                 rows = [(name, 0, "", n) for name, n in by_lang.items() if n]
                 rows += [(name, 1, w.decode("utf-8", "replace"), n) for name, w, n in zip(langs[1:], words[1:], once[1:].tolist(), strict=True) if n]
-                order, shared = suffix_order(left, longest)
+                order, shared = suffix_order(ids, longest)
                 for n in range(2, longest + 1):
-                    at, counts = phrase_counts(left, order, shared, n, place, lead)
-                    grams = left[at[:, None] + np.arange(n)].tolist() if len(at) else []
+                    at, counts = phrase_counts(ids, order, shared, n, lead.as_py())
+                    if n > 2:
+                        may = _within(known, _keys(hashes, ids, at, n, parts))
+                        at, counts = at[may], counts[may]
+                    grams = ids[at[:, None] + np.arange(n)].tolist() if len(at) else []
                     rows += [(langs[g[0]], n, b" ".join([words[i] for i in g]).decode("utf-8", "replace"), c) for g, c in zip(grams, counts.tolist(), strict=True)]
                 for i in range(0, len(rows), 20_000):
                     cols = list(zip(*rows[i : i + 20_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "n", "phrase", "f"])
 
-    told = shards.join(pairs.hint("merge"), "shard", "left").select("lead", "pairs", "ids", "words", "langs")
-    counted = told.mapInArrow(count, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    told = shards.join(frequent_keys(shards, longer, least, parts).hint("merge"), "shard", "left") if longer else shards.withColumn("keys", F.array().cast("array<binary>"))
+    counted = told.select("keys", "lead", "once", "ids", "words", "langs").mapInArrow(count, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
     return settle(counted.where((F.col("n") == 0) | (F.col("f") >= least)), "phrases")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..session import checkpointed
+from .scans import prefix_scan
 
 
 def labels_at(events: DataFrame, key: str = "pr") -> DataFrame:
@@ -59,8 +59,7 @@ def process_features(reviews: DataFrame, key: str = "pr") -> DataFrame:
 
 def landing_times(line: DataFrame, repo: str = "repo") -> DataFrame:
     """The running maximum of commit times along the line, oldest first: the time by which a position had landed."""
-    w = Window.partitionBy(repo).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return line.withColumn("landed", F.max("ct").over(w))
+    return prefix_scan(line, [repo], ["position"], {"landed": ("max", "ct")})
 
 
 def file_history(changes: DataFrame, postings: DataFrame, days: int = 90) -> DataFrame:
@@ -74,26 +73,6 @@ def file_history(changes: DataFrame, postings: DataFrame, days: int = 90) -> Dat
     return changes.select("pr").join(agg, "pr", "left").select("pr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("commits", "authors", "fixes")])
 
 
-def landing_positions(line: DataFrame, parents: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """For each commit the first position of the line whose history holds it.
-
-    A breadth-first walk by joins; each round hands positions one edge on and keeps only commits
-    whose position fell, so it ends after the longest side branch.
-    """
-    best = line.select("sha", "position")
-    front = best
-    for _ in range(most_rounds):
-        reached = front.join(parents, "sha").select(F.col("parent").alias("sha"), "position").groupBy("sha").agg(F.min("position").alias("position"))
-        known = reached.join(best.withColumnRenamed("position", "__have"), "sha", "left")
-        better = checkpointed(known.where(F.col("__have").isNull() | (F.col("position") < F.col("__have"))).select("sha", "position"))
-        if better.isEmpty():
-            return best
-        # what fell takes the old place; the rest is not grouped anew
-        best = checkpointed(best.join(better.select("sha"), "sha", "left_anti").union(better))
-        front = better
-    raise ValueError("history is deeper than most_rounds")
-
-
 #: Names that tell of what happened after a merge.
 LEAKS = ("survived", "survival", "reverted", "outcome", "followup", "corrective", "repair", "undone", "horizon", "label_hash")
 
@@ -115,24 +94,6 @@ def column_errors(columns: Iterable[str], declared: Iterable[str], namespaces: I
     return out + [(c, "missing") for c in sorted(declared - seen)]
 
 
-def ancestors(heads: DataFrame, parents: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """``head, sha``: every commit that a head's history holds, itself included."""
-    front = known = heads.select(F.col("sha").alias("head"), "sha").distinct()
-    for _ in range(most_rounds):
-        met = front.join(parents, "sha").select("head", F.col("parent").alias("sha")).distinct()
-        front = checkpointed(met.join(known, ["head", "sha"], "left_anti"))
-        if front.isEmpty():
-            return known
-        known = checkpointed(known.union(front))
-    raise ValueError("history is deeper than most_rounds")
-
-
-def is_ancestor(commits: DataFrame, heads: DataFrame, parents: DataFrame) -> DataFrame:
-    """``commits`` (``sha``) with ``on_branch``: does the history of a head hold it?"""
-    held = ancestors(heads, parents).select("sha").distinct().withColumn("__on", F.lit(True))
-    return commits.join(held, "sha", "left").withColumn("on_branch", F.coalesce("__on", F.lit(False))).drop("__on")
-
-
 def late_evidence(events: DataFrame) -> DataFrame:
     """Events after ``as_of`` and events without a time, by change."""
     return events.groupBy("pr").agg(F.count_if(F.col("at") > F.col("as_of")).alias("late"), F.count_if(F.col("at").isNull()).alias("undated"))

@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from . import survival
+from .scans import prefix_scan
 
 DAY = survival.DAY
 # Reasons of a label in their order, and below which share of lines a change counts as rewritten.
@@ -75,8 +76,7 @@ def linked(changes: DataFrame, references: DataFrame) -> DataFrame:
 
 def horizon_index(commits: DataFrame, repo: str = "repo") -> DataFrame:
     """The least commit time from the tip down to each position."""
-    w = Window.partitionBy(repo).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return commits.withColumn("least_ct", F.min("ct").over(w))
+    return prefix_scan(commits, [repo], ["position"], {"least_ct": ("min", "ct")})
 
 
 def survival_labels(rows: DataFrame, as_of: Column) -> DataFrame:

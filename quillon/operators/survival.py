@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import prefix_scan
+
 DAY = 86_400
 #: Lines that share a cell of the overlap join.
 CELL = 64
@@ -14,14 +16,14 @@ def horizon_terminal(commits: DataFrame, cutoffs: DataFrame, repo: str = "repo")
     """For each cutoff the first commit, from the tip, whose time is not after it; null if there is none.
 
     Commit times need not fall along the walk. Only commits that lower the running minimum can be an answer; along those times fall, so the
-    answer is the latest of them that is not after the cutoff: one ordered pass over both, no join.
+    answer is the latest of them that is not after the cutoff: two prefix scans, which spread one repository over all tasks, and no join of commits with cutoffs.
     """
-    w = Window.partitionBy(repo).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    lower = commits.withColumn("__least", F.min("ct").over(w)).where(F.col("__least").isNull() | (F.col("ct") < F.col("__least")))
+    past = prefix_scan(commits, [repo], ["position"], {"__least": ("min", "ct")}, own=False)
+    lower = past.where(F.col("__least").isNull() | (F.col("ct") < F.col("__least")))
     known = lower.select(repo, F.col("ct").alias("t"), F.lit(0).alias("kind"), F.struct("sha", "position").alias("c"))
     asked = cutoffs.select(repo, F.col("cutoff").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["c"].dataType).alias("c")).distinct()
-    past = Window.partitionBy(repo).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return known.union(asked).withColumn("found", F.last("c", ignorenulls=True).over(past)).where("kind = 1").select(repo, F.col("t").alias("cutoff"), "found.sha", "found.position")
+    found = prefix_scan(known.union(asked), [repo], ["t", "kind"], {"found": ("last", "c")})
+    return found.where("kind = 1").select(repo, F.col("t").alias("cutoff"), "found.sha", "found.position")
 
 
 def redispatched(changes: DataFrame, keys: str = "keys") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import attempts, corrective, features, survival
+from ..operators import attempts, corrective, features, history, survival
 from . import bindings as B
 
 
@@ -107,7 +107,7 @@ def _landing(s: SparkSession, d: str) -> DataFrame:
     rows = B.read(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("sha")).distinct()
     side = rows.where("sha % 10 <> 0")
     parents = side.select(F.expr("sha - sha % 10 + 10").alias("sha"), F.col("sha").alias("parent")).union(side.select("sha", (F.col("sha") - 1).alias("parent")).join(rows.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent"))
-    return features.landing_positions(rows.where("sha % 10 = 0").select("sha", F.expr("sha div 10").alias("position")), parents)
+    return history.landing_positions(rows.where("sha % 10 = 0").select("sha", F.expr("sha div 10").alias("position")), parents)
 
 
 AS_OF = "timestamp '2024-01-15 12:00:00'"

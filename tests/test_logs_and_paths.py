@@ -276,13 +276,6 @@ def test_features_are_declared_and_dated(spark):
     assert {r["pr"]: (r["reviews"], r["captured_at"]) for r in evidence.with_timelines(base, laid, ["reviews"]).collect()} == {1: ([9], (AT - datetime.timedelta(1)).replace(tzinfo=None)), 2: (None, None)}
 
 
-def test_history_knows_its_ancestors(spark):
-    parents = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a"), ("d", "x"), ("z", "y")], "sha string, parent string")
-    commits = spark.createDataFrame([(c,) for c in "abcdxyz"], "sha string")
-    on = features.is_ancestor(commits, spark.createDataFrame([("d",)], "sha string"), parents)
-    assert {r["sha"] for r in on.where("on_branch").collect()} == set("abcdx")
-
-
 def test_overrides_are_checked(spark):
     schema = "model string, input_rate double, output_rate double, write_multiplier double, read_multiplier double, price_table string, as_of string"
     for rows, said in (([("a", 1.0, 1.0, None, None, None, None), ("openai/A", 1.0, 1.0, None, None, None, None)], "duplicate"), ([("a", -1.0, 1.0, None, None, None, None)], "input_rate"), ([(" ", 1.0, 1.0, None, None, None, None)], "bad model")):

@@ -45,11 +45,11 @@ class _Ids(dict):
         return n
 
 
-def _slices(data: bytes) -> Iterator[bytes]:
-    """Parts of some ``SLICE`` bytes that cut no word."""
+def _slices(data: bytes, size: int) -> Iterator[bytes]:
+    """Parts of some ``size`` bytes that cut no word."""
     at = 0
     while at < len(data):
-        end = at + SLICE
+        end = at + size
         if end < len(data):
             cut = min((p for p in (data.find(c, end) for c in (*WORD_ENDS, _END)) if p >= 0), default=len(data))
             end = cut + 1
@@ -81,8 +81,8 @@ class Shard:
         return [(name, self.words[i]) for i in ids[max(0, len(ids) - n) :].tolist()]
 
 
-def shards_of(docs: DataFrame, longest: int) -> DataFrame:
-    """``shard, lead, ids, words, langs``: texts (columns lang, text) as word ids, a row for some ``SHARD_WORDS`` words."""
+def shards_of(docs: DataFrame, longest: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``shard, lead, ids, words, langs``: texts (columns lang, text) as word ids, a row for some ``shard_words`` words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task that runs again gives the same numbers
@@ -94,9 +94,9 @@ def shards_of(docs: DataFrame, longest: int) -> DataFrame:
 
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for part in _slices(text.as_py().translate(_TABLE)):
+                for part in _slices(text.as_py().translate(_TABLE), min(SLICE, 4 * shard_words)):
                     now.add(name, part)
-                    if now.size >= SHARD_WORDS:
+                    if now.size >= shard_words:
                         yield close()
                         number, now = number + 1, Shard(now.last(name, longest - 1))
                 now.add(name, _END)
@@ -197,7 +197,7 @@ def frequent_keys(shards: DataFrame, sizes: Sequence[int], least: int, parts: in
                 part = (keys >> np.uint64(32)).astype(np.int64)
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]).tolist()
                 value, n = keys.astype(np.uint32), n.astype(counter)
-                cells = [(value[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(keys)], strict=True)]
+                cells = [(value[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(keys)], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[cut].astype(np.int32)), pa.array([shard.as_py()] * len(cut), pa.int64()), pa.array([x for x, _ in cells], pa.binary()), pa.array([x for _, x in cells], pa.binary())],
                     names=["part", "shard", "keys", "counts"],
@@ -244,9 +244,9 @@ def words_of_frequent_pairs(shards: DataFrame, pairs: DataFrame, parts: int) ->
     return told.mapInArrow(keep, "shard long, lead int, ids binary, words binary, langs array<string>, once binary")
 
 
-def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int, longest: int, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``lang, n, phrase, f``: phrases of 1 to ``longest`` words that occur ``least`` times; with n = 0 and an empty phrase all words of the language."""
-    whole = settle(shards_of(docs, longest), "shards")
+    whole = settle(shards_of(docs, longest, shard_words), "shards")
     parts = spread(whole.select("ids"), 8 << 20)
     shards = settle(words_of_frequent_pairs(whole, frequent_keys(whole, [2], least, parts), parts), "frequent-pairs")
     longer = list(range(3, longest + 1))
@@ -278,7 +278,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> DataFrame:
     return settle(counted.where((F.col("n") == 0) | (F.col("f") >= least)), "phrases")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, lang: str = "lang", text: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, lang: str = "lang", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     Texts are put into lower case (A-Z), cut into pieces at ``PIECE_ENDS`` and those into words at
@@ -291,7 +291,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     of any length: it is spread over shards. A table without phrases gives an empty result.
     """
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
-    counts = frequent_phrases(given.where("octet_length(text) > 0"), least, longest)
+    counts = frequent_phrases(given.where("octet_length(text) > 0"), least, longest, shard_words)
     phrases = counts.where("n >= 2").select("lang", "phrase", F.col("f").alias("a"), F.col("n").alias("size"), F.split("phrase", " ").alias("words"))
     part = counts.where("n >= 1")
     cut = phrases.withColumn("k", F.expr("explode(sequence(1, size - 1))"))

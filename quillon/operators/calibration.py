@@ -1,12 +1,7 @@
-"""Seeded draws, agreement of raters, weighted rates and their bootstrap."""
+"""Seeded draws, agreement of raters and weighted rates."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,42 +72,3 @@ def weighted_rates(rows: DataFrame) -> DataFrame:
 
     agg = rows.agg(total(positive & yes).alias("both"), total(positive).alias("positive"), total(yes).alias("yes"))
     return agg.select(X.ratio4(F.col("both"), F.col("positive")).alias("precision"), X.ratio4(F.col("both"), F.col("yes")).alias("recall"))
-
-
-def mulberry32(seed: int, n: int) -> np.ndarray:
-    """The first ``n`` numbers of the generator, in [0, 1)."""
-    mask = np.uint64(0xFFFFFFFF)
-    state = (np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5)) & mask
-    t = ((state ^ state >> np.uint64(15)) * (state | np.uint64(1))) & mask
-    t ^= (t + ((t ^ t >> np.uint64(7)) * (t | np.uint64(61)) & mask)) & mask
-    return ((t ^ t >> np.uint64(14)) & mask) / 4294967296.0
-
-
-def bootstrap(rows: DataFrame, estimator: Callable[[pd.DataFrame], float | None], seed: str, by: str = "group", resamples: int = 2000) -> DataFrame:
-    """Point estimate and 95 % percentile interval by group, resampled within cells of ``cell`` in order of ``ordinal``.
-
-    One group's rows are in one task: they are a labelled sample, drawn by hand and small.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable").reset_index(drop=True)
-        point = estimator(pdf)
-        low = high = None
-        if point is not None:
-            cells = [np.flatnonzero(pdf["cell"] == c) for c in pdf["cell"].drop_duplicates()]
-            start = int(hashlib.sha256(f"{seed}\0bootstrap".encode()).hexdigest()[:8], 16)
-            draws = mulberry32(start, resamples * len(pdf)).reshape(resamples, len(pdf))
-            sizes = np.repeat([len(c) for c in cells], [len(c) for c in cells])
-            offset = np.repeat(np.cumsum([0, *[len(c) for c in cells[:-1]]]), [len(c) for c in cells])
-            flat = np.concatenate(cells)
-            picks = flat[(np.floor(draws * sizes) + offset).astype(int)]
-            values = sorted(v for v in (estimator(pdf.iloc[p]) for p in picks) if v is not None)
-            if values:
-                def at(q: float) -> float:
-                    return values[min(len(values) - 1, max(0, int(np.floor(q * len(values)))))]
-
-                low, high = (np.floor(at(q) * 1e4 + 0.5) / 1e4 for q in (0.025, 0.975))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "estimate": [None if point is None else np.floor(point * 1e4 + 0.5) / 1e4], "ci_low": [low], "ci_high": [high], "n": [len(pdf)]})
-
-    kind = rows.schema[by].dataType.simpleString()
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, estimate double, ci_low double, ci_high double, n long")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
-from quillon.operators import attempts, calibration, citations, cost, evidence, features, forward, population, pricing
+from quillon.operators import attempts, citations, cost, evidence, features, forward, population, pricing
 from quillon.plans import cost_queries
 from quillon.sinks import files
 from quillon.sources import lines as L
@@ -194,24 +194,6 @@ def test_candidates_from_texts(spark):
     assert found["f2", 2, "repair_reference"][1] == ["cites_original_pr 2", "closes_issue_citing_original 70"]
 
 
-def test_bootstrap_is_seeded_and_within_cells(spark):
-    def plain(seed, n):
-        a, out = seed, []
-        for _ in range(n):
-            a = (a + 0x6D2B79F5) & 0xFFFFFFFF
-            t = ((a ^ a >> 15) * (a | 1)) & 0xFFFFFFFF
-            t ^= (t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
-            out.append(((t ^ t >> 14) & 0xFFFFFFFF) / 4294967296)
-        return out
-
-    assert np.allclose(calibration.mulberry32(123, 50), plain(123, 50))
-    rows = [("g", i, "a" if i < 12 else "b", i % 3 == 0) for i in range(20)] + [("h", 0, "a", True)]
-    frame = spark.createDataFrame(rows, "group string, ordinal int, cell string, yes boolean")
-    share = lambda pdf: float(pdf["yes"].mean())
-    one, two = ({r["group"]: tuple(r) for r in calibration.bootstrap(frame, share, "s", resamples=200).collect()} for _ in range(2))
-    assert one == two and one["g"][1] == 0.35 and one["g"][2] < 0.35 < one["g"][3] and one["h"][1:4] == (1.0, 1.0, 1.0)
-
-
 def test_sinks(spark, tmp_path):
     frame = spark.createDataFrame([(2, None, [("b", 1)]), (1, "x", [])], "n int, a string, z array<struct<q: string, b: int>>")
     files.write_lines(frame, str(tmp_path / "l"), ["n"], gzip=True)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.canonical import canonical_json
 from . import survival
 from .scans import prefix_scan
 
@@ -109,7 +110,7 @@ def survival_labels(rows: DataFrame, as_of: Column) -> DataFrame:
 def project_label(labels: DataFrame) -> DataFrame:
     """Labels as a report may show them: without ranges, SHAs and addresses, with a hash of the whole."""
     hidden = [c for c in labels.columns if c in ("line_ranges", "pr_url") or c.endswith("_sha")]
-    return labels.withColumn("label_hash", F.sha2(X.canonical_json(labels), 256)).drop(*hidden)
+    return labels.withColumn("label_hash", F.sha2(canonical_json(labels), 256)).drop(*hidden)
 
 
 def blamed_originals(ranges: DataFrame, blame: DataFrame, owners: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.canonical import canonical_json
 
 # Tables whose cache rates follow from the input rate, and by how much.
 DERIVED = ("anthropic", "openai")
@@ -151,5 +152,5 @@ def layered_cost(explicit: Column, by_tokens: Column, by_sidecar: Column, by_tra
 
 def price_export(prices: DataFrame) -> DataFrame:
     """``line, hash``: every price as JSON with sorted keys, and its SHA-256, by model; a drift is a row that only one of two exports has."""
-    line = X.canonical_json(prices)
+    line = canonical_json(prices)
     return prices.select("model", line.alias("line")).withColumn("hash", F.sha2("line", 256))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import json
 import re
 from collections.abc import Sequence
 
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_text, hmac_sha256
+
 CATEGORIES = ("secret", "token", "credential", "email", "url", "hostname", "org", "id", "code", "log")
 # Patterns by category, in the order in which they are applied.
 PATTERNS = (
@@ -80,19 +81,5 @@ def summary(redacted: Column) -> Column:
 
 
 def payload_hash(payload: Column, salt: str) -> Column:
-    """Hex HMAC-SHA256 of a JSON text with its keys sorted at every depth; of any other text as it is."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        def one(value: str | None) -> str | None:
-            if value is None:
-                return None
-            try:
-                value = json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-            except ValueError:
-                pass
-            return hmac.new(salt.encode(), value.encode(), hashlib.sha256).hexdigest()
-
-        return values.map(one, na_action=None)
-
-    return run(payload)
+    """Hex HMAC-SHA256 of a JSON text with its keys sorted at every depth and numbers as JavaScript writes them; of any other text as it is."""
+    return hmac_sha256(canonical_text(payload), salt)

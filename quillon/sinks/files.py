@@ -9,13 +9,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
+from ..functions.canonical import canonical_json
 
 
 def canonical_lines(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """``value``: each row as JSON with sorted keys and its nulls, in the given order."""
     rows = df.orderBy(*order) if order else df
-    return rows.select(X.canonical_json(df).alias("value"))
+    return rows.select(canonical_json(df).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, order: Sequence[str] = (), gzip: bool = False, mode: str = "errorifexists") -> None:
@@ -91,4 +91,4 @@ def report_payload(report: DataFrame, forbidden: Sequence[str]) -> DataFrame:
     found = sorted(set(names(report.schema)) & set(forbidden))
     if found:
         raise ValueError(f"forbidden fields: {found}")
-    return report.select(X.canonical_json(report).alias("body"))
+    return report.select(canonical_json(report).alias("body"))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as X
+from quillon.functions.canonical import canonical_json
 from quillon.operators import attempts, citations, cost, evidence, features, forward, population, pricing
 from quillon.plans import cost_queries
 from quillon.sinks import files
@@ -285,7 +286,7 @@ def test_streams_count_and_scan_again(spark):
 
 def test_canonical_json_sorts_at_every_depth(spark):
     frame = spark.range(1).select(F.struct(F.lit(1).alias("z"), F.struct(F.lit(2).alias("y"), F.lit(None).cast("string").alias("b")).alias("a")).alias("v"), F.lit("k").alias("c"))
-    assert frame.select(X.canonical_json(frame)).first()[0] == '{"c":"k","v":{"a":{"b":null,"y":2},"z":1}}'
+    assert frame.select(canonical_json(frame)).first()[0] == '{"c":"k","v":{"a":{"b":null,"y":2},"z":1}}'
     labels = spark.createDataFrame([(1, "u", "s", "kept")], "pr int, pr_url string, merge_sha string, outcome string")
     assert forward.project_label(labels).columns == ["pr", "outcome", "label_hash"]
 

@@ -60,6 +60,13 @@ def _override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "actual_usd", "estimated_usd", "event_price_table", "pricing_revision", "cost_source", F.concat_ws(",", "price_diagnostics").alias("diagnostics"))
 
 
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as models with a price each, written out."""
+    size = F.col("p_size")
+    rows = B.read(spark, sf_dir, "part").select(F.concat(F.lit("m-"), F.col("p_partkey").cast("string")).alias("model"), F.col("p_brand").alias("price_table"), (size * 0.5).alias("input_rate"), F.col("p_retailprice").alias("output_rate"), F.when(size % 3 == 0, size / 8).alias("cached_rate"), (size > 25).alias("cached_unpriced"), F.when(size % 2 == 0, size.cast("long") * 1000).alias("long_after"))
+    return pricing.price_export(rows)
+
+
 def _reportable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with what a report needs of each."""
     source = F.when(F.col("actual_micros").isNotNull(), "provider_reported").when(F.col("estimated_micros").isNotNull(), "local_estimate").otherwise("none")
@@ -118,7 +125,7 @@ QUERIES = {
     "price_lookup": _price,
     "price_tiers": _tiers,
     "price_override": _override,
-    "price_export": lambda s, d: pricing.price_export(_prices(s)).select("model", F.length("hash").alias("digits")),
+    "price_export": _export,
     "cost_report": _report,
     "breakdown_merge": _breakdowns,
     "report_diagnostics": _diagnostics,
@@ -213,7 +220,8 @@ SQL = {
   select event_id, actual_usd, est::double as estimated_usd, case when est is not null then case when given then 'external' when ob then 'override' when oa then 'own' when m = 'alpha' then 'anthropic' when m = 'gamma' then 'google' else 'openai' end end as event_price_table,
     case when est is not null and not given then case when ob then '2025-02-02' when oa then null else '2025-01-01' end end as pricing_revision, case when actual_usd is not null then 'provider_reported' when est is not null then 'local_estimate' else 'none' end as cost_source,
     concat_ws(',', case when event_id % 7 = 0 then 'invalid_token_usage' end, case when not given and known and est is null then case when oa then 'no_pricing_data' when m = 'omega' then 'unpriced_model' else 'no_pricing_data' end end) as diagnostics from q""",
-    "price_export": "select unnest(['alpha', 'beta', 'gamma', 'delta']) as model, 64 as digits",
+    "price_export": r"""with p as (select 'm-' || p_partkey as model, '{"cached_rate":' || coalesce(regexp_replace(cast(case when p_size % 3 = 0 then p_size / 8 end as varchar), '\.0$', ''), 'null') || ',"cached_unpriced":' || (p_size > 25) || ',"input_rate":' || regexp_replace(cast(p_size * 0.5e0 as varchar), '\.0$', '')
+  || ',"long_after":' || coalesce(cast(case when p_size % 2 = 0 then p_size * 1000 end as varchar), 'null') || ',"model":"m-' || p_partkey || '","output_rate":' || regexp_replace(cast(p_retailprice as varchar), '\.0$', '') || ',"price_table":"' || p_brand || '"}' as line from part) select *, sha256(line) as hash from p""",
     "cost_report": f"""with e as ({_E}), f as (select *, case when actual_micros is not null then 'provider_reported' when estimated_micros is not null then 'local_estimate' else 'none' end as cs from e),
   g as (select *, case when cs <> 'none' then 'r' || (event_id % 3) end as rv, case when cs = 'local_estimate' then case when event_id % 2 = 0 then 'openai' else 'anthropic' end end as pt, case when cs = 'none' and event_id % 4 <> 0 then model end as um from f)
   select task_id, case when count(*) filter (cs = 'none') > 0 then 'partial' else 'complete' end as status, case when count(*) = count(coalesce(actual_micros, estimated_micros)) then sum(coalesce(actual_micros, estimated_micros))::bigint end as total_micros,

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import bootstrap as boot
+from quillon.operators import calibration
 from quillon.operators import calibration_run as R
 
 
@@ -75,3 +76,9 @@ def test_the_pick_is_precise_first_and_the_earlier_of_equals(spark):
     assert R.picked(found, plan).first()["definition"] == "b"
     assert R.picked(found, plan, _estimates(spark, [("b", 1, True, 0.6, 1.0), ("c", 2, True, 0.7, 0.0), ("a", 0, True, 1.0, 1.0)])).first()["definition"] == "c"
     assert R.picked(found.limit(0), plan).first()["definition"] is None
+
+
+def test_weighted_rates(spark):
+    rows = spark.createDataFrame([(1, "yes", True), (3, "no", True)], "weight long, verdict string, positive boolean")
+    rates = calibration.weighted_rates(rows).first()
+    assert (rates["precision"], rates["recall"]) == (0.25, 1.0)

@@ -7,8 +7,6 @@ import gzip
 import hashlib
 import json
 
-import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,12 +289,6 @@ def test_canonical_json_sorts_at_every_depth(spark):
     assert forward.project_label(labels).columns == ["pr", "outcome", "label_hash"]
 
 
-def test_estimators_are_plain_functions(spark):
-    frame = pd.DataFrame({"weight": [1, 3], "verdict": ["yes", "no"], "positive": [True, True]})
-    rates = calibration.weighted_rates(spark.createDataFrame(frame)).first()
-    assert (rates["precision"], rates["recall"]) == (0.25, 1.0)
-
-
 def test_scorers_of_the_caller(spark):
     from quillon.operators import shadow
 

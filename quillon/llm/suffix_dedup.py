@@ -398,7 +398,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
         each = settle(of_document("hot").mapInArrow(windows, "h0 long, h1 long, key long, p long"), "windows")
         least = each.groupBy("h0", "h1").agg(F.min(F.struct("key", "p")).alias("least"), F.count("*").alias("n")).where("n > 1").select("h0", "h1", "least")
         again = each.join(least, ["h0", "h1"]).where("struct(key, p) > least").select("key", F.col("p").alias("lo"))
-        spans = again.groupBy("key").agg(F.collect_list("lo").alias("lo")).mapInArrow(_as_ranges(length, parts), "part int, ranges binary")
+        # a row for so many bytes of a document, however long it is
+        spans = again.groupBy("key", F.expr("lo >> 16").alias("at")).agg(F.collect_list("lo").alias("lo")).select("key", "lo").mapInArrow(_as_ranges(length, parts), "part int, ranges binary")
         found = found.union(spans)
     return found.groupBy("part").applyInArrow(merge, "key long, ranges binary")
 

@@ -215,3 +215,31 @@ def test_links_for_the_highest_bit_are_kept():
     sketch[1, 0] = np.uint64(1) << np.uint64(63) | np.uint64(1)
     rows = np.column_stack([np.full(2, 7), [1, 2], np.full(2, 100 << 32), [1, 2], sketch.view(np.int64)])
     assert [p.tolist() for p in simhash.run_pairs(rows, 0.8)] == [[[1, 2]]]
+
+
+# 2
+
+def test_quality_on_labels_it_did_not_learn_from(spark, medium):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{medium}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = quality.score(docs, quality.train(docs, labels.where(~held))).select("doc_id", "keep").join(labels.where(held), "doc_id").collect()
+    clean = [r["keep"] for r in found if r["quality"] == 1 and not r["toxic"]]
+    bad = [r["keep"] for r in found if r["quality"] == 0 or r["toxic"]]
+    assert len(clean) > 40 and sum(clean) >= 0.98 * len(clean)
+    assert len(bad) > 10 and sum(bad) <= 0.2 * len(bad)
+
+
+# pipeline
+
+def test_of_rows_alike_in_id_and_text_the_first_stays(spark, small):
+    from quillon.llm import stages
+
+    text = "one text of rather many words that is here more than once"
+    rows = [(1, text, lang, source) for lang, source in (("b", "z"), ("a", "y"), ("a", "x"))] + [(2, "another text of its own with words enough", None, "w")]
+    for order in (rows, rows[::-1]):
+        found = stages.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, lang string, source string").repartition(3), small)
+        assert sorted(tuple(r) for r in found.collect()) == [(1, text, "a", "x"), rows[-1]]

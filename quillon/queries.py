@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calibration_queries, change_queries, contract_queries, cost_queries, history_queries, landing_queries, live_queries, score_queries, text_queries
+from .plans import calibration_queries, change_queries, contract_queries, cost_queries, history_queries, landing_queries, live_queries, score_queries, suspicion_queries, text_queries
 
-PARTS = (cost_queries, change_queries, score_queries, text_queries, landing_queries, live_queries, history_queries, calibration_queries, contract_queries)
+PARTS = (cost_queries, change_queries, score_queries, text_queries, landing_queries, live_queries, history_queries, calibration_queries, contract_queries, suspicion_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

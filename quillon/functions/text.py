@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -70,6 +72,7 @@ def commit_actor(author_name: Column, author_email: Column, body: Column) -> Col
 
 # How reverts, fixes, backports and the reasons of reverts are worded.
 REVERT_TITLE = r"(?i)^\s*(?:\[[^\]]*\]\s*)?revert\b|\brevert(?:ed|s)?\s+\""
+REVERTS_COMMIT, REVERTS_CHANGE = r"(?im)^\s*this reverts commit [0-9a-f]{7,40}", r"(?im)^\s*reverts [\w.-]+\/[\w.-]+#\d+"
 REVERT_OF_REVERT = r"(?i)^\s*(?:\[[^\]]*\]\s*)?(?:revert\s+\"revert\b|re-?land\b|reapply\b|re-?apply\b)"
 FIX_TITLE = r"(?i)^\s*(?:\[[^\]]*\]\s*)*(?:[\w.-]+(?:\([^)]*\))?!?:\s*)?(?:hot)?fix(?:e[sd])?\b|^\s*(?:\[[^\]]*\]\s*)*bug ?fix\b"
 FIX_LABEL = r"(?i)\b(?:bug|regression|hotfix)\b|^fix$|^type: ?fix$|^kind\/(?:bug|regression)$"
@@ -77,18 +80,18 @@ BACKPORT = r"(?im)^\s*(?:\[[^\]]*\]\s*)*\[?(?:backport|cherry[- ]?pick)\b|\(cher
 REVERT_REASON = r"(?i)\bdue to\b([^\n]*)"
 NON_DEFECT = (
     r"(?i)merge conflict|conflicts? with|(?:to|in order to)(?: be able to)? (?:cleanly )?revert|dependen(?:cy|t) (?:of|on)|depends on|land ?race|stack (?:is )?in a (?:weird|bad|broken) state"
-    r"|wait(?:ing)? for .{0,40}(?:confirm|approv|review)|before merging|needs? to (?:be )?land(?:ed)? internally|ghfirst|diff train"
+    r"|wait(?:ing)? for .{0,40}(?:confirm|approv|review)|before merging|needs? to (?:be )?land(?:ed)? internally"
 )
 AUTOREVERT = r"(?i)autorevert"
-INTERNAL_BUILD = r"(?i)internal(?:ly)?\b|internalfb|fbcode|\bD\d{7,}\b|\bdiff\b.{0,30}\b(?:reverted|backed out)"
-PUBLIC_CI = r"(?i)\b(?:ci|trunk|tests?|builds?|jobs?|lint|failures?|fail(?:s|ed|ing)?|break(?:s|ing)?|broke(?:n)?|red|flak\w*|timeouts?|timed out|segfaults?|crash\w*)\b|actions\/runs|hud\.pytorch"
+INTERNAL_BUILD = r"(?i)internal(?:ly)?\b|\bD\d{7,}\b|\bdiff\b.{0,30}\b(?:reverted|backed out)"
+PUBLIC_CI = r"(?i)\b(?:ci|trunk|tests?|builds?|jobs?|lint|failures?|fail(?:s|ed|ing)?|break(?:s|ing)?|broke(?:n)?|red|flak\w*|timeouts?|timed out|segfaults?|crash\w*)\b|actions\/runs"
 DEPENDENCY_BOT = r"(?i)^(?:dependabot(?:-preview)?|renovate(?:-bot)?|greenkeeper|pyup-bot|snyk-bot|depfu)(?:\[bot\])?$"
 REGRESSION_BEFORE = r"(?i)\b(?:(?:regress(?:ion|ed)?|broke(?:n)?|breakage|bug|crash\w*|fail\w*)\s+(?:in|from|by|after|since|introduced|caused)|caused by|introduced (?:in|by))\b[^.\n]{0,25}$"
 
 
 def is_revert(title: Column, body: Column) -> Column:
     body = F.coalesce(body, F.lit(""))
-    return title.rlike(REVERT_TITLE) | body.rlike(r"(?im)^\s*this reverts commit [0-9a-f]{7,40}") | body.rlike(r"(?im)^\s*reverts [\w.-]+\/[\w.-]+#\d+")
+    return title.rlike(REVERT_TITLE) | body.rlike(REVERTS_COMMIT) | body.rlike(REVERTS_CHANGE)
 
 
 def is_fix_subject(subject: Column) -> Column:
@@ -101,16 +104,30 @@ def common_exclusion(author_login: Column, title: Column, body: Column) -> Colum
     return F.when(F.coalesce(author_login.rlike(DEPENDENCY_BOT), F.lit(False)), "dependency_bot").when(text.rlike(BACKPORT), "backport")
 
 
-def revert_reason_class(body: Column) -> Column:
-    """The class of the reason that a merge bot gives; unstated without one."""
+@dataclass(frozen=True)
+class Systems:
+    """Names by which a repository's reverts speak of its own systems: what syncs changes elsewhere, what builds them out of sight, and where public checks are shown."""
+
+    sync: tuple[str, ...] = ()
+    internal: tuple[str, ...] = ()
+    public: tuple[str, ...] = ()
+
+
+def _or_named(pattern: str, names: Sequence[str]) -> str:
+    return "|".join([pattern, *map(re.escape, names)])
+
+
+def revert_reason_class(body: Column, systems: Systems = Systems()) -> Column:
+    """The class of the reason that a merge bot gives; unstated without one. ``systems``: names of the repository's own that count as well."""
     reason = group_of(body, REVERT_REASON)
-    stated = F.when(reason.rlike(NON_DEFECT), "collateral").when(reason.rlike(AUTOREVERT), "autorevert").when(reason.rlike(INTERNAL_BUILD), "internal_build").when(reason.rlike(PUBLIC_CI), "public_ci").otherwise("other")
+    patterns = {"collateral": _or_named(NON_DEFECT, systems.sync), "autorevert": AUTOREVERT, "internal_build": _or_named(INTERNAL_BUILD, systems.internal), "public_ci": _or_named(PUBLIC_CI, systems.public)}
+    stated = F.coalesce(*[F.when(reason.rlike(p), name) for name, p in patterns.items()], F.lit("other"))
     return F.when(reason.isNotNull(), stated).when(F.coalesce(body.rlike(AUTOREVERT), F.lit(False)), "autorevert").otherwise("unstated")
 
 
-def revert_exclusion(title: Column, body: Column) -> Column:
+def revert_exclusion(title: Column, body: Column, systems: Systems = Systems()) -> Column:
     """revert_of_revert or revert_non_defect, else null."""
-    return F.when(title.rlike(REVERT_OF_REVERT), "revert_of_revert").when(F.coalesce(group_of(body, REVERT_REASON).rlike(NON_DEFECT), F.lit(False)), "revert_non_defect")
+    return F.when(title.rlike(REVERT_OF_REVERT), "revert_of_revert").when(F.coalesce(group_of(body, REVERT_REASON).rlike(_or_named(NON_DEFECT, systems.sync)), F.lit(False)), "revert_non_defect")
 
 
 # Labels of bugs and regressions, and look-alikes.
@@ -211,17 +228,22 @@ def metadata_block(body: Column, marker: str) -> Column:
     return F.when(body.rlike(rf"(?is)<!--\s*{marker}\s*.*?\s*-->"), F.map_from_arrays(keys, last))
 
 
+# How bodies disclose an agent's work, and the question of a template with what answers it.
+DISCLOSURES = {
+    "explicit_ai_generated_change": r"(?im)^\s*(?:This (?:is an? |(?:PR|pull request|change|diff|patch) (?:is|was) (?:an? )?))AI[- ](?:generated|authored|assisted)\b",
+    "explicit_agent_authored": r"(?im)^\s*(?:[-*]\s*)?Agent[- ]authored\b",
+    "explicit_named_agent_creator": r"(?im)^\s*Generated by Mintlify Agent[.!]?\s*$|^\s*This PR was created by the Inkeep Content Writer agent\b",
+}
+TOOLING_QUESTION = r"(?i)Was generative AI tooling used to co-author this PR\?([\s\S]{0,1000})"
+TOOLING_YES, TOOLING_NAMES = r"(?im)^\s*-\s*\[x\]\s*Yes\b", r"(?i)\b(?:Cursor|Claude|Copilot|Codex|Aider|OpenHands|Gemini)\b"
+
+
 def exploratory_disclosure(body: Column) -> Column:
     """Which explicit statement of an agent's work a body makes outside code and comments; null for none."""
     text = F.regexp_replace(F.regexp_replace(body, r"(?s)```.*?```", ""), r"(?s)<!--.*?-->", "")
-    question = group_of(text, r"(?i)Was generative AI tooling used to co-author this PR\?([\s\S]{0,1000})")
-    checked = question.rlike(r"(?im)^\s*-\s*\[x\]\s*Yes\b") & question.rlike(r"(?i)\b(?:Cursor|Claude|Copilot|Codex|Aider|OpenHands|Gemini)\b")
-    return (
-        F.when(text.rlike(r"(?im)^\s*(?:This (?:is an? |(?:PR|pull request|change|diff|patch) (?:is|was) (?:an? )?))AI[- ](?:generated|authored|assisted)\b"), "explicit_ai_generated_change")
-        .when(text.rlike(r"(?im)^\s*(?:[-*]\s*)?Agent[- ]authored\b"), "explicit_agent_authored")
-        .when(text.rlike(r"(?im)^\s*Generated by Mintlify Agent[.!]?\s*$") | text.rlike(r"(?im)^\s*This PR was created by the Inkeep Content Writer agent\b"), "explicit_named_agent_creator")
-        .when(F.coalesce(checked, F.lit(False)), "checked_airflow_ai_disclosure")
-    )
+    answer = group_of(text, TOOLING_QUESTION)
+    stated = [F.when(text.rlike(pattern), kind) for kind, pattern in DISCLOSURES.items()]
+    return F.coalesce(*stated, F.when(answer.rlike(TOOLING_YES) & answer.rlike(TOOLING_NAMES), "checked_airflow_ai_disclosure"))
 
 
 def tsc_errors(output: Column) -> Column:

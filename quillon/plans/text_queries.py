@@ -14,6 +14,7 @@ from ..sources import sessions
 from . import bindings as B
 
 SALT = "a salt for this query"
+SYSTEMS = T.Systems(sync=("mirror-queue",), internal=("farm.one",), public=("board.example",))
 
 
 #: What rows fill into the cases, for Spark and as SQL: numbers, words, dates and hex digits of the order itself.
@@ -106,11 +107,11 @@ CASES: dict[str, tuple[str, list[str], Callable[[DataFrame], list[Column]], list
         (("Ann", "a@x", "{p}\nCo-Authored-By: Codex <c{k}@x>\n"), ("agent",)), (("Ann", "a@x", "Co-authored-by: {p} <b{k}@x>"), ("human",)), (("merge-bot", "m@x", "co-authored-by: Copilot <1+copilot@users.noreply.github.com>"), ("agent",)), ((None, None, None), ("human",)),
     ]),
     "revert_rules": ("title string, body string, login string", ["is_revert", "is_fix", "common", "reason", "exclusion"], lambda df: [
-        T.is_revert(*c("title", "body")).alias("is_revert"), T.is_fix_subject(F.col("title")).alias("is_fix"), T.common_exclusion(*c("login", "title", "body")).alias("common"), T.revert_reason_class(F.col("body")).alias("reason"), T.revert_exclusion(*c("title", "body")).alias("exclusion"),
+        T.is_revert(*c("title", "body")).alias("is_revert"), T.is_fix_subject(F.col("title")).alias("is_fix"), T.common_exclusion(*c("login", "title", "body")).alias("common"), T.revert_reason_class(F.col("body"), SYSTEMS).alias("reason"), T.revert_exclusion(*c("title", "body"), SYSTEMS).alias("exclusion"),
     ], [
         (('Revert "Add {p}"', "", "ann"), (True, False, None, "unstated", None)), (("[{p}] revert {k}", "due to merge conflict", "ann"), (True, False, None, "collateral", "revert_non_defect")), (('Fixed #1 -- Reverted "y"', "", "ann"), (True, True, None, "unstated", None)),
         (('Revert "Revert "x""', "", "ann"), (True, False, None, "unstated", "revert_of_revert")), (("Reland {p}", "This reverts commit {h}", "ann"), (True, False, None, "unstated", "revert_of_revert")), (("fix({p})!: crash {k}", "", "dependabot[bot]"), (False, True, "dependency_bot", "unstated", None)),
-        (("Backport: fix", "", "ann"), (False, True, "backport", "unstated", None)), (("x", "(cherry picked from commit {h})", None), (False, False, "backport", "unstated", None)), (("x", "reverted due to fbcode breakage", "a"), (False, False, None, "internal_build", None)),
+        (("Backport: fix", "", "ann"), (False, True, "backport", "unstated", None)), (("x", "(cherry picked from commit {h})", None), (False, False, "backport", "unstated", None)), (("x", "reverted due to {p} farm.one trouble", "a"), (False, False, None, "internal_build", None)), (("x", "due to the {p} mirror-queue", "a"), (False, False, None, "collateral", "revert_non_defect")),
         (("x", "due to {k} failing tests on {p}", "a"), (False, False, None, "public_ci", None)), (("x", "due to {p}", "a"), (False, False, None, "other", None)), (("x", "autorevert", "a"), (False, False, None, "autorevert", None)), (("hotfix: {p}", "reverts o/r#{k}", "a"), (True, True, None, "unstated", None)), (("prefixed {p}", None, "a"), (False, False, None, "unstated", None)),
     ]),
     "issue_rules": ("kind string, labels array<string>", ["is_bug", "regressions"], lambda df: [T.is_bug_issue(*c("kind", "labels")).alias("is_bug"), _joined(T.regression_labels(F.col("labels"))).alias("regressions")], [

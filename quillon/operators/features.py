@@ -69,7 +69,9 @@ def file_history(changes: DataFrame, postings: DataFrame, days: int = 90) -> Dat
     bucket = F.floor(F.col("base_landed") / span)
     own = changes.select("pr", "base_position", "base_landed", F.explode("files").alias("path")).withColumn("bucket", F.explode(F.array(bucket - 1, bucket)))
     met = own.join(postings.withColumn("bucket", F.floor(F.col("landed") / span)), ["path", "bucket"]).where((F.col("position") <= F.col("base_position")) & (F.col("landed") > F.col("base_landed") - span) & (F.col("landed") <= F.col("base_landed")))
-    agg = met.groupBy("pr").agg(F.count_distinct("commit").alias("commits"), F.count_distinct("author").alias("authors"), F.count_distinct(F.when(F.col("is_fix"), F.col("commit"))).alias("fixes"))
+    # a commit once, however many of the files it touched; then only authors are counted apart
+    once = met.groupBy("pr", "commit").agg(F.min("author").alias("author"), F.max("is_fix").alias("is_fix"))
+    agg = once.groupBy("pr").agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("author").alias("authors"), F.count_if("is_fix").alias("fixes"))
     return changes.select("pr").join(agg, "pr", "left").select("pr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("commits", "authors", "fixes")])
 
 

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

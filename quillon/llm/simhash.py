@@ -53,6 +53,12 @@ def shingle_fingerprint(text: str | None, n: int = 3) -> bytes:
     return majority_bits(shingle_hashes(words_of(text), n).view(np.uint8).reshape(-1, 8))
 
 
+def word_fingerprint(words: list[bytes]) -> bytes:
+    """64 bits over the distinct words: a changed word moves few of them, whatever its place."""
+    different = set(words)
+    return majority_bits(np.fromiter(map(_XXH64, different), np.uint64, len(different)).view(np.uint8).reshape(-1, 8))
+
+
 def fingerprints(docs: DataFrame, make, bits: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, digest, fp0[, fp1]``: the text's MD5 (of a null text: of no bytes) and the fingerprint's words of 64 bits."""
     names = [f"fp{i}" for i in range(bits // 64)]
@@ -142,8 +148,9 @@ def near_links(fps: DataFrame, bits: int, radius: int) -> DataFrame:
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= radius]
             a, b = [node[two]], [node[two + 1]]
             for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if found := spanning_forest(_Hamming(fp[at : at + n], radius)):
-                    pairs = np.array(found) + at
+                own = at + np.argsort(node[at : at + n])  # runs of the same nodes give the same links
+                if found := spanning_forest(_Hamming(fp[own], radius)):
+                    pairs = own[np.array(found)]
                     a.append(node[pairs[:, 0]])
                     b.append(node[pairs[:, 1]])
             pairs = np.unique(np.sort(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=1), axis=0)
@@ -183,6 +190,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
     return rows.join(named.join(of_root, "root").select("node", "component"), rows["fp0"] == F.col("node")).select("key", "fp0", "component")
 
 
+def fingerprint_pairs(texts: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``a < b`` of ``texts(node, fp0)``: of one fingerprint each with the least, of different ones within ``radius`` bits the links of the least."""
+    least = texts.groupBy("fp0").agg(F.min("node").alias("node"))
+    same = texts.join(least.withColumnRenamed("node", "a").hint("merge"), "fp0").where("a < node").select("a", F.col("node").alias("b"))
+    return near_links(least, 64, radius).union(same)
+
+
 #: Of one text in so many the shingles are counted, to tell common ones; which are told changes no result.
 COUNTED = 32
 #: So many common shingles at most are told to the tasks.
@@ -321,7 +335,7 @@ def mixed_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
     return np.unique(np.sort(np.column_stack([a[hit, 1], b[hit, 1]]), axis=1), axis=0)
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, digest, group, first, n``: documents in groups of near copies; ``group`` is the least key of the group.
 
     Two texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of at
@@ -330,10 +344,13 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     with a null key are in no group and don't appear. ``first``: is it the text that stands for its
     group, the least of its least key? ``n``: rows of this key and text, which appear once.
 
-    Similar sets share one of their first shingles, in an order that puts rare ones first (a prefix
-    filter). Texts meet by these in sorted runs, twice: at first only neighbours by size and in an order of
-    each run's own, so that groups of many copies become one component; then all whose components still
-    differ. Pairs that their sizes, places or sketches prove to be unlike go, the others are compared.
+    Candidates are texts whose 64-bit fingerprints over distinct words are within ``radius`` bits; their
+    links that hold make components. Similar texts may lie further apart, so an exact way follows for the
+    rest: similar sets share one of their first shingles, in an order that puts rare ones first (a prefix
+    filter). Texts meet by these in sorted runs, twice: beside the fingerprints only neighbours by size and
+    in an order of each run's own, so that groups of many copies become one component; then all whose
+    components still differ. Pairs that their sizes, places or sketches prove to be unlike go, the others
+    are compared.
     """
     worded = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(key).alias("key"), F.col(text).alias("text"))
     digest = F.md5("text").alias("digest")
@@ -341,19 +358,21 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, prefixes, sketches, folds = [], [], [], []
+            prints, sizes, prefixes, sketches, folds = [], [], [], [], []
             for x in b.column(1):
-                shingles = np.unique(shingle_hashes(words_of(x.as_py()), shingle))
+                own = words_of(x.as_py())
+                shingles = np.unique(shingle_hashes(own, shingle))
+                prints.append(word_fingerprint(own))
                 sizes.append(len(shingles))
                 prefixes.append(_prefix(shingles, common, similarity).astype("<u4").tobytes())  # 32 bits: a chance match is but a candidate
                 sketches.append(parity_sketch(shingles))
                 folds.append(folded(sketches[-1]))
             words = np.frombuffer(b"".join(folds), "<i8").reshape(-1, FOLDED // 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), *[pa.array(np.ascontiguousarray(words[:, i])) for i in (0, 1)]], names=["key", "digest", "size", "prefix", "sketch", "fold0", "fold1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.frombuffer(b"".join(prints), "<i8")), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), *[pa.array(np.ascontiguousarray(words[:, i])) for i in (0, 1)]], names=["key", "digest", "fp0", "size", "prefix", "sketch", "fold0", "fold1"])
 
     kind = worded.schema["key"].dataType.simpleString()
-    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, size long, prefix binary, sketch binary, fold0 long, fold1 long"), "fingerprints")
-    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix", "sketch", "fold0", "fold1")])
+    rows = settle(worded.select("key", "text", digest).mapInArrow(describe, f"key {kind}, digest string, fp0 long, size long, prefix binary, sketch binary, fold0 long, fold1 long"), "fingerprints")
+    made = rows.groupBy("digest").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("fp0", "size", "prefix", "sketch", "fold0", "fold1")])
     texts = settle(made.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +419,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
         met = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
         return settle(met.mapInArrow(alike, "a long, b long"), "pairs")
 
-    near = candidates(by_shingle(shared, parts).mapInArrow(neighbours, "a long, b long"))
+    near = candidates(fingerprint_pairs(texts.select("node", "fp0"), radius).union(by_shingle(shared, parts).mapInArrow(neighbours, "a long, b long")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -51,6 +51,26 @@ def test_no_near_link_is_missed(spark):
     assert {r["key"]: r["group"] for r in found} == wanted
 
 
+def test_fingerprints_link_near_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [[f"w{x}" for x in rng.integers(0, 50_000, 300)] for _ in range(30)]
+    # near copies, one word changed and another put elsewhere; then the same words in another order, with no shingle left
+    near = [[*w[:100], "new", *w[101:150], *w[151:], w[150]] if i < 25 else w[::-1] for i, w in enumerate(words)]
+    rows = [(2 * i + j, " ".join(w)) for i, own in enumerate(zip(words, near, strict=True)) for j, w in enumerate(own)]
+    prints = [int.from_bytes(simhash.word_fingerprint(simhash.words_of(t)), "little", signed=True) for _, t in rows]
+    apart = [[((prints[i] ^ prints[j]) & 2**64 - 1).bit_count() for j in range(i)] for i in range(len(rows))]
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame([(k, p) for (k, _), p in zip(rows, prints, strict=True)], "node long, fp0 long"), 5)
+    mine = union_find(len(rows), [(r["a"], r["b"]) for r in pairs.collect()])
+    assert mine == union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if apart[i][j] <= 5])
+    # fingerprints alone, without the shingles that texts meet by after them
+    monkeypatch.setattr(simhash, "run_pairs", lambda *_, **__: iter(()))
+    monkeypatch.setattr(simhash, "mixed_pairs", lambda rows, _: rows[:0, :2])
+    found = {r["key"]: r["group"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [k for k in range(0, 50, 2) if apart[k + 1][k] <= 5]
+    assert len(close) > 20 and all(found[k + 1] == k for k in close)
+    assert all(found[k] == k for k in (*range(0, 50, 2), *range(50, 60)))
+
+
 def test_all_pairs_meet_that_can_be_similar():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 100).astype(np.uint64)

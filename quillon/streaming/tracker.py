@@ -9,13 +9,14 @@ its last counters, and only a late or a superseded record makes its session be r
 from __future__ import annotations
 
 import json
+import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import exprs as X
 from ..operators import cost
@@ -132,6 +133,71 @@ def place(row: dict) -> list:
     return [row["sequence"], row["event_id"]]
 
 
+#: Fields of an accepted record that its session is reckoned from.
+KEPT = ("turn_id", "sequence", "usage_kind", "replay_of", *TOKENS, *AMOUNTS, "coverage", "cost_basis", "model")
+#: A task's state is cut in two once a part of it has so many entries on average.
+PART = 256
+
+
+class Kept:
+    """A task's state while a batch of it is taken up: parts are read when something in them is asked for and written once, if they changed.
+
+    A call to the state store costs as much as a hundred entries that are read with one, so entries lie in
+    parts by the hash of their event, session or turn. A part has a bounded number of entries: what
+    a record costs doesn't grow with its task.
+    """
+
+    def __init__(self, state):
+        self.state, self.loaded, self.changed = state, {}, {0}
+        first = self.part(0)
+        self.head = first.setdefault("", {"parts": 1, "entries": 0, "engines": {}, "counters": {}})
+
+    def part(self, n: int, keep: bool = True) -> dict:
+        if n in self.loaded:
+            return self.loaded[n]
+        found = self.state.getValue((n,))
+        part = json.loads(found[0]) if found else {}
+        if keep:
+            self.loaded[n] = part
+        return part
+
+    def _of(self, place: str) -> int:
+        return zlib.crc32(place.encode()) & (self.head["parts"] - 1)
+
+    def get(self, key: str, place: str):
+        return self.part(self._of(place)).get(key, (None,))[0]
+
+    def put(self, key: str, place: str, value) -> None:
+        part = self.part(n := self._of(place))
+        self.head["entries"] += key not in part
+        part[key] = (value, place)
+        self.changed.add(n)
+
+    def drop(self, key: str, place: str) -> None:
+        part = self.part(n := self._of(place))
+        if part.pop(key, None) is not None:
+            self.head["entries"] -= 1
+            self.changed.add(n)
+
+    def events(self) -> Iterator[tuple[str, list]]:
+        """All accepted records; a part that nothing else asked for is let go again."""
+        for n in range(self.head["parts"]):
+            yield from ((key[1:], entry[0]) for key, entry in self.part(n, keep=False).items() if key.startswith("e"))
+
+    def write(self) -> None:
+        if (wanted := self.head["entries"] / PART) > self.head["parts"]:
+            every = [self.part(n) for n in range(self.head["parts"])]
+            while wanted > self.head["parts"]:
+                self.head["parts"] *= 2
+            self.loaded = {n: {} for n in range(self.head["parts"])}
+            self.loaded[0][""] = self.head
+            for key, entry in (x for part in every for x in part.items() if x[0]):
+                self.loaded[self._of(entry[1])][key] = entry
+            self.changed = set(self.loaded)
+        for n in sorted(self.changed):
+            self.state.updateValue((n,), (json.dumps(self.loaded[n], separators=(",", ":")),))
+
+
 class TaskTracker(StatefulProcessor):
     """The engines of one task; see the module. ``idle_ms``: a task without records for so long (event time) is closed and forgotten."""
 
@@ -140,23 +206,26 @@ class TaskTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: event -> its record, as it was accepted, and if it counts; engine and event -> it is superseded
-        self.events = handle.getMapState("events", "event_id string", "row string")
-        self.superseded = handle.getMapState("superseded", "engine string, event_id string", "by string")
-        self.sessions = handle.getMapState("sessions", "engine string, session_id string", "session string")
-        self.turns = handle.getMapState("turns", "engine string, session_id string, turn_id string", "n long")
-        self.engines = handle.getMapState("engines", "engine string", "tally string")
-        #: counters of ids, sequences and snapshots, and the time of the timer
-        self.counters = handle.getMapState("counters", "name string", "n long")
+        #: e, an event: its engine, session, if it counts, and its record as it was accepted; s, an engine and event: by what it is superseded;
+        #: h, an engine and session: its Session; t, a turn of it: its records; n: a counter of sequences. Part 0 also has the engines' tallies and the task's counters
+        self.parts = handle.getMapState("parts", "part int", "entries string")
 
     def close(self) -> None:
         pass
 
     def _next(self, name: str) -> int:
-        n = (self.counters.getValue((name,)) or (0,))[0] + 1
-        self.counters.updateValue((name,), (n,))
+        counters = self.kept.head["counters"]
+        counters[name] = counters.get(name, 0) + 1
+        return counters[name]
+
+    def _next_sequence(self, engine: str, session: str) -> int:
+        n = (self.kept.get(key := f"n{engine} {session}", session) or 0) + 1
+        self.kept.put(key, session, n)
         return n
 
+    def _is_superseded(self, engine: str, event: str) -> bool:
+        return self.kept.get(f"s{engine} {event}", event) is not None
+
     def _accept(self, task: str, row: dict, stale: set, fresh: dict) -> dict:
         """The record's fate; ``stale``: sessions to be reckoned anew, ``fresh``: records that follow on their session's last."""
         engine = f"{row['harness']} {row['contract']}"
@@ -164,98 +233,97 @@ class TaskTracker(StatefulProcessor):
         if row.get("event_id") is None:
             while True:
                 row["event_id"] = f"{task}.e{self._next('id')}"
-                if not self.events.containsKey((row["event_id"],)):
+                if self.kept.get(f"e{row['event_id']}", row["event_id"]) is None:
                     break
+        event = row["event_id"]
         if row.get("sequence") is None:
-            row["sequence"] = self._next(f"sequence {engine} {row['session_id']}")
-        out |= {"event_id": row["event_id"], "sequence": row["sequence"]}
+            row["sequence"] = self._next_sequence(engine, row["session_id"])
+        out |= {"event_id": event, "sequence": row["sequence"]}
         if row.get("reason") is not None:
             return out
-        if self.events.containsKey((row["event_id"],)):
+        if self.kept.get(f"e{event}", event) is not None:
             return out | {"status": "duplicate"}
-        row["turn_id"] = row.get("turn_id") or row["event_id"]
-        row["engine"] = engine
-        row["counts"] = not self.superseded.containsKey((engine, row["event_id"]))
-        self.events.updateValue((row["event_id"],), (json.dumps(row),))
+        row["turn_id"] = row.get("turn_id") or event
+        counts = not self._is_superseded(engine, event)
         home = (engine, row["session_id"])
+        self.kept.put(f"e{event}", event, [*home, counts, [row.get(f) for f in KEPT]])
         if (target := row.get("replay_of")) is not None:
-            self.superseded.updateValue((engine, target), (row["event_id"],))
+            self.kept.put(f"s{engine} {target}", target, event)
             self._take_back(engine, target, stale)
-            if self._runs_in_a_circle(engine, row["event_id"], target):
-                self.counters.updateValue((f"broken {engine}",), (1,))
-        if row["counts"]:
+            if self._runs_in_a_circle(engine, event, target):
+                self.kept.head["counters"][f"broken {engine}"] = 1
+        if counts:
             fresh.setdefault(home, []).append(row)
         fresh.setdefault(home, [])
         return out | {"status": "accepted"}
 
     def _take_back(self, engine: str, target: str, stale: set) -> None:
-        if (found := self.events.getValue((target,))) is None:
-            return
-        old = json.loads(found[0])
-        if old["engine"] == engine and old["counts"]:
-            self.events.updateValue((target,), (json.dumps(old | {"counts": False}),))
-            stale.add((engine, old["session_id"]))
+        old = self.kept.get(f"e{target}", target)
+        if old is not None and old[0] == engine and old[2]:
+            self.kept.put(f"e{target}", target, [*old[:2], False, old[3]])
+            stale.add((engine, old[1]))
 
     def _runs_in_a_circle(self, engine: str, start: str, at: str) -> bool:
         while at is not None and at != start:
-            found = self.events.getValue((at,))
-            row = json.loads(found[0]) if found else None
-            at = row.get("replay_of") if row and row["engine"] == engine else None
+            found = self.kept.get(f"e{at}", at)
+            at = found[3][KEPT.index("replay_of")] if found and found[0] == engine else None
         return at == start
 
+    def _turn(self, home: tuple, turn: str) -> str:
+        return f"t{home[0]} {len(home[1])} {home[1]} {turn}"
+
     def _new_turn(self, home: tuple, turn: str) -> bool:
-        n = (self.turns.getValue((*home, turn)) or (0,))[0]
-        self.turns.updateValue((*home, turn), (n + 1,))
+        n = self.kept.get(key := self._turn(home, turn), turn) or 0
+        self.kept.put(key, turn, n + 1)
         return n == 0
 
     def _settle(self, stale: set, fresh: dict) -> set[str]:
         """Sessions and engines brought up to date; gives the engines that changed."""
-        kept = {home: Session((self.sessions.getValue(home) or (None,))[0]) for home in {*fresh, *stale}}
+        kept = {home: Session(self.kept.get(f"h{home[0]} {home[1]}", home[1])) for home in {*fresh, *stale}}
         for home, rows in fresh.items():
             if rows and kept[home].end is not None and min(map(place, rows)) < kept[home].end:
                 stale.add(home)  # a late one
-        again: dict[tuple, list[dict]] = {home: [] for home in stale}
+        again: dict[tuple, list[tuple[bool, dict]]] = {home: [] for home in stale}
         if stale:
-            for _, (text,) in self.events.iterator():
-                row = json.loads(text)
-                if (home := (row["engine"], row["session_id"])) in again:
-                    again[home].append(row)
+            for event, (engine, session, counts, values) in self.kept.events():
+                if (home := (engine, session)) in again:
+                    again[home].append((counts, {"event_id": event, **dict(zip(KEPT, values, strict=True))}))
         for home, session in kept.items():
             before = Counter(session.tally)
             if home in stale:
-                for turn in {r["turn_id"] for r in again[home]}:
-                    if self.turns.containsKey((*home, turn)):
-                        self.turns.removeKey((*home, turn))
+                for turn in {r["turn_id"] for _, r in again[home]}:
+                    self.kept.drop(self._turn(home, turn), turn)
                 session = Session()
-                rows = [r for r in again[home] if r["counts"]]
+                rows = [r for counts, r in again[home] if counts]
             else:
                 rows = fresh[home]
             for row in sorted(rows, key=place):
                 session.add(row, self._new_turn(home, row["turn_id"]))
-            self.sessions.updateValue(home, (session.dumps(),))
-            tally = Counter(json.loads((self.engines.getValue((home[0],)) or ("{}",))[0]))
+            self.kept.put(f"h{home[0]} {home[1]}", home[1], session.dumps())
+            engines = self.kept.head["engines"]
+            tally = Counter(engines.get(home[0], {}))
             tally.update(session.tally)
             tally.subtract(before)
-            self.engines.updateValue((home[0],), (json.dumps({k: v for k, v in tally.items() if v}),))
+            engines[home[0]] = {k: v for k, v in tally.items() if v}
         return {home[0] for home in kept}
 
-    def _snapshots(self, engines: Sequence[str], kind: str) -> list[dict]:
+    def _snapshots(self, engines: Iterable[str], kind: str) -> list[dict]:
         version, out = self._next("version"), []
         for engine in sorted(engines):
             harness, contract = engine.split(" ", 1)
             row = {"kind": kind, "harness": harness, "contract": contract, "version": version}
-            if self.counters.containsKey((f"broken {engine}",)):
+            if f"broken {engine}" in self.kept.head["counters"]:
                 out.append(row | {"status": "aggregation_failed"})
             else:
-                out.append(row | {"status": "ok"} | snapshot(Counter(json.loads(self.engines.getValue((engine,))[0]))))
+                out.append(row | {"status": "ok"} | snapshot(Counter(self.kept.head["engines"][engine])))
         return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came, latest = [], 0
-        for batch in rows:
-            came += map(json.loads, batch["row"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self.kept, came, latest = Kept(self.parts), [], 0
+        for given in rows:
+            came.append(json.loads(given["row"]))
             if self.idle_ms is not None:
-                latest = max(latest, int(batch["at"].max()))
+                latest = max(latest, given["at"])
         # of one batch in the order of the source; what came in earlier batches is before
         came.sort(key=lambda r: (r.get("ordinal") is None, r.get("ordinal") or 0))
         stale: set = set()
@@ -263,22 +331,29 @@ class TaskTracker(StatefulProcessor):
         out = [self._accept(key[0], row, stale, fresh) for row in came]
         # superseded within the batch
         for home, new in fresh.items():
-            fresh[home] = [r for r in new if not self.superseded.containsKey((home[0], r["event_id"]))]
+            fresh[home] = [r for r in new if not self._is_superseded(home[0], r["event_id"])]
         out += self._snapshots(self._settle(stale, fresh), "snapshot") if fresh or stale else []
         if self.idle_ms is not None:
-            at, had = latest + self.idle_ms, self.counters.getValue(("close at",))
-            if had is None or at > had[0]:
+            at, had = latest + self.idle_ms, self.kept.head["counters"].get("close at")
+            if had is None or at > had:
                 if had is not None:
-                    self.handle.deleteTimer(had[0])
+                    self.handle.deleteTimer(had)
                 self.handle.registerTimer(at)
-                self.counters.updateValue(("close at",), (at,))
-        yield pd.DataFrame({"task_id": [key[0]] * len(out), "out": [json.dumps(x) for x in out]})
+                self.kept.head["counters"]["close at"] = at
+        self.kept.write()
+        yield from told(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.kept = Kept(self.parts)
+        out = self._snapshots(self.kept.head["engines"], "closed")
+        self.parts.clear()
+        yield from told(key[0], out)
+
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._snapshots([engine for (engine,) in self.engines.keys()], "closed")
-        for state in (self.events, self.superseded, self.sessions, self.turns, self.engines, self.counters):
-            state.clear()
-        yield pd.DataFrame({"task_id": [key[0]] * len(out), "out": [json.dumps(x) for x in out]})
+def told(task: str, out: list[dict]) -> Iterator[Row]:
+    """Results and snapshots in rows of so many."""
+    for i in range(0, len(out), PART):
+        yield Row(task_id=task, out=json.dumps(out[i : i + PART]))
 
 
 def track(records: DataFrame, idle: str | None = None, late: str = "0 seconds") -> DataFrame:
@@ -297,8 +372,8 @@ def track(records: DataFrame, idle: str | None = None, late: str = "0 seconds")
     own = [c for c in records.columns if c not in ("task_id", "ts")]
     rows = records.where(F.col("task_id").isNotNull()).select("task_id", F.to_json(F.struct(*own)).alias("row"), *([F.unix_millis("ts").alias("at"), "ts"] if idle is not None else []))
     idle_ms = None if idle is None else int(spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {idle}"))).first()[0])
-    out = rows.groupBy("task_id").transformWithStateInPandas(TaskTracker(idle_ms), "task_id string, out string", "Update", "None" if idle is None else "EventTime")
-    return out.select("task_id", F.from_json("out", f"{RESULT}, {SNAPSHOT}").alias("x")).select("task_id", "x.*")
+    out = rows.groupBy("task_id").transformWithState(TaskTracker(idle_ms), "task_id string, out string", "Update", "None" if idle is None else "EventTime")
+    return out.select("task_id", F.inline(F.from_json("out", ArrayType(StructType.fromDDL(f"{RESULT}, {SNAPSHOT}")))))
 
 
 def run_tracker(records: DataFrame, path: str, checkpoint: str, idle: str | None = None, late: str = "0 seconds") -> StreamingQuery:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import fresh_dir
 from ..streaming import ledger, tracker
@@ -34,9 +35,17 @@ def _in_parts(rows: DataFrame, column: str, parts: int, name: str) -> tuple[Data
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in"), home
 
 
-def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, home = _in_parts(_records(spark, sf_dir), "ordinal", 4, "live")
-    tracker.run_tracker(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+def _live(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The records as they come in: a quarter by rising ordinal, then the next one, each tracked from where the last stopped. All tasks write and read each of them."""
+    rows = _records(spark, sf_dir)
+    home = fresh_dir(spark, "live")
+    most = rows.agg(F.max("ordinal")).first()[0] or 0
+    part = F.least(F.floor(F.col("ordinal") * parts / (most + 1)), F.lit(parts - 1)).cast("int")
+    rows.withColumn("part", part).write.partitionBy("part").parquet(f"{home}/parts")
+    staged = spark.read.schema(StructType([*rows.schema.fields, StructField("part", IntegerType())])).parquet(f"{home}/parts")
+    for i in range(parts):
+        staged.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{home}/in")
+        tracker.run_tracker(spark.readStream.schema(rows.schema).parquet(f"{home}/in"), f"{home}/out", f"{home}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{home}/out")
 
 

@@ -5,19 +5,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpointed
+from ..session import settled
 from .scans import prefix_scan
 
 #: Fixed value: the tree of no files, the parent of a commit that has none.
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 #: Small tables of steps that are taken up into one after so many.
 RUNS = 16
+#: Rows of a block, within which a task follows chains in memory.
+BLOCK = 100_000
 
 
 def chain(starts: DataFrame, steps: DataFrame) -> DataFrame:
@@ -25,32 +29,95 @@ def chain(starts: DataFrame, steps: DataFrame) -> DataFrame:
 
     Pointer doubling: a table of leaps is kept for each power of two, and from the longest down each
     takes what was reached one leap further, so rounds grow with the logarithm of the longest chain.
-    ``starts``: ``repo, sha``. Steps must not run in a circle.
+    ``starts``: ``repo, sha``. A step may have a length ``n`` (else 1). Steps must not run in a circle.
     """
-    leaps = [checkpointed(steps.where("to is not null").select("repo", "sha", "to"))]
+    n = F.col("n") if "n" in steps.columns else F.lit(1)
+    leaps = [settled(steps.where("to is not null").select("repo", "sha", "to", n.cast("long").alias("n")), "leaps")]
     while True:
         last = leaps[-1]
-        longer = checkpointed(last.join(last.select("repo", F.col("sha").alias("to"), F.col("to").alias("__to")), ["repo", "to"]).select("repo", "sha", F.col("__to").alias("to")))
+        further = last.select("repo", F.col("sha").alias("to"), F.col("to").alias("__to"), F.col("n").alias("__n"))
+        longer = settled(last.join(further, ["repo", "to"]).select("repo", "sha", F.col("__to").alias("to"), (F.col("n") + F.col("__n")).alias("n")), "leaps")
         if longer.isEmpty():
             break
         leaps.append(longer)
-    reached = checkpointed(starts.select("repo", F.col("sha").alias("start"), "sha", F.lit(0).cast("long").alias("distance")).distinct())
-    for k, leap in reversed(list(enumerate(leaps))):
-        on = reached.join(leap, ["repo", "sha"]).select("repo", "start", F.col("to").alias("sha"), (F.col("distance") + (1 << k)).alias("distance"))
-        reached = checkpointed(reached.union(on))
+    reached = settled(starts.select("repo", F.col("sha").alias("start"), "sha", F.lit(0).cast("long").alias("distance")).distinct(), "reached")
+    for leap in reversed(leaps):
+        on = reached.join(leap, ["repo", "sha"]).select("repo", "start", F.col("to").alias("sha"), (F.col("distance") + F.col("n")).alias("distance"))
+        reached = settled(reached.union(on), "reached")
     return reached
 
 
-def first_parent_line(commits: DataFrame, tips: DataFrame) -> DataFrame:
+def _ways_out(repos: list[str], shas: list[str], parents: list[str | None]) -> tuple[list[str | None], list[int]]:
+    """Of each row of a block the first commit down its chain that has no row there (none: the chain ends) and how many steps away it is."""
+    places = list(zip(repos, shas, strict=True))
+    step = dict(zip(places, parents, strict=True))
+    told: dict[tuple[str, str], tuple[str | None, int]] = {}
+    for place in places:
+        path, at = [], place
+        while at in step and at not in told:
+            if len(path) > len(step):
+                raise ValueError("first parents run in a circle")
+            path.append(at)
+            at = (at[0], step[at])
+        to, n = told.get(at, (at[1], 0))
+        for passed in reversed(path):
+            told[passed] = (to, n := n + 1)
+    return [told[p][0] for p in places], [told[p][1] for p in places]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one task in blocks of ``BLOCK``, each row with its block and the way out of it."""
+    of_task = uuid.uuid4().hex
+
+    def blocks(rows: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+        out, n = _ways_out(*[rows[c].to_pylist() for c in ("repo", "sha", "to")])
+        told = {"block": pa.array([f"{of_task}-{k}"] * len(rows)), "out": pa.array(out, pa.string()), "n": pa.array(n, pa.int64())}
+        yield from pa.table({**{c: rows[c] for c in rows.column_names}, **told}).to_batches()
+
+    kept, k = [], 0
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= BLOCK:
+            yield from blocks(pa.Table.from_batches(kept), k)
+            kept, k = [], k + 1
+    if kept:
+        yield from blocks(pa.Table.from_batches(kept), k)
+
+
+def _walked(block: pa.Table) -> pa.Table:
+    """All that is reached within a block from those of its rows that have a distance."""
+    repos, shas, parents, distances = (block[c].to_pylist() for c in ("repo", "sha", "to", "distance"))
+    step = dict(zip(zip(repos, shas, strict=True), parents, strict=True))
+    found: dict[str, list] = {"repo": [], "sha": [], "distance": []}
+    for repo, sha, distance in zip(repos, shas, distances, strict=True):
+        while distance is not None and (repo, sha) in step:
+            for name, x in zip(found, (repo, sha, distance), strict=True):
+                found[name].append(x)
+            sha, distance = step[repo, sha], distance + 1
+    return pa.table(found, schema=pa.schema([("repo", pa.string()), ("sha", pa.string()), ("distance", pa.int64())]))
+
+
+def first_parent_line(commits: DataFrame, tips: DataFrame, near: str | None = None) -> DataFrame:
     """``repo, sha, position``: each repository's first-parent line, its oldest commit at position 0. ``tips``: ``repo, sha``, one a repository.
 
     The oldest is the last whose row is there: what lies beyond a cut in the history isn't on the line. A tip without a row is no line.
+
+    Rows are cut into blocks, by ``near`` (a column along which parents lie close, such as a log's order or the time) or as they lie. Within a
+    block chains are followed in one pass, so ``chain`` only has to go from block to block; a block is then walked
+    from where the line enters it. What ``near`` says changes the time alone: if all parents lie in other blocks, ``chain`` goes over all commits.
     """
-    known = commits.select("repo", "sha", F.try_element_at("parents", F.lit(1)).alias("to"))
-    steps = known.join(known.select("repo", F.col("sha").alias("to")), ["repo", "to"], "left_semi").select("repo", "sha", "to")
-    reached = chain(tips.join(known.select("repo", "sha"), ["repo", "sha"], "left_semi"), steps)
-    depth = reached.groupBy("repo").agg(F.max("distance").alias("__most"))
-    return reached.join(depth, "repo").select("repo", "sha", (F.col("__most") - F.col("distance")).alias("position"))
+    known = commits.select("repo", "sha", F.try_element_at("parents", F.lit(1)).alias("to"), *([near] if near else []))
+    lying = known.repartitionByRange("repo", near).sortWithinPartitions("repo", near).drop(near) if near else known
+    rows = settled(lying.mapInArrow(_contracted, "repo string, sha string, to string, block string, out string, n long"), "blocks")
+    outs = rows.where("out is not null").select("repo", F.col("out").alias("sha")).distinct()
+    entered = rows.join(outs.union(tips.select("repo", "sha")).distinct(), ["repo", "sha"], "left_semi").select("repo", "sha", F.col("out").alias("to"), "n")
+    entries = settled(entered, "entries")
+    steps = entries.join(entries.select("repo", F.col("sha").alias("to")), ["repo", "to"], "left_semi").select("repo", "sha", "to", "n")
+    reached = chain(tips.join(entries.select("repo", "sha"), ["repo", "sha"], "left_semi"), steps).select("repo", "sha", "distance")
+    blocks = rows.join(reached, ["repo", "sha"], "left").select("repo", "sha", "to", "block", "distance")
+    on = settled(blocks.groupBy("block").applyInArrow(_walked, "repo string, sha string, distance long"), "line")
+    depth = on.groupBy("repo").agg(F.max("distance").alias("__most"))
+    return on.join(depth, "repo").select("repo", "sha", (F.col("__most") - F.col("distance")).alias("position"))
 
 
 def _spread(seed: DataFrame, edges: DataFrame, value: str, best: Callable[[Column], Column], better: Callable[[Column, Column], Column]) -> DataFrame:
@@ -59,7 +126,7 @@ def _spread(seed: DataFrame, edges: DataFrame, value: str, best: Callable[[Colum
     Only what got a better value goes on. Improvements stay in tables of their own, a few of which are then
     taken up into one, so a round costs what it changes.
     """
-    known, runs = checkpointed(seed.groupBy("repo", "sha").agg(best(F.col(value)).alias(value))), []
+    known, runs = settled(seed.groupBy("repo", "sha").agg(best(F.col(value)).alias(value))), []
     front = known
     while True:
         came = front.join(edges, ["repo", "sha"]).groupBy("repo", F.col("to").alias("sha")).agg(best(F.col(value)).alias(value))
@@ -67,12 +134,12 @@ def _spread(seed: DataFrame, edges: DataFrame, value: str, best: Callable[[Colum
         for run in runs:
             have = have.union(run)
         had = have.join(came.select("repo", "sha"), ["repo", "sha"], "left_semi").groupBy("repo", "sha").agg(best(F.col(value)).alias("__had"))
-        front = checkpointed(came.join(had, ["repo", "sha"], "left").where(F.col("__had").isNull() | better(F.col(value), F.col("__had"))).select("repo", "sha", value))
+        front = settled(came.join(had, ["repo", "sha"], "left").where(F.col("__had").isNull() | better(F.col(value), F.col("__had"))).select("repo", "sha", value))
         if front.isEmpty():
             return have.groupBy("repo", "sha").agg(best(F.col(value)).alias(value))
         runs.append(front)
         if len(runs) == RUNS:
-            known, runs = checkpointed(have.union(front).groupBy("repo", "sha").agg(best(F.col(value)).alias(value))), []
+            known, runs = settled(have.union(front).groupBy("repo", "sha").agg(best(F.col(value)).alias(value))), []
 
 
 def landing_index(commits: DataFrame, line: DataFrame) -> DataFrame:
@@ -84,7 +151,7 @@ def landing_index(commits: DataFrame, line: DataFrame) -> DataFrame:
     edges = commits.select("repo", "sha", F.explode("parents").alias("to")).distinct()
     at = line.select("repo", "sha", "position")
     parent_on = edges.join(at.select("repo", F.col("sha").alias("to"), F.col("position").alias("__to")), ["repo", "to"], "left")
-    both = checkpointed(parent_on.join(at, ["repo", "sha"], "left").select("repo", "sha", "to", "position", "__to"))
+    both = settled(parent_on.join(at, ["repo", "sha"], "left").select("repo", "sha", "to", "position", "__to"))
     side = both.where("position is null and __to is null").select("repo", "sha", "to")
     entered = both.where("position is not null and __to is null").select("repo", F.col("to").alias("sha"), F.col("position").alias("landing"))
     left = both.where("position is null and __to is not null").select("repo", "sha", F.col("__to").alias("base"))
@@ -118,14 +185,14 @@ def is_ancestor(pairs: DataFrame, index: DataFrame, commits: DataFrame) -> DataF
     above = F.col("__hp").isNotNull() | F.col("__p").isNotNull() | F.coalesce(F.col("__l") > F.col("__hl"), F.lit(False)) | (F.col("__l").isNull() & F.col("__hl").isNotNull())
     told = F.when(~known, False).when(F.col("sha") == F.col("head"), True).when(below, True).when(above, False)
     decided = met.withColumn("__told", told)
-    wanted = checkpointed(decided.where("__told is null").select("repo", "head", "sha").distinct())
+    wanted = settled(decided.where("__told is null").select("repo", "head", "sha").distinct())
     found = wanted.limit(0)
     if not wanted.isEmpty():
         side = index.where("position is null").select("repo", "sha")
-        edges = checkpointed(commits.select("repo", "sha", F.explode("parents").alias("to")).join(side.select("repo", F.col("sha").alias("to")), ["repo", "to"], "left_semi").select("repo", "sha", "to").distinct())
-        front = seen = checkpointed(wanted.select("repo", "head", F.col("head").alias("sha")).distinct())
+        edges = settled(commits.select("repo", "sha", F.explode("parents").alias("to")).join(side.select("repo", F.col("sha").alias("to")), ["repo", "to"], "left_semi").select("repo", "sha", "to").distinct())
+        front = seen = settled(wanted.select("repo", "head", F.col("head").alias("sha")).distinct())
         while not front.isEmpty():
-            front = checkpointed(front.join(edges, ["repo", "sha"]).select("repo", "head", F.col("to").alias("sha")).distinct().join(seen, ["repo", "head", "sha"], "left_anti"))
+            front = settled(front.join(edges, ["repo", "sha"]).select("repo", "head", F.col("to").alias("sha")).distinct().join(seen, ["repo", "head", "sha"], "left_anti"))
             seen = seen.union(front)
         found = wanted.join(seen, ["repo", "head", "sha"], "left_semi")
     walked = found.select("repo", "head", "sha", F.lit(True).alias("__walked"))
@@ -165,7 +232,7 @@ def rollup_members(commits: DataFrame, line: DataFrame) -> DataFrame:
     members = commits.select("repo", "sha", F.try_element_at("parents", F.lit(1)).alias("parent_sha"), number.alias("pr")).where("pr is not null and parent_sha is not null")
     steps = members.join(members.select("repo", F.col("sha").alias("parent_sha")), ["repo", "parent_sha"], "left_semi").select("repo", "sha", F.col("parent_sha").alias("to"))
     merges = line.select("repo", "sha").join(commits, ["repo", "sha"]).select("repo", F.col("sha").alias("landing_sha"), F.try_element_at("parents", F.lit(2)).alias("sha"))
-    first = checkpointed(merges.join(members.select("repo", "sha"), ["repo", "sha"], "left_semi"))
+    first = settled(merges.join(members.select("repo", "sha"), ["repo", "sha"], "left_semi"))
     reached = chain(first.select("repo", "sha"), steps)
     most = reached.groupBy("repo", "start").agg(F.max("distance").alias("__most"))
     of = reached.join(most, ["repo", "start"]).join(first.select("repo", "landing_sha", F.col("sha").alias("start")), ["repo", "start"])
@@ -186,19 +253,19 @@ def map_changes(commits: DataFrame, line: DataFrame, changes: DataFrame) -> tupl
     """
     facts = line.select("repo", "sha", "position").join(commits.select("repo", "sha", "parents", "subject", "body"), ["repo", "sha"])
     numbers = T.corpus_pr_numbers(F.col("subject"), F.col("body"), F.col("repo"))
-    rows = checkpointed(facts.select("repo", "sha", "position", F.try_element_at("parents", F.lit(1)).alias("parent"), (F.size("parents") > 1).alias("is_merge"), numbers.alias("numbers")))
+    rows = settled(facts.select("repo", "sha", "position", F.try_element_at("parents", F.lit(1)).alias("parent"), (F.size("parents") > 1).alias("is_merge"), numbers.alias("numbers")))
     known = changes.select("repo", "pr", "merge_sha", "member_commits")
     by_sha = rows.join(known.select("repo", F.col("merge_sha").alias("sha"), "pr"), ["repo", "sha"]).select("repo", "position", "sha", "pr", F.lit(True).alias("via_sha"))
     named = rows.select("repo", "position", "sha", F.explode("numbers").alias("pr"), F.lit(False).alias("via_sha")).join(known.select("repo", "pr"), ["repo", "pr"], "left_semi").select("repo", "position", "sha", "pr", "via_sha")
     candidates = by_sha.union(named).groupBy("repo", "position", "sha", "pr").agg(F.max("via_sha").alias("via_sha"))
-    members = checkpointed(rollup_members(commits, line))
+    members = settled(rollup_members(commits, line))
     rollups = members.select("repo", F.col("landing_sha").alias("sha")).distinct()
     marked = candidates.join(rollups.withColumn("in_rollup", F.lit(True)), ["repo", "sha"], "left").select("repo", "pr", "position", "sha", "via_sha", F.coalesce("in_rollup", F.lit(False)).alias("in_rollup"))
     # a rollup's own candidates come before its members
     claims = marked.select("repo", "pr", "position", F.lit(-1).cast("long").alias("ordinal"), "sha", "via_sha", F.when(F.col("in_rollup"), "used").otherwise("commit").alias("kind"), F.lit(None).cast("string").alias("member_sha"), F.lit(None).cast("string").alias("member_parent"))
     own = members.join(rows.select("repo", F.col("sha").alias("landing_sha"), "position"), ["repo", "landing_sha"]).join(known.select("repo", "pr"), ["repo", "pr"], "left_semi")
     claims = claims.union(own.select("repo", "pr", "position", "ordinal", F.col("landing_sha").alias("sha"), F.lit(False), F.lit("rollup"), F.col("sha"), F.col("parent_sha")))
-    won = checkpointed(claims.groupBy("repo", "pr").agg(F.min(F.struct("position", "ordinal", "sha", "via_sha", "kind", "member_sha", "member_parent")).alias("w")).select("repo", "pr", "w.*").where("kind <> 'used'"))
+    won = settled(claims.groupBy("repo", "pr").agg(F.min(F.struct("position", "ordinal", "sha", "via_sha", "kind", "member_sha", "member_parent")).alias("w")).select("repo", "pr", "w.*").where("kind <> 'used'"))
     landed = won.where("kind = 'commit'").groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("landed"))
     again = marked.where("not in_rollup").join(landed, ["repo", "sha"], "left_anti").select("repo", "pr", "position", "sha").join(won.select("repo", "pr", F.col("position").alias("__at")), ["repo", "pr"]).where("position > __at")
     relanded = again.groupBy("repo", "pr").agg(F.array_sort(F.collect_list(F.struct("position", "sha"))).alias("r")).select("repo", "pr", F.col("r.sha").alias("relanded"))
@@ -207,7 +274,7 @@ def map_changes(commits: DataFrame, line: DataFrame, changes: DataFrame) -> tupl
     # the last commit before that a rebase can't claim: a walk back ends there, so claims never meet
     ordered = direct.withColumn("index", F.col("position")).select("repo", "sha", "position", "parent", "is_merge", "landed", "state", "numbers")
     stop = F.when(F.col("state").isNotNull() | (F.size("numbers") > 0), F.col("position"))
-    reach = checkpointed(prefix_scan(ordered, ["repo"], ["position"], {"stop": ("last", stop)}, own=False))
+    reach = settled(prefix_scan(ordered, ["repo"], ["position"], {"stop": ("last", stop)}, own=False))
     at_commit = won.where("kind = 'commit'").join(reach.select("repo", "sha", "is_merge", "landed", "stop"), ["repo", "sha"]).join(known.select("repo", "pr", F.col("member_commits").alias("__wanted")), ["repo", "pr"])
     least = line.groupBy("repo").agg(F.min("position").alias("__least"))
     free = F.col("position") - F.coalesce(F.col("stop") + 1, F.col("__least"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history
-from ..session import checkpointed
+from ..operators.scans import prefix_scan
+from ..session import settled
 from . import bindings as B
 
 # i: the order's place in its segment, from 10 on; b: its block; k: its place in the block
@@ -20,9 +21,17 @@ select c_mktsegment as repo, o_orderdate as at, 9 + row_number() over (partition
 """
 
 
+# the same, but the place is counted over all tasks and not by a window over a segment
+ORDERS = "select c_mktsegment as repo, o_orderdate as at, o_orderkey as key from orders join customer on o_custkey = c_custkey"
+
+
 def _indexed(s: SparkSession, d: str) -> DataFrame:
-    rows = B.project(s, d, INDEXED)
-    return rows.select("repo", "at", F.col("i").cast("long").alias("i"), F.expr("i div 10").alias("b"), F.expr("i % 10").alias("k"))
+    counted = prefix_scan(B.project(s, d, ORDERS), ["repo"], ["key"], {"n": ("sum", F.lit(1).cast("long"))})
+    return _placed(counted.select("repo", "at", (9 + F.col("n")).alias("i")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"b": F.expr("i div 10"), "k": F.expr("i % 10")})
 
 
 def _sha(i) -> F.Column:
@@ -41,13 +50,10 @@ def commits(s: SparkSession, d: str) -> DataFrame:
     return _indexed(s, d).select("repo", "i", _sha(i).alias("sha"), F.array_compact(F.array(first, second)).alias("parents"), F.unix_timestamp("at").alias("ct"), F.when(k <= 5, line).otherwise(side).alias("subject"), body.alias("body"))
 
 
-def tips(s: SparkSession, d: str) -> DataFrame:
-    return _indexed(s, d).where("k <= 5").groupBy("repo").agg(_sha(F.max("i")).alias("sha"))
-
-
 def _line(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = checkpointed(commits(s, d))
-    return rows, checkpointed(history.first_parent_line(rows, tips(s, d)))
+    rows = settled(commits(s, d), "commits")
+    tips = _placed(rows).where("k <= 5").groupBy("repo").agg(_sha(F.max("i")).alias("sha"))
+    return rows, settled(history.first_parent_line(rows, tips, near="i"), "line")
 
 
 def _index(s: SparkSession, d: str) -> DataFrame:
@@ -59,36 +65,34 @@ def _ancestors(s: SparkSession, d: str) -> DataFrame:
     rows, line = _line(s, d)
     i = F.col("i")
     pairs = rows.select("repo", "i", "sha", _sha(i + i % 31 - 8).alias("head"))
-    return history.is_ancestor(pairs, checkpointed(history.landing_index(rows, line)), rows).select("repo", "i", "held")
-
-
+    return history.is_ancestor(pairs, settled(history.landing_index(rows, line)), rows).select("repo", "i", "held")
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
     rows, line = _line(s, d)
     # a cursor of another kind for each: none, on the line, on a landed branch, on one that never landed, unknown; the block in the middle of which the cursor lies: of the kind that it needs
-    middle = _indexed(s, d).groupBy("repo").agg(F.expr("(max(i) div 60) * 3").alias("m"))
+    middle = rows.groupBy("repo").agg(F.expr("(max(i) div 60) * 3").alias("m"))
     cursor = F.when(F.col("repo") == "BUILDING", _sha(F.col("m") * 10 + 3)).when(F.col("repo") == "FURNITURE", _sha(F.col("m") * 10 + 7)).when(F.col("repo") == "HOUSEHOLD", _sha((F.col("m") + 2) * 10 + 8)).when(F.col("repo") == "MACHINERY", "gone")
     asked = middle.select("repo", F.lit(700_000_000).alias("since"), F.lit(880_000_000).alias("until"), cursor.alias("cursor"), F.when(F.col("repo").isin("AUTOMOBILE", "BUILDING"), F.lit(100)).alias("most"))
     found = history.merge_window(rows, line, history.landing_index(rows, line), asked)
     return found.drop("subject")
 
 
-def _changes(s: SparkSession, d: str) -> DataFrame:
+def _changes(rows: DataFrame) -> DataFrame:
     i, k = F.col("i"), F.col("k")
     merged = F.when(k.isin(1, 4) | (i % 20 == 0), _sha(i))
-    return _indexed(s, d).where("i % 13 <> 5").select("repo", i.alias("pr"), merged.alias("merge_sha"), F.when(k == 4, 2 + F.col("b") % 3).otherwise(1).alias("member_commits"))
+    return _placed(rows).where("i % 13 <> 5").select("repo", i.alias("pr"), merged.alias("merge_sha"), F.when(k == 4, 2 + F.col("b") % 3).otherwise(1).alias("member_commits"))
 
 
 def _mapping(s: SparkSession, d: str) -> DataFrame:
     rows, line = _line(s, d)
-    records, _ = history.map_changes(rows, line, _changes(s, d))
+    records, _ = history.map_changes(rows, line, _changes(rows))
     return records.select(*[c for c in records.columns if c != "relanded"], F.concat_ws(",", "relanded").alias("relanded"))
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
     rows, line = _line(s, d)
-    records, fates = history.map_changes(rows, line, _changes(s, d))
+    records, fates = history.map_changes(rows, line, _changes(rows))
     return history.mapping_stats(records, fates, rows, history.rollup_members(rows, line))
 
 
